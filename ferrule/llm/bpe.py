@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ferrule.llm.common import free_name, list_array, map_arrow, tokenizer_path
-from ferrule.llm.pieces import TextEncoder
+from ferrule.llm.pieces import PartMemo, PieceJoiner
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -240,15 +240,15 @@ class Decoder:
         return "".join(parts) + machine.flush()
 
 
-_ENCODERS: dict[tuple[str, str], TextEncoder] = {}
+_ENCODERS: dict[tuple[str, str], PartMemo] = {}
 _DECODERS: dict[str, Decoder] = {}
 
 
-def text_encoder(path: str, pattern: str) -> TextEncoder:
+def text_encoder(path: str, pattern: str) -> PartMemo:
     """One for each worker process; it gives ids as little-endian 32-bit integers."""
     if (path, pattern) not in _ENCODERS:
         machine = Transducer(load_ranks(path))
-        _ENCODERS[path, pattern] = TextEncoder(pattern, lambda piece: np.array(machine.encode(piece.encode()), "<i4").tobytes())
+        _ENCODERS[path, pattern] = PartMemo(PieceJoiner(pattern, lambda piece: np.array(machine.encode(piece.encode()), "<i4").tobytes()))
     return _ENCODERS[path, pattern]
 
 
@@ -265,7 +265,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         enc = text_encoder(path, pattern)
-        parts = [enc(t or "") for t in b.column(at).to_pylist()]
+        parts = [b"".join(enc.values(t or "")) for t in b.column(at).to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]) if parts else np.zeros(1, np.int64)
         col = list_array(np.frombuffer(b"".join(parts), "<i4"), offsets, pa.int32())
         return pa.RecordBatch.from_arrays([*b.columns, col], [*b.schema.names, ids])
@@ -292,5 +292,5 @@ def decode(df: DataFrame, ids: str = "ids", raw: str = "decoded", text: str | No
             cols, names = [*cols, pa.array([dec.text(x) for x in each], pa.string())], [*names, text]
         return pa.RecordBatch.from_arrays(cols, names)
 
-    fields = [*df.schema.fields, T.StructField(raw, T.BinaryType())] + [T.StructField(text, T.StringType())] * bool(text)
+    fields = [*df.schema.fields, T.StructField(raw, T.BinaryType()), *([T.StructField(text, T.StringType())] if text else [])]
     return map_arrow(df, fn, T.StructType(fields))

@@ -1,4 +1,4 @@
-"""Splitting texts into the pre-tokens of byte-level BPE, and per-worker memos of what a piece becomes."""
+"""Cutting texts at safe places, with per-worker memos of what each cut part becomes."""
 
 from __future__ import annotations
 
@@ -24,31 +24,35 @@ class Memo(dict):
         return value
 
 
-class TextEncoder:
-    """Encodes whole texts by a function of single pre-tokens.
+class PartMemo:
+    """values(text): what the parts of a text become, in order.
 
-    Where a single blank stands between two characters that are not white space, a pre-token always ends before the blank: blanks
-    begin a pre-token or belong to a run of white space. So texts are cut there, and what a cut part becomes is remembered; parts
-    not seen before go through the pattern. A text with other runs of white space next to blanks goes through the pattern whole.
+    Where a single blank stands between two characters that are not white space, a pre-token of byte-level BPE always ends before the
+    blank: a blank begins a pre-token or belongs to a run of white space. So texts are cut there, and what a part becomes is
+    remembered. A text with other runs of white space next to blanks is one part.
     """
 
-    def __init__(self, pattern: str, encode_piece: Callable[[str], bytes]):
-        self.find = regex.compile(pattern).findall
+    def __init__(self, make: Callable[[str], object]):
+        self.make = make
         self.odd = regex.compile(r"\s |^ | \s| $").search
-        self.piece = Memo(encode_piece)
-        self.first = Memo(self._part, MEMO_LIMIT // 4)
-        self.rest = Memo(lambda part: self._part(" " + part), 2 * MEMO_LIMIT)
+        self.first = Memo(make, MEMO_LIMIT // 4)
+        self.rest = Memo(lambda part: make(" " + part), 2 * MEMO_LIMIT)
 
-    def _part(self, part: str) -> bytes:
-        piece = self.piece
-        return b"".join([piece[x] for x in self.find(part)])
-
-    def __call__(self, text: str) -> bytes:
-        """What the pieces become, joined."""
+    def values(self, text: str) -> list:
         if not text:
-            return b""
+            return []
         if "  " in text or "\n " in text or " \n" in text or self.odd(text):
-            piece = self.piece
-            return b"".join([piece[x] for x in self.find(text)])
+            return [self.make(text)]
         head, *tail = text.split(" ")
-        return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
+        return [self.first[head], *map(self.rest.__getitem__, tail)]
+
+
+class PieceJoiner:
+    """A part's value made from its pre-tokens' values (bytes), each remembered."""
+
+    def __init__(self, pattern: str, make: Callable[[str], bytes]):
+        self.find, self.piece = regex.compile(pattern).findall, Memo(make)
+
+    def __call__(self, part: str) -> bytes:
+        piece = self.piece
+        return b"".join([piece[x] for x in self.find(part)])

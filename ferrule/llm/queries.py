@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import bpe
+from ferrule.llm import bpe, token_files, wordpiece
 from ferrule.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,16 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(docs).drop("text")
     back = bpe.decode(ids)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_files.new_folder(spark)
+    token_files.write(read_table(spark, sf_dir, "documents"), out)
+    return token_files.read(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@_query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordpiece.token_counts(docs).select("doc_id", "n_words", "n_tokens")
