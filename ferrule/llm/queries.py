@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import bpe, token_files, wordpiece
-from ferrule.llm.common import read_table
+from ferrule.llm import bpe, media, token_files, url_filter, warc, wordpiece
+from ferrule.llm.common import read_table, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,3 +38,44 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return wordpiece.token_counts(docs).select("doc_id", "n_words", "n_tokens")
+
+
+@_query
+def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_dir(spark, "media")
+    media.store(read_table(spark, sf_dir, "documents"), out)
+    manifest, whole = media.read(spark, out)
+    seen = whole.select(
+        "medium", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature"
+    )
+    return manifest.join(seen, "medium").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+#: The rules of the URL filter's contract.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@_query
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLE_SQL["op2_url_rules"] = """
+WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+split AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                 coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+fits AS (SELECT *, CASE WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                        WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                        WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                        WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM split)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM fits
+"""
+
+
+@_query
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.new_folder(spark)
+    warc.write(read_table(spark, sf_dir, "pages"), out)
+    return warc.read(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
