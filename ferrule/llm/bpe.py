@@ -10,6 +10,8 @@ at once, so the lookahead is bounded by the longest token.
 from __future__ import annotations
 
 import base64
+import gc
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """encode(piece): the token ids of one pre-token. States are made when first reached; beyond max_states all are forgotten."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: b for b, r in ranks.items()}
         # the trie: children by node * 256 + byte, and the token that ends at each node
@@ -53,7 +55,9 @@ class Transducer:
             self.token_at[node] = rank
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        # tokens that merges never make can only be whole pre-tokens
+        self.token_at = [t if t < 0 or len(self.bytes_of[t]) == 1 or self._split(t) else -1 for t in self.token_at]
         self.reset()
 
     def reset(self) -> None:
@@ -91,9 +95,6 @@ class Transducer:
             self.halves[token] = half if parts == [token] else None
         return self.halves[token]
 
-    def reachable(self, token: int) -> bool:
-        return len(self.bytes_of[token]) == 1 or self._split(token) is not None
-
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that stand at one edge of the token while it is built, each with the rank of the merge that ends it."""
         key = (token, side)
@@ -110,7 +111,7 @@ class Transducer:
 
     def fits(self, a: int, b: int) -> bool:
         """If a then b is the encoding of their joined bytes: no merge across the border comes before those on either side."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is None:
             get, of = self.ranks.get, self.bytes_of
             known = True
@@ -123,15 +124,15 @@ class Transducer:
                         break
                 if not known:
                     break
-            if len(self.pairs) > 4_000_000:
+            if len(self.pairs) > 500_000:
                 self.pairs.clear()
-            self.pairs[(a, b)] = known
+            self.pairs[a << 32 | b] = known
         return known
 
     # the determinised machine
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        live, child, token_at, ended = [], self.child, self.token_at, False
+        live, child, token_at, pairs, ended = [], self.child, self.token_at, self.pairs, False
         for out, last, node in self.configs[state]:
             nxt = child.get(node << 8 | byte)
             if nxt is None:
@@ -139,17 +140,25 @@ class Transducer:
             live.append((out, last, nxt))
             if not ended:  # what has been read has one encoding, so one configuration at most ends a token here
                 token = token_at[nxt]
-                if token >= 0 and self.reachable(token) and (last < 0 or self.fits(last, token)):
-                    live.append((out + (token,), token, 0))
-                    ended = True
+                if token >= 0:
+                    known = True if last < 0 else pairs.get(last << 32 | token)
+                    if known or known is None and self.fits(last, token):
+                        live.append((out + (token,), token, 0))
+                        ended = True
         common = live[0][0]
-        for out, _, _ in live[1:]:
-            k = 0
+        for config in live:
+            out = config[0]
+            if not out or not common or out[0] != common[0]:
+                common = ()
+                break
+            k = 1
             while k < len(common) and k < len(out) and common[k] == out[k]:
                 k += 1
             common = common[:k]
-        k = len(common)
-        return self._state(tuple((out[k:], last, node) for out, last, node in live)), common
+        if common:
+            k = len(common)
+            live = [(out[k:], last, node) for out, last, node in live]
+        return self._state(tuple(live)), common
 
     def _end(self, state: int) -> tuple[int, ...]:
         return next(out for out, _, node in self.configs[state] if node == 0)
@@ -231,7 +240,7 @@ class Decoder:
             self.table[rank] = token
 
     def raw(self, ids) -> bytes:
-        return b"".join([self.table[i] for i in ids])
+        return b"".join(map(self.table.__getitem__, ids))
 
     def text(self, ids, cut: int = 4096) -> str:
         """Streaming: the machine sees the bytes of a few tokens at a time, whose cuts may fall within characters."""
@@ -247,13 +256,14 @@ _DECODERS: dict[str, Decoder] = {}
 def text_encoder(path: str, pattern: str) -> PartMemo:
     """One for each worker process; it gives ids as little-endian 32-bit integers."""
     if (path, pattern) not in _ENCODERS:
+        gc.disable()  # the tables hold no cycles, and walking them is costly
         machine = Transducer(load_ranks(path))
-        _ENCODERS[path, pattern] = PartMemo(PieceJoiner(pattern, lambda piece: np.array(machine.encode(piece.encode()), "<i4").tobytes()))
+        _ENCODERS[path, pattern] = PartMemo(PieceJoiner(pattern, lambda piece: array("i", machine.encode(piece.encode())).tobytes()))
     return _ENCODERS[path, pattern]
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """docs with a column of token ids (array<int>) in place of a column of that name. Null and empty texts give no ids; other columns, null
+def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None, keep_text: bool = True) -> DataFrame:
+    """docs (without the text, if keep_text is false) with a column of token ids (array<int>) in place of a column of that name. Null and empty texts give no ids; other columns, null
     or not, and repeated rows stay as they are. If docs has a column whose name differs only in case, ids gets a name of its own
     by underscores in front (see common.free_name)."""
     import public_tokenizers
@@ -268,9 +278,12 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
         parts = [b"".join(enc.values(t or "")) for t in b.column(at).to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]) if parts else np.zeros(1, np.int64)
         col = list_array(np.frombuffer(b"".join(parts), "<i4"), offsets, pa.int32())
-        return pa.RecordBatch.from_arrays([*b.columns, col], [*b.schema.names, ids])
+        cols, names = [*b.columns], [*b.schema.names]
+        if not keep_text:
+            del cols[at], names[at]
+        return pa.RecordBatch.from_arrays([*cols, col], [*names, ids])
 
-    return map_arrow(docs, fn, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))]))
+    return map_arrow(docs, fn, T.StructType([*(f for f in docs.schema.fields if keep_text or f.name != text), T.StructField(ids, T.ArrayType(T.IntegerType(), False))]))
 
 
 def decode(df: DataFrame, ids: str = "ids", raw: str = "decoded", text: str | None = None, path: str | None = None) -> DataFrame:
@@ -286,10 +299,10 @@ def decode(df: DataFrame, ids: str = "ids", raw: str = "decoded", text: str | No
         lists = b.column(at)
         values, off = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
         null = lists.is_null().to_numpy(zero_copy_only=False)
-        each = [values[off[i] : off[i + 1]].tolist() if not null[i] else [] for i in range(len(lists))]
-        cols, names = [*b.columns, pa.array([dec.raw(x) for x in each], pa.binary())], [*b.schema.names, raw]
+        each = lambda i: values[off[i] : off[i + 1]].tolist() if not null[i] else []  # noqa: E731  one document's ids at a time
+        cols, names = [*b.columns, pa.array([dec.raw(each(i)) for i in range(len(lists))], pa.binary())], [*b.schema.names, raw]
         if text:
-            cols, names = [*cols, pa.array([dec.text(x) for x in each], pa.string())], [*names, text]
+            cols, names = [*cols, pa.array([dec.text(each(i)) for i in range(len(lists))], pa.string())], [*names, text]
         return pa.RecordBatch.from_arrays(cols, names)
 
     fields = [*df.schema.fields, T.StructField(raw, T.BinaryType()), *([T.StructField(text, T.StringType())] if text else [])]

@@ -9,8 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
@@ -46,20 +45,21 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def is_empty_text(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit(""))
+#: Rows that a function of map_arrow sees at once.
+SLICE = 1024
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with a function of one batch. The batch size is Spark's (64 MB by default), so memory is bounded."""
+    """mapInArrow with a function of one batch. Spark's batches (64 MB at most by default) are handed over in slices of SLICE rows."""
 
     def run(batches):
-        for b in batches:
-            out = fn(b)
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):
+                out = fn(whole.slice(k, SLICE))
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                else:
+                    yield from out
 
     return df.mapInArrow(run, schema)
 

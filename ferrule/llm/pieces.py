@@ -7,7 +7,11 @@ from collections.abc import Callable
 import regex
 
 #: Entries that a memo holds before it is emptied.
-MEMO_LIMIT = 300_000
+MEMO_LIMIT = 150_000
+
+
+#: The pattern of byte-level BPE (a fixed value).
+LETTERS_FIRST = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Memo(dict):
@@ -51,8 +55,13 @@ class PieceJoiner:
     """A part's value made from its pre-tokens' values (bytes), each remembered."""
 
     def __init__(self, pattern: str, make: Callable[[str], bytes]):
-        self.find, self.piece = regex.compile(pattern).findall, Memo(make)
+        self.find, self.piece, self.usual = regex.compile(pattern).findall, Memo(make), pattern == LETTERS_FIRST
 
     def __call__(self, part: str) -> bytes:
         piece = self.piece
+        word, last = part.removeprefix(" "), part[-1]
+        if self.usual and word.isalpha():  # letters after at most one blank are one pre-token
+            return piece[part]
+        if self.usual and last in ",." and word[:-1].isalpha():
+            return piece[part[:-1]] + piece[last]
         return b"".join([piece[x] for x in self.find(part)])
