@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import regex
 
-#: Entries that a memo holds before it is emptied.
-MEMO_LIMIT = 150_000
+#: Entries of a memo's generation.
+MEMO_LIMIT = 100_000
 
 
 #: The pattern of byte-level BPE (a fixed value).
@@ -15,16 +16,21 @@ LETTERS_FIRST = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 
 
 class Memo(dict):
-    """A bounded dict that computes missing values."""
+    """A bounded dict that computes missing values. Of two generations the older is dropped when the younger is full, so what is used often
+    stays."""
 
     def __init__(self, make: Callable, limit: int = MEMO_LIMIT):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        self[key] = value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -36,16 +42,16 @@ class PartMemo:
     remembered. A text with other runs of white space next to blanks is one part.
     """
 
-    def __init__(self, make: Callable[[str], object]):
+    def __init__(self, make: Callable[[str], object], limit: int = 2 * MEMO_LIMIT):
         self.make = make
-        self.odd = regex.compile(r"\s |^ | \s| $").search
-        self.first = Memo(make, MEMO_LIMIT // 4)
-        self.rest = Memo(lambda part: make(" " + part), 2 * MEMO_LIMIT)
+        self.other_space = re.compile(r"[^\S \n]").search
+        self.first = Memo(make, limit // 8)
+        self.rest = Memo(lambda part: make(" " + part), limit)
 
     def values(self, text: str) -> list:
         if not text:
             return []
-        if "  " in text or "\n " in text or " \n" in text or self.odd(text):
+        if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " " or self.other_space(text):
             return [self.make(text)]
         head, *tail = text.split(" ")
         return [self.first[head], *map(self.rest.__getitem__, tail)]
@@ -54,8 +60,8 @@ class PartMemo:
 class PieceJoiner:
     """A part's value made from its pre-tokens' values (bytes), each remembered."""
 
-    def __init__(self, pattern: str, make: Callable[[str], bytes]):
-        self.find, self.piece, self.usual = regex.compile(pattern).findall, Memo(make), pattern == LETTERS_FIRST
+    def __init__(self, pattern: str, make: Callable[[str], bytes], limit: int = MEMO_LIMIT):
+        self.find, self.piece, self.usual = regex.compile(pattern).findall, Memo(make, limit), pattern == LETTERS_FIRST
 
     def __call__(self, part: str) -> bytes:
         piece = self.piece

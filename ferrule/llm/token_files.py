@@ -9,8 +9,10 @@ Parquet table beside the files.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.llm.common import cut, map_arrow, remove, scratch_dir, tokenizer_path
-from ferrule.llm.pieces import PartMemo
+from ferrule.llm.pieces import LETTERS_FIRST, PartMemo, PieceJoiner
 
 VOCABULARY = "byte_bpe_50k.json"
 MAGIC, END = b"FVB1", b"\nFVB.\n"
@@ -86,15 +88,29 @@ def read_blocks(content: bytes):
         yield [None if z else int(i) for i, z in zip(ids, null)], counts, ranks
 
 
+def _byte_letters() -> dict[str, str]:
+    """The letters that stand for bytes in the vocabulary: printable Latin-1 ones for themselves, the others from U+0100 on (a fixed rule)."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return str.maketrans({chr(b): chr(0x100 + k) for k, b in enumerate(rest)})
+
+
 def _tokenizer(path: str) -> PartMemo:
+    """Pre-tokens go straight to the library's model, which is half the time of its whole chain for a short string; their strings of special
+    tokens are so ordinary text."""
     if path not in _TOKENIZERS:
+        gc.disable()  # the memos hold no cycles, and walking them is costly
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _TOKENIZERS[path] = PartMemo(lambda part: np.array(t.encode(part, add_special_tokens=False).ids, "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4").tobytes())
-        _TOKENIZERS[path].kind = "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
+        kind, letters, model = "H" if t.get_vocab_size() <= 1 << 16 else "I", _byte_letters(), t.model
+
+        def piece(p: str) -> bytes:
+            return array(kind, [x.id for x in model.tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
+
+        _TOKENIZERS[path] = memo = PartMemo(PieceJoiner(LETTERS_FIRST, piece), 250_000)
+        memo.kind, memo.keep = "<u2" if kind == "H" else "<u4", t
     return _TOKENIZERS[path]
 
 
