@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -123,14 +124,18 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: As _SPACE, and all other ASCII but letters and digits.
+NOT_ALNUM = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of each text after A-Z are lower-cased, and each text's first word's place
-    (n+1 offsets). Words don't cross texts. A word's hash is a polynomial of its bytes modulo 2^64, from prefix sums, finalised."""
+    (n+1 offsets). `spaces` says which bytes part words. Words don't cross texts. A word's hash is a polynomial of its bytes modulo 2^64, from prefix sums, finalised."""
     global _UP, _DOWN
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    space = _SPACE[raw]
+    space = spaces[raw]
     first = np.zeros(n, bool)
     inner = offsets[1:-1]
     first[inner[inner < n]] = True
@@ -186,3 +191,29 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for a broadcast if it has at most so many rows; else as it is, and Spark joins by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, root): the least node of each connected component, for nodes of the edges (a, b) other than roots. By alternating large-star and
+    small-star steps, each written to the shared folder; a logarithmic number of them. Self-loops and repeated edges don't matter."""
+    spark = edges.sparkSession
+    first = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    stars, mark = cut(first, name), None
+    while True:
+        both = stars.unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
+        new = cut(small, name)
+        now = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        old, stars = stars, new
+        remove(spark, old.inputFiles()[0].rsplit("/", 1)[0])
+        if now == mark:
+            return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        mark = now

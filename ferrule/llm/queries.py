@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import bpe, media, token_files, url_filter, warc, wordpiece
+from ferrule.llm import bpe, media, ngram_join, token_files, url_filter, warc, wordpiece
 from ferrule.llm.common import read_table, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.new_folder(spark)
     warc.write(read_table(spark, sf_dir, "pages"), out)
     return warc.read(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
