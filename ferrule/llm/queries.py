@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import bpe, media, ngram_join, token_files, url_filter, warc, wordpiece
+from ferrule.llm import bpe, decontaminate, media, ngram_join, token_files, url_filter, warc, wordpiece
 from ferrule.llm.common import read_table, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+@_query
+def op4_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs, bench).select("doc_id", "item_id", "coverage", F.col("matched").alias("matched_tokens"), F.col("n_tiles").cast("long").alias("n_tiles"))
