@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import bpe, decontaminate, media, ngram_join, token_files, url_filter, warc, wordpiece
+from ferrule.llm import bpe, decontaminate, media, ngram_join, token_files, toxicity, url_filter, warc, wordpiece
 from ferrule.llm.common import read_table, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark")
     return decontaminate.contaminated(docs, bench).select("doc_id", "item_id", "coverage", F.col("matched").alias("matched_tokens"), F.col("n_tiles").cast("long").alias("n_tiles"))
+
+
+@_query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (toxicity.crc_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
