@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import _BYTE, map_arrow, release_shuffles
+from ferrule.llm.common import _BYTE, cut, map_arrow
 
 LEAST, GREATEST, MASK_BITS = 32 << 10, 128 << 10, 15
 RATE = 8000
@@ -82,66 +82,91 @@ def padded(text: str | None) -> tuple[bytes, int]:
     return raw + b"\0" * (64 if not raw else -len(raw) % 64), len(raw)
 
 
-def _chunked(docs: DataFrame, doc_id: str, text: str, with_data: bool) -> DataFrame:
-    """A row for each document with its manifest, or a row for each chunk that a batch has not had before with its data."""
+#: Digests that occur more than once, up to this many (8 bytes of each), are told to every task; with more, all chunks are deduplicated by a shuffle.
+TOLD_DIGESTS = 2_000_000
 
-    def fn(b: pa.RecordBatch):
-        z = zstandard.ZstdCompressor(level=6)
-        seen: set[bytes] = set()
+
+def _manifest(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for t in b.column(1).to_pylist():
             payload, n = padded(t)
-            media = to_wave(payload)
-            begin, digests = 0, []
+            begin, digests, media = 0, [], to_wave(payload)
             for end in cuts(media):
+                digests.append(hashlib.sha256(media[begin:end]).digest())
+                begin = end
+            rows.append((n, hashlib.sha256(b"".join(digests)).digest(), digests))
+        n, medium, chunks = zip(*rows)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(medium, pa.binary()), pa.array(chunks, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "medium", "chunks"])
+
+    return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), fn, "doc_id long, n_bytes long, medium binary, chunks array<binary>")
+
+
+def _chunks(docs: DataFrame, text: str, told: np.ndarray | None) -> DataFrame:
+    """(digest, data, whole, part, common): chunks with their compressed data; whole: a medium of its own, part: one of several of a medium, common: the
+    digest may occur again (0 or 1)."""
+    common = None if told is None else frozenset(told.tolist())
+
+    def fn(b: pa.RecordBatch):
+        z = zstandard.ZstdCompressor(level=6)
+        seen: set[tuple] = set()
+        rows = []
+        for t in b.column(0).to_pylist():
+            media = to_wave(padded(t)[0])
+            begin, ends = 0, cuts(media)
+            for end in ends:
                 chunk = media[begin:end]
-                digests.append(digest := hashlib.sha256(chunk).digest())
-                if with_data and digest not in seen:
-                    seen.add(digest)
-                    rows.append((digest, z.compress(chunk)))
+                digest = hashlib.sha256(chunk).digest()
+                key = (digest, len(ends) == 1)
+                if key not in seen:
+                    seen.add(key)
+                    again = common is None or digest[:8] in common
+                    rows.append((digest, z.compress(chunk), len(ends) == 1, len(ends) > 1, int(again)))
                 begin = end
-            if not with_data:
-                rows.append((doc, n, hashlib.sha256(b"".join(digests)).digest(), digests))
             if len(rows) >= 512:
                 yield batch(rows)
                 rows = []
         if rows:
             yield batch(rows)
 
-    kinds = (pa.binary(), pa.binary()) if with_data else (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()))
-    names = ["digest", "data"] if with_data else ["doc_id", "n_bytes", "medium", "chunks"]
-
     def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        kinds = (pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["digest", "data", "whole", "part", "common"])
 
-    schema = "digest binary, data binary" if with_data else "doc_id long, n_bytes long, medium binary, chunks array<binary>"
-    return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), fn, schema)
+    return map_arrow(docs.select(F.col(text).alias("text")), fn, "digest binary, data binary, whole boolean, part boolean, common int")
 
 
 def store(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Writes out/manifest (doc_id, n_bytes, medium, chunks: digests in order) and out/chunks (digest, data: zstandard), each digest once.
+    """Writes out/manifest (doc_id, n_bytes, medium, chunks: digests in order) and the chunks (digest, data: zstandard, whole, part), each digest once: those
+    that occur once under out/raw/common=0, one of each of the others under out/kept.
 
     Null and empty texts are a payload of 64 zero bytes. Repeated rows and null ids have rows of their own in the manifest, and share the
-    medium. Chunk data is shuffled once, compressed, by digest; copies within a batch are dropped before that. The texts are cut twice, as
-    that costs less than keeping the chunks in between."""
+    medium. Digests are counted by a shuffle of digests only; then the texts are cut again, chunks that occur once go straight to the store, and
+    only those that occur again are shuffled, to keep one of each."""
     spark = docs.sparkSession
-    _chunked(docs, doc_id, text, False).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/manifest")
-    _chunked(docs, doc_id, text, True).dropDuplicates(["digest"]).write.mode("overwrite").option("compression", "none").parquet(f"{out}/chunks")
-    release_shuffles(spark)
+    _manifest(docs, doc_id, text).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/manifest")
+    counts = spark.read.parquet(f"{out}/manifest").select(F.explode("chunks").alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("c"))
+    again = cut(counts.filter("c > 1").select(F.substring("digest", 1, 8).alias("d")).distinct(), "again")
+    told = np.array([bytes(r[0]) for r in again.collect()], dtype=object) if again.count() <= TOLD_DIGESTS else None
+    _chunks(docs, text, told).write.mode("overwrite").partitionBy("common").option("compression", "none").parquet(f"{out}/raw")
+    raw = spark.read.schema("digest binary, data binary, whole boolean, part boolean, common int").parquet(f"{out}/raw")
+    kept = raw.filter("common = 1").groupBy("digest").agg(F.first("data").alias("data"), F.max("whole").alias("whole"), F.max("part").alias("part"))
+    kept.write.mode("overwrite").option("compression", "none").parquet(f"{out}/kept")
 
 
 def read(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     """The manifest (doc_id, n_bytes, medium) and the media (medium, media, payload, feature), one for each distinct manifest, reconstructed from the
     chunks in order and verified: each chunk against its digest, the list against the medium's. A missing or damaged chunk raises
-    ValueError. Media of one chunk need no gathering; for others at most one document's chunks come together."""
+    ValueError. A medium of one chunk is read where the chunk is; only chunks of longer ones are joined to their manifests by digest and
+    gathered, at most one document's at once."""
     manifest = spark.read.parquet(f"{out}/manifest")
-    chunks = spark.read.parquet(f"{out}/chunks")
-    lists = manifest.select("medium", "chunks").dropDuplicates(["medium"])
-    refs = lists.select("medium", F.size("chunks").alias("n"), F.posexplode("chunks").alias("k", "digest"))
-    part = F.struct("k", "digest", "data")
-    single = refs.filter("n = 1").join(chunks, "digest", "left").select("medium", F.array(part).alias("parts"))
-    many = refs.filter("n > 1").join(chunks, "digest", "left").groupBy("medium").agg(F.collect_list(part).alias("parts"))
-    return manifest.select("doc_id", "n_bytes", "medium"), _rebuild(single).unionAll(_rebuild(many))
+    chunk = "digest binary, data binary, whole boolean, part boolean"
+    once = spark.read.schema(chunk + ", common int").parquet(f"{out}/raw").filter("common = 0").drop("common")
+    chunks = once.unionAll(spark.read.schema(chunk).parquet(f"{out}/kept"))
+    one = chunks.filter("whole").select(F.unhex(F.sha2("digest", 256)).alias("medium"), F.array(F.struct(F.lit(0).alias("k"), "digest", "data")).alias("parts"))
+    refs = manifest.filter("size(chunks) > 1").select("medium", "chunks").dropDuplicates(["medium"]).select("medium", F.posexplode("chunks").alias("k", "digest"))
+    many = refs.join(chunks.filter("part").select("digest", "data"), "digest", "left").groupBy("medium").agg(F.collect_list(F.struct("k", "digest", "data")).alias("parts"))
+    return manifest.select("doc_id", "n_bytes", "medium"), _rebuild(one.unionAll(many))
 
 
 def _rebuild(parts: DataFrame) -> DataFrame:

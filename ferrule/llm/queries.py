@@ -48,7 +48,7 @@ def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = whole.select(
         "medium", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature"
     )
-    return manifest.join(seen, "medium").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return manifest.join(seen, "medium", "left").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 #: The rules of the URL filter's contract.
