@@ -109,7 +109,7 @@ def _tokenizer(path: str) -> PartMemo:
         def piece(p: str) -> bytes:
             return array(kind, [x.id for x in model.tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
 
-        _TOKENIZERS[path] = memo = PartMemo(PieceJoiner(LETTERS_FIRST, piece), 250_000)
+        _TOKENIZERS[path] = memo = PartMemo(PieceJoiner(LETTERS_FIRST, piece, 80_000), 120_000)
         memo.kind, memo.keep = "<u2" if kind == "H" else "<u4", t
     return _TOKENIZERS[path]
 
