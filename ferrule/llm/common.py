@@ -47,16 +47,29 @@ def release_shuffles(spark: SparkSession) -> None:
 
 
 #: Rows that a function of map_arrow sees at once.
-SLICE = 1024
+SLICE, SLICE_BYTES = 1024, 4 << 20
+
+
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for k in range(0, b.num_rows, SLICE):
+        todo = [b.slice(k, SLICE)]
+        while todo:
+            x = todo.pop()
+            if x.num_rows > 1 and x.nbytes > SLICE_BYTES:
+                half = x.num_rows // 2
+                todo += [x.slice(half), x.slice(0, half)]
+            else:
+                yield x
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with a function of one batch. Spark's batches (64 MB at most by default) are handed over in slices of SLICE rows."""
+    """mapInArrow with a function of one batch. Spark's batches (64 MB at most by default) are handed over in slices of at most SLICE rows and
+    SLICE_BYTES, or of one row that is larger."""
 
     def run(batches):
         for whole in batches:
-            for k in range(0, whole.num_rows, SLICE):
-                out = fn(whole.slice(k, SLICE))
+            for part in slices(whole):
+                out = fn(part)
                 if isinstance(out, pa.RecordBatch):
                     yield out
                 else:

@@ -9,7 +9,7 @@ symmetric difference, prunes what meets by chance, and an exact check on the shi
 
 Groups are never expanded into all pairs: documents of a cell are compared with one of them, linked ones are merged, and only cells that
 still hold more than one component go on, with another centre; what is left after STAR_ROUNDS is compared across components inside a
-join.
+join whose condition has the sketches, so only pairs that they allow become rows.
 """
 
 from __future__ import annotations
@@ -78,27 +78,30 @@ def _cells(h: np.ndarray, doc: np.ndarray, sizes: np.ndarray, band: int, d: int)
     return np.concatenate(keys), np.concatenate(docs)
 
 
-def _sketch(h: np.ndarray) -> bytes:
-    """Parity bits at hash modulo a power of two, of at least twice the set's size; sketches of other sizes can be folded to it."""
-    bits = max(64, 1 << int(2 * len(h) - 1).bit_length()) if len(h) else 64
-    odd = np.bincount((mix64(h) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+#: Bits of a sketch, in words of 64.
+SKETCH_WORDS = 8
 
 
-def hamming(a: bytes, b: bytes) -> int:
-    """Of two sketches, the longer folded by XOR of its halves: at most the size of the sets' symmetric difference."""
-    x, y, n, m = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a), 8 * len(b)
-    while n > m:
-        n //= 2
-        x = x >> n ^ x & (1 << n) - 1
-    while m > n:
-        m //= 2
-        y = y >> m ^ y & (1 << m) - 1
-    return (x ^ y).bit_count()
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parity bits of a set's hashes, as signed 64-bit words. The Hamming distance of two is at most the size of the symmetric difference."""
+    odd = np.bincount((mix64(h) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _may_link(num: int, den: int) -> str:
+    """SQL: sizes (na, nb) and sketches (sa0, sb0, ...) allow a link."""
+    far = " + ".join(f"bit_count(sa{i} ^ sb{i})" for i in range(SKETCH_WORDS))
+    return f"{den} * least(na, nb) >= {num} * greatest(na, nb) AND {den + num} * ({far}) <= {den - num} * (na + nb)"
+
+
+def _side(sketches: DataFrame, x: str) -> DataFrame:
+    return sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"s{i}").alias(f"s{x}{i}") for i in range(SKETCH_WORDS)])
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, digest, sketch, keys)."""
+    """(doc_id, n, digest, s0, s1, ..., keys)."""
+
+    words = [f"s{i}" for i in range(SKETCH_WORDS)]
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         h, at = _sets(b.column(1), k)
@@ -117,26 +120,18 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: i
         order = np.argsort(of, kind="stable")
         ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(sizes)))])
         each = [h[at[i] : at[i + 1]] for i in range(len(sizes))]
+        bits = np.array([sketch(x) for x in each], np.int64).reshape(-1, SKETCH_WORDS)
         return pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(sizes), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in each]), pa.array([_sketch(x) for x in each]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[order].view(np.int64)))],
-            ["doc_id", "n", "digest", "sketch", "keys"],
+            [b.column(0), pa.array(sizes), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in each]), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH_WORDS)], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[order].view(np.int64)))],
+            ["doc_id", "n", "digest", *words, "keys"],
         )
 
-    return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), fn, "doc_id long, n long, digest binary, sketch binary, keys array<long>")
+    return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), fn, f"doc_id long, n long, digest binary, {', '.join(f'{w} long' for w in words)}, keys array<long>")
 
 
 def _pruned(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow a link."""
-
-    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
-        far = np.array([hamming(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())], np.int64)
-        keep = far * (den + num) <= (den - num) * (na + nb)
-        return pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns[:2]], ["a", "b"])
-
-    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb")
-    return map_arrow(both, fn, "a long, b long").distinct()
+    return pairs.join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b").filter(_may_link(num, den)).select("a", "b")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -181,12 +176,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     same = cut(sets.join(firsts, "digest").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "same")
     copies = same.select(F.col("b").alias("doc_id")).distinct()
     alone = sigs.filter("n > 0 and doc_id is not null").join(bounded(copies, BROADCAST_IDS), "doc_id", "left_anti")
-    sketches = alone.select("doc_id", "n", "sketch")
+    sketches = cut(alone.drop("keys", "digest"), "sketches")
     keyed = alone.select("doc_id", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
     shared = cut(keyed.join(met, "key"), "shared")
     release_shuffles(spark)
-    edges, tried, done = same, None, [*_folder(same), *_folder(shared)]
+    edges, tried, done = same, None, [*_folder(same), *_folder(shared), *_folder(sketches)]
     active = shared.withColumn("comp", F.col("doc_id"))
     for turn in range(STAR_ROUNDS + 1):
         if turn < STAR_ROUNDS:
@@ -194,15 +189,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             centre = active.groupBy("key").agg(F.min(rank).alias("c")).select("key", F.col("c.doc_id").alias("c"), F.col("c.comp").alias("cc"))
             pairs = active.join(centre, "key").filter("comp <> cc").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
         else:
-            n_of = active.join(sketches.select("doc_id", "n"), "doc_id")
-            x, y = n_of.select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na")), n_of.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-            pairs = x.join(y, "key").filter(f"a < b and ca <> cb and {den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b").distinct()
+            x = active.join(_side(sketches, "a").withColumnRenamed("a", "doc_id"), "doc_id").withColumnRenamed("doc_id", "a").withColumnRenamed("comp", "ca")
+            y = active.join(_side(sketches, "b").withColumnRenamed("b", "doc_id"), "doc_id").withColumnRenamed("doc_id", "b").withColumnRenamed("comp", "cb")
+            pairs = x.join(y, "key").filter(f"a < b AND ca <> cb AND {_may_link(num, den)}").select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        new = cut(_pruned(pairs, sketches, num, den), "pruned")
-        links = _linked(new, plain, k, num, den)
-        remove(spark, *_folder(new))
+        # the last turn's join has pruned its pairs itself
+        pairs = cut(pairs if turn == STAR_ROUNDS else _pruned(pairs, sketches, num, den), "pairs")
+        links = _linked(pairs, plain, k, num, den)
         done += [*_folder(pairs), *_folder(links)]
         tried = pairs if tried is None else tried.unionAll(pairs)
         edges = edges.unionAll(links)
