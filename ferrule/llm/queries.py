@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import bpe, decontaminate, media, ngram_join, token_files, toxicity, url_filter, warc, wordpiece
+from ferrule.llm import bpe, decontaminate, licenses, media, ngram_join, token_files, toxicity, url_filter, warc, wordpiece
 from ferrule.llm.common import read_table, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, labels)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (toxicity.crc_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query
+def op3_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line", "license", "reduction", F.size("differences").cast("long").alias("n_differences"))
