@@ -74,3 +74,38 @@ upper = define_entity(
         "label": f("n", "n_name", alias="tagged", transform=lambda v, row: F.concat(v, F.lit("#"), row("id").cast("string"))),
     },
 )
+
+
+# records for the write side: customers with their nation as a sub-object, orders with their lines
+
+from ferrule.model import Lines, Owned  # noqa: E402
+
+customer_record = define_entity(
+    "customer",
+    CUSTOMERS,
+    {"id": f("c", "c_custkey", primary=True, readonly=True), "name": f("c", "c_name", type="string"), "balance": f("c", "c_acctbal", type="float"), "nation_name": f("c", "name", nest_path="nation.name", access="owned", access_id="nation"), "nation_region": f("c", "region", type="integer", nest_path="nation.region", access="owned", access_id="nation")},
+    relationships={"nation": Owned("nation", clear_field="c_mktsegment")},
+)
+order_record = define_entity(
+    "order",
+    ORDERS,
+    {
+        "id": f("o", "o_orderkey", primary=True),
+        "status": f("o", "o_orderstatus", type="string"),
+        "lines_part": f("l", "part", type="key", nest_path="lines.part", many=True, access="lines", access_id="item", update={"kind": "lines", "access_id": "item", "match_by": "lines.part"}),
+        "lines_qty": f("l", "qty", type="float", nest_path="lines.qty", many=True, access="lines", access_id="item"),
+    },
+    relationships={"lines": Lines("item", match_field="part")},
+)
+
+
+def customer_rows(spark: SparkSession, folder: str):
+    c = catalog(spark, folder)
+    return c.table("customer").join(c.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("nation"))
+
+
+def order_rows(spark: SparkSession, folder: str):
+    """Orders that have lines, with these in the order of part, quantity and line number."""
+    c = catalog(spark, folder)
+    lines = c.table("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty"), F.col("l_linenumber").alias("number")))).alias("item"))
+    return c.table("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_orderstatus", "item")

@@ -134,3 +134,79 @@ _add("find_by_key", f"SELECT {ORDER} FROM orders WHERE o_orderkey = 7", ex.order
 _add("first_truncates_children", f"{ITEMS} SELECT id, 1 AS n FROM placed WHERE pos = 0 AND id = (SELECT min(id) FROM placed)", ex.order_lines(), lambda q: q.where_not_null("part").order_by("id")._one().nested().select("id", F.size("lines").cast("int").alias("n")))
 _add("limit_counts_rows", f"{LEFT} ORDER BY o_orderkey, l_linenumber NULLS LAST, l_partkey NULLS LAST, l_quantity NULLS LAST LIMIT 5", ex.order_lines(), lambda q: q.order_by("id").order_by("lineNo").order_by("part").order_by("qty").limit(5))
 _add("transform_values", "SELECT n_nationkey AS id, lower(n_name) AS name, n_name || '#' || n_nationkey AS label FROM nation", ex.upper, lambda q: q.nested())
+
+# changes: the snapshot after them
+
+from ferrule.operators.changes import Changes  # noqa: E402
+from ferrule.sources.store import FrameStore  # noqa: E402
+
+
+def _change(name: str, sql: str, entity, rows, key: str, flat, *patches: Callable[[Changes], Changes]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = FrameStore(rows(spark, sf_dir), key)
+        for patch in patches:
+            result = patch(Changes(entity, store)).submit()
+            if not result.success:
+                raise RuntimeError(result.error)
+        return flat(store.current())
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = sql
+
+
+_customers = lambda df: df.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", F.col("nation.name").alias("nation"), F.col("nation.region").alias("region"))
+_items = lambda df: df.select("o_orderkey", "o_orderstatus", F.posexplode("item").alias("pos", "x")).select("o_orderkey", "o_orderstatus", F.col("pos").cast("long").alias("pos"), "x.part", "x.qty", "x.number")
+C = "FROM customer JOIN nation ON c_nationkey = n_nationkey"
+_change("update_body", f"SELECT c_custkey, CASE WHEN c_custkey = 7 THEN 'Renamed' ELSE c_name END AS c_name, CASE WHEN c_custkey = 7 THEN 12.5 ELSE c_acctbal END AS c_acctbal, c_mktsegment, n_name AS nation, n_regionkey AS region {C}", ex.customer_record, ex.customer_rows, "c_custkey", _customers, lambda c: c.id(7).patch({"name": "Renamed", "balance": "12.5kg"}))
+_change("update_owned", f"SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey = 7 THEN '' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey = 7 THEN 'Nowhere' ELSE n_name END AS nation, CASE WHEN c_custkey = 7 THEN 3 ELSE n_regionkey END AS region {C}", ex.customer_record, ex.customer_rows, "c_custkey", _customers, lambda c: c.id(7).owned("nation").set("name", "Nowhere").set("region", 3.9).end())
+_change("update_twice", f"SELECT c_custkey, CASE c_custkey WHEN 7 THEN 'A' WHEN 8 THEN 'B' ELSE c_name END AS c_name, c_acctbal, c_mktsegment, n_name AS nation, n_regionkey AS region {C}", ex.customer_record, ex.customer_rows, "c_custkey", _customers, lambda c: c.id(7).set("name", "A"), lambda c: c.id(8).set("name", "B"))
+L = "WITH l AS (SELECT o_orderkey, o_orderstatus, l_partkey AS part, l_quantity AS qty, l_linenumber AS number, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_partkey, l_quantity, l_linenumber) - 1 AS pos FROM orders JOIN lineitem ON o_orderkey = l_orderkey), one AS (SELECT min(o_orderkey) AS k FROM (SELECT o_orderkey FROM l GROUP BY 1 HAVING count(*) >= 4))"
+
+
+def _line_change(name: str, sql: str, patch: Callable[[Changes], Changes]) -> None:
+    """Changes of the first order with four lines or more."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = ex.order_rows(spark, sf_dir)
+        key = df.filter(F.size("item") >= 4).agg(F.min("o_orderkey")).first()[0]
+        store = FrameStore(df, "o_orderkey")
+        result = patch(Changes(ex.order_record, store).id(key), df.filter(F.col("o_orderkey") == key).first()["item"]).submit()
+        if not result.success:
+            raise RuntimeError(result.error)
+        return _items(store.current())
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"{L} {sql}"
+
+
+_line_change("line_remove", "SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderkey ORDER BY pos) - 1 AS pos, part, qty, number FROM l WHERE NOT (o_orderkey = (SELECT k FROM one) AND pos IN (0, 2))", lambda c, item: c.remove_line("item", 0).remove_line("item", 2))
+_line_change("line_update_index", "SELECT o_orderkey, o_orderstatus, pos, part, CASE WHEN o_orderkey = (SELECT k FROM one) AND pos = 1 THEN 99.0 ELSE qty END AS qty, number FROM l", lambda c, item: c.update_line("item", 1, {"lines": {"qty": 99}}))
+_line_change("line_update_match", "SELECT o_orderkey, o_orderstatus, pos, part, CASE WHEN o_orderkey = (SELECT k FROM one) AND pos = (SELECT min(pos) FROM l x WHERE x.o_orderkey = (SELECT k FROM one) AND x.part = (SELECT part FROM l y WHERE y.o_orderkey = (SELECT k FROM one) AND y.pos = 2)) THEN 98.0 ELSE qty END AS qty, number FROM l", lambda c, item: c.patch({"lines": {"update": [{"match": {"field": "part", "value": item[2]["part"]}, "values": {"qty": 98}}]}}))
+_line_change("line_add", "SELECT * FROM (SELECT o_orderkey, o_orderstatus, pos, part, qty, number FROM l UNION ALL SELECT o_orderkey, any_value(o_orderstatus), count(*), 5, 1.5, NULL FROM l WHERE o_orderkey = (SELECT k FROM one) GROUP BY 1)", lambda c, item: c.collection("lines").add_line({"part": "5", "qty": 1.5}).end())
+_line_change("line_mixed", "SELECT o_orderkey, CASE WHEN o_orderkey = (SELECT k FROM one) THEN 'X' ELSE o_orderstatus END AS o_orderstatus, pos, part, qty, number FROM (SELECT o_orderkey, o_orderstatus, pos - (o_orderkey = (SELECT k FROM one) AND pos > 1)::INT AS pos, part, CASE WHEN o_orderkey = (SELECT k FROM one) AND pos = 2 THEN 97.0 ELSE qty END AS qty, number FROM l WHERE NOT (o_orderkey = (SELECT k FROM one) AND pos = 1) UNION ALL SELECT o_orderkey, any_value(o_orderstatus), count(*) - 1, 6, NULL, NULL FROM l WHERE o_orderkey = (SELECT k FROM one) GROUP BY 1)", lambda c, item: c.patch({"status": "X", "lines": {"remove": [1], "update": [{"line": 1, "values": {"qty": 97}}], "add": [{"part": 6}]}}))
+
+
+def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = {
+        "empty": Changes(ex.customer_record).id(1),
+        "body": Changes(ex.customer_record).id(1).set("name", "x").set("balance", 2),
+        "owned": Changes(ex.customer_record).id(1).set("name", "x").owned("nation").set("name", "y").end(),
+        "lines": Changes(ex.order_record).id(1).remove_line("item", 3).collection("lines").add_line({"part": 1}).update_line_by("part", 5, {"qty": 1}).end(),
+    }
+    rows = [(n, p.mode, p.pending, p.calls, p.loads, p.saves, p.line_scans, p.reloads, len(p.operations)) for n, p in ((n, c.plan()) for n, c in cases.items())]
+    return spark.createDataFrame(rows, "name string, mode string, pending long, calls long, loads long, saves long, scans long, reloads long, operations long")
+
+
+QUERIES["plan_modes"] = _plans
+ORACLE_SQL["plan_modes"] = "SELECT * FROM (VALUES ('empty', 'none', 0, 0, 0, 0, 0, 0, 0), ('body', 'submit_fields', 2, 1, 0, 0, 0, 0, 1), ('owned', 'load_save', 2, 4, 2, 2, 0, 1, 4), ('lines', 'load_save', 3, 2, 1, 1, 1, 0, 5)) t(name, mode, pending, calls, loads, saves, scans, reloads, operations)"
+
+
+def _guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = lambda **o: Changes(ex.order_record, FrameStore(ex.order_rows(spark, sf_dir), "o_orderkey")).id(1).with_options(**o).collection("lines").update_line_by("part", 5, {"qty": 1}).end()
+    owned = lambda **o: Changes(ex.customer_record).id(1).with_options(**o).owned("nation").set("name", "y").end()
+    cases = {"fast": lines(require_fast_path=True), "scan": lines(allow_line_scans=False), "calls": owned(max_record_calls=3), "reload": owned(allow_reloads=False, require_fast_path=True), "no id": Changes(ex.customer_record).set("name", "x")}
+    return spark.createDataFrame([(n, r.success, r.error.count(";") + 1) for n, r in ((n, c.submit()) for n, c in cases.items())], "name string, success boolean, problems long")
+
+
+QUERIES["guardrails"] = _guardrails
+ORACLE_SQL["guardrails"] = "SELECT * FROM (VALUES ('fast', false, 1), ('scan', false, 1), ('calls', false, 1), ('reload', false, 2), ('no id', false, 1)) t(name, success, problems)"
