@@ -151,14 +151,16 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return m
-    inputs = Memo(word_inputs, 1 << 30)
-    docs = [words_of(t) for t in texts]
+    inputs = Memo(lambda w: ((got := word_inputs(w))[0], np.array(got[1], np.uint16)), 1 << 30)
+    known: dict[str, str] = {}  # one object for each word
+    docs = [[known.setdefault(w, w) for w in words_of(t)] for t in texts]
     # log odds of each bucket: how many toxic and other texts have it; evidence seen in few texts counts less
     seen = {"word": np.zeros((2, BUCKETS)), "char": np.zeros((2, BUCKETS))}
     for ws, label in zip(docs, labels):
         got = [inputs[w] for w in set(ws)]
         seen["word"][label, list({b for b, _ in got})] += 1
-        seen["char"][label, list({c for _, cs in got for c in cs})] += 1
+        if got:
+            seen["char"][label, np.unique(np.concatenate([cs for _, cs in got]))] += 1
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
     for name, (neg, pos) in seen.items():
         odds = np.log((pos + 0.3) / (n1 + 1)) - np.log((neg + 0.3) / (n0 + 1))
