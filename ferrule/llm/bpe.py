@@ -37,7 +37,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """encode(piece): the token ids of one pre-token. States are made when first reached; beyond max_states all are forgotten."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: b for b, r in ranks.items()}
         # the trie: children by node * 256 + byte, and the token that ends at each node
@@ -61,17 +61,18 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.states: dict[tuple, int] = {}
-        self.configs: list[tuple] = []
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
-        self.start = self._state((((), -1, 0),))
-
-    def _state(self, configs: tuple) -> int:
-        s = self.states.get(configs)
+        # a state is a flat tuple: for each configuration the number of its waiting tokens, these, its last token and its trie node
+        self.states: dict[tuple[int, ...], int] = {}
+        self.configs: list[tuple[int, ...]] = []
+        self.moves: dict[int, int] = {}
+        self.puts: dict[int, list[int]] = {}
+        self.start = self._state((0, -1, 0))
+
+    def _state(self, flat: tuple[int, ...]) -> int:
+        s = self.states.get(flat)
         if s is None:
-            s = self.states[configs] = len(self.configs)
-            self.configs.append(configs)
+            s = self.states[flat] = len(self.configs)
+            self.configs.append(flat)
         return s
 
     # which tokens may stand beside each other
@@ -131,37 +132,46 @@ class Transducer:
 
     # the determinised machine
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _move(self, key: int) -> int:
+        """The state that a state goes to on a byte; tokens that go out on the way are in puts."""
         live, child, token_at, pairs, ended = [], self.child, self.token_at, self.pairs, False
-        for out, last, node in self.configs[state]:
+        state, byte = self.configs[key >> 8], key & 255
+        i, n = 0, len(state)
+        while i < n:
+            k = i + 1 + state[i]
+            last, node = state[k], state[k + 1]
             nxt = child.get(node << 8 | byte)
-            if nxt is None:
-                continue
-            live.append((out, last, nxt))
-            if not ended:  # what has been read has one encoding, so one configuration at most ends a token here
-                token = token_at[nxt]
-                if token >= 0:
-                    known = True if last < 0 else pairs.get(last << 32 | token)
-                    if known or known is None and self.fits(last, token):
-                        live.append((out + (token,), token, 0))
-                        ended = True
-        common = live[0][0]
-        for config in live:
-            out = config[0]
-            if not out or not common or out[0] != common[0]:
-                common = ()
-                break
-            k = 1
-            while k < len(common) and k < len(out) and common[k] == out[k]:
-                k += 1
-            common = common[:k]
-        if common:
-            k = len(common)
-            live = [(out[k:], last, node) for out, last, node in live]
-        return self._state(tuple(live)), common
+            if nxt is not None:
+                out = state[i + 1 : k]
+                live.append((out, last, nxt))
+                if not ended:  # what has been read has one encoding, so one configuration at most ends a token here
+                    token = token_at[nxt]
+                    if token >= 0:
+                        known = True if last < 0 else pairs.get(last << 32 | token)
+                        if known or known is None and self.fits(last, token):
+                            live.append((out + (token,), token, 0))
+                            ended = True
+            i = k + 2
+        k, first = 0, live[0][0]
+        while all(len(c[0]) > k and c[0][k] == first[k] for c in live) if k < len(first) else False:
+            k += 1
+        flat: list[int] = []
+        for out, last, node in live:
+            flat.append(len(out) - k)
+            flat += out[k:]
+            flat.append(last)
+            flat.append(node)
+        if k:
+            self.puts[key] = list(first[:k])
+        to = self.moves[key] = self._state(tuple(flat))
+        return to
 
     def _end(self, state: int) -> tuple[int, ...]:
-        return next(out for out, _, node in self.configs[state] if node == 0)
+        """The waiting tokens of the configuration that has just ended a token."""
+        flat, i = self.configs[state], 0
+        while flat[i + 2 + flat[i]]:
+            i += 3 + flat[i]
+        return flat[i + 1 : i + 1 + flat[i]]
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -171,18 +181,16 @@ class Transducer:
             return []
         if len(self.configs) > self.max_states:
             self.reset()
-        moves, state, out = self.moves, self.start, []
+        moves, puts, state, out = self.moves.get, self.puts.get, self.start, []
         for b in piece:
             key = state << 8 | b
-            move = moves.get(key)
-            if move is None:
-                move = moves[key] = self._move(state, b)
-            state, put = move
+            state = moves(key)
+            if state is None:
+                state = self._move(key)
+            put = puts(key)
             if put:
                 out += put
-        if state not in self.ends:
-            self.ends[state] = self._end(state)
-        out += self.ends[state]
+        out += self._end(state)
         return out
 
 
@@ -197,8 +205,33 @@ class Utf8Machine:
         self.low, self.high, self.need, self.code = 0x80, 0xBF, 0, 0
 
     def feed(self, data: bytes) -> str:
-        if not self.need and data.isascii():
-            return data.decode("ascii")
+        """Bytes within whole characters are decoded at once; the machine walks over what a cut has split, and over ill-formed parts."""
+        head = 0
+        if self.need:
+            head = 1
+            while head < len(data) and head < 4 and 0x80 <= data[head] <= 0xBF:
+                head += 1
+        tail = len(data)
+        while tail > head and len(data) - tail < 3 and 0x80 <= data[tail - 1] <= 0xBF:
+            tail -= 1
+        if tail > head and data[tail - 1] >= 0xC0:
+            tail -= 1
+        else:
+            tail = len(data)
+        try:
+            middle = data[head:tail].decode()
+        except UnicodeDecodeError:
+            return self._walk(data)
+        return self._walk(data[:head]) + self._join(middle) + self._walk(data[tail:])
+
+    def _join(self, middle: str) -> str:
+        """A character that is still open before the middle is ill-formed."""
+        if self.need and middle:
+            self.low, self.high, self.need = 0x80, 0xBF, 0
+            return "\ufffd" + middle
+        return middle
+
+    def _walk(self, data: bytes) -> str:
         out, i, n = [], 0, len(data)
         while i < n:
             b = data[i]
@@ -209,7 +242,7 @@ class Utf8Machine:
                         out.append(chr(self.code))
                     i += 1
                 else:  # the byte is looked at again, as a first one
-                    out.append("�")
+                    out.append("\ufffd")
                     self.need, self.low, self.high = 0, 0x80, 0xBF
                 continue
             i += 1
@@ -218,14 +251,14 @@ class Utf8Machine:
                 continue
             form = next((f for f in self.FORMS if f[0] <= b <= f[1]), None)
             if form is None:
-                out.append("�")
+                out.append("\ufffd")
             else:
                 self.low, self.high, self.need = form[2], form[3], form[4] - 1
                 self.code = b & (0x7F >> form[4])
         return "".join(out)
 
     def flush(self) -> str:
-        out = "�" if self.need else ""
+        out = "\ufffd" if self.need else ""
         self.__init__()
         return out
 
@@ -262,10 +295,17 @@ def text_encoder(path: str, pattern: str) -> PartMemo:
     return _ENCODERS[path, pattern]
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None, keep_text: bool = True) -> DataFrame:
+def decoder(path: str) -> Decoder:
+    if path not in _DECODERS:
+        _DECODERS[path] = Decoder(load_ranks(path))
+    return _DECODERS[path]
+
+
+def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None, keep_text: bool = True, decoded: str | None = None) -> DataFrame:
     """docs (without the text, if keep_text is false) with a column of token ids (array<int>) in place of a column of that name. Null and empty texts give no ids; other columns, null
     or not, and repeated rows stay as they are. If docs has a column whose name differs only in case, ids gets a name of its own
-    by underscores in front (see common.free_name)."""
+    by underscores in front (see common.free_name). If decoded is a name, that column has the text that the ids decode to, in the same
+    pass over the texts."""
     import public_tokenizers
 
     path, pattern = path or tokenizer_path(RANKS), pattern or public_tokenizers.PATTERN
@@ -281,9 +321,12 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
         cols, names = [*b.columns], [*b.schema.names]
         if not keep_text:
             del cols[at], names[at]
+        if decoded:
+            dec = decoder(path)
+            return pa.RecordBatch.from_arrays([*cols, col, pa.array([dec.text(array("i", p)) for p in parts], pa.string())], [*names, ids, decoded])
         return pa.RecordBatch.from_arrays([*cols, col], [*names, ids])
 
-    return map_arrow(docs, fn, T.StructType([*(f for f in docs.schema.fields if keep_text or f.name != text), T.StructField(ids, T.ArrayType(T.IntegerType(), False))]))
+    return map_arrow(docs, fn, T.StructType([*(f for f in docs.schema.fields if keep_text or f.name != text), T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *([T.StructField(decoded, T.StringType())] if decoded else [])]))
 
 
 def decode(df: DataFrame, ids: str = "ids", raw: str = "decoded", text: str | None = None, path: str | None = None) -> DataFrame:
@@ -293,9 +336,7 @@ def decode(df: DataFrame, ids: str = "ids", raw: str = "decoded", text: str | No
     raw = free_name(df, raw)
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        if path not in _DECODERS:
-            _DECODERS[path] = Decoder(load_ranks(path))
-        dec = _DECODERS[path]
+        dec = decoder(path)
         lists = b.column(at)
         values, off = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
         null = lists.is_null().to_numpy(zero_copy_only=False)

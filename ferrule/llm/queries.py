@@ -22,8 +22,7 @@ def _query(fn):
 @_query
 def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, keep_text=False)
-    back = bpe.decode(ids)
+    back = bpe.encode(docs, keep_text=False, decoded="decoded")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
