@@ -10,6 +10,8 @@ then goes through the whole network by gradient steps on each text's highest win
 from __future__ import annotations
 
 import zlib
+from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.llm.common import free_name, map_arrow
-from ferrule.llm.pieces import Memo
 
 WINDOW, STRIDE = 48, 36
 DIM, HIDDEN, BUCKETS = 6, 6, 1 << 16
@@ -145,51 +146,82 @@ def _cut(n: int) -> list[int]:
     return list(range(0, max(n - WINDOW, 0) + STRIDE, STRIDE)) if n > WINDOW else [0]
 
 
-def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
+class Vocabulary:
+    """Words by number, with their buckets, for learning."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.word, self.grams, self.starts = array("i"), array("i"), array("i")
+
+    def ids(self, text: str | None) -> np.ndarray:
+        number, out = self.number, array("i")
+        for w in words_of(text):
+            k = number.get(w)
+            if k is None:
+                k = number[w] = len(number)
+                b, grams = word_inputs(w)
+                self.word.append(b)
+                self.starts.append(len(self.grams))
+                self.grams.extend(grams)
+            out.append(k)
+        return np.array(out, np.int32)
+
+    def vectors(self, p: dict[str, np.ndarray]) -> np.ndarray:
+        """As Model.vector, of all words."""
+        rows, starts = p["char"][np.array(self.grams, np.int32)], np.array(self.starts, np.int64)
+        c = np.add.reduceat(rows, starts, 0) / np.diff([*self.starts, len(rows)])[:, None]
+        c[:, 0] = np.maximum.reduceat(rows[:, 0], starts)
+        return np.concatenate([p["word"][np.array(self.word)], c], 1).astype(np.float32)
+
+    def buckets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct buckets of some words and of their n-grams."""
+        starts, n = self.starts, len(self.starts)
+        grams = [self.grams[starts[i] : starts[i + 1] if i + 1 < n else len(self.grams)] for i in ids.tolist()]
+        return np.unique(np.array(self.word, np.int32)[ids]), np.unique(np.concatenate([np.array(g, np.int32) for g in grams]))
+
+
+def fit(texts: Iterable[str | None], labels: list[int], seed: int = 7) -> Model:
     """Learns from whole texts. Without a row of each label the model stays as it begins and gives all texts about the same score."""
-    m, r = Model.fresh(seed), np.random.default_rng(seed)
+    m, r, vocabulary = Model.fresh(seed), np.random.default_rng(seed), Vocabulary()
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return m
-    inputs = Memo(lambda w: ((got := word_inputs(w))[0], np.array(got[1], np.uint16)), 1 << 30)
-    known: dict[str, str] = {}  # one object for each word
-    docs = [[known.setdefault(w, w) for w in words_of(t)] for t in texts]
+    docs = [vocabulary.ids(t) for t in texts]
     # log odds of each bucket: how many toxic and other texts have it; evidence seen in few texts counts less
-    seen = {"word": np.zeros((2, BUCKETS)), "char": np.zeros((2, BUCKETS))}
-    for ws, label in zip(docs, labels):
-        got = [inputs[w] for w in set(ws)]
-        seen["word"][label, list({b for b, _ in got})] += 1
-        if got:
-            seen["char"][label, np.unique(np.concatenate([cs for _, cs in got]))] += 1
+    seen = {"word": np.zeros((2, BUCKETS), np.float32), "char": np.zeros((2, BUCKETS), np.float32)}
+    for ids, label in zip(docs, labels):
+        if len(ids):
+            word, char = vocabulary.buckets(np.unique(ids))
+            seen["word"][label, word] += 1
+            seen["char"][label, char] += 1
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
     for name, (neg, pos) in seen.items():
         odds = np.log((pos + 0.3) / (n1 + 1)) - np.log((neg + 0.3) / (n0 + 1))
-        trust = (pos + neg) / (pos + neg + 2)
-        m.p[name][:, 0] = np.clip(odds * trust, -1, 5)
-    vectors = Memo(m.vector, 1 << 30)
-    # the strongest window of each text by its words' evidence is where learning begins
-    keep = [i for i, ws in enumerate(docs) if ws]
+        m.p[name][:, 0] = np.clip(odds * (pos + neg) / (pos + neg + 2), -1, 5)
+    keep = [i for i, ids in enumerate(docs) if len(ids)]
     docs, y = [docs[i] for i in keep], y[keep]
-    best = []
-    for ws in docs:
-        strength = np.array([(v := vectors[w])[0] + v[DIM] for w in ws])
-        best.append(max(_cut(len(ws)), key=lambda b: strength[b : b + WINDOW].max(initial=-9)))
     weight = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))).astype(np.float32)
+    buckets = np.array(vocabulary.word, np.int32)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in m.p.items() if k not in ("word", "char")}
     step = 0
     for turn in range(TURNS):
-        if turn:  # then the network says which window is a text's highest
-            scorer = Scorer(m)
-            best = [_cut(len(ws))[int(scorer.logits(ws).argmax())] for ws in docs]
-            vectors = Memo(m.vector, 1 << 30)
-        words = [ws[b : b + WINDOW] for ws, b in zip(docs, best)]
-        live = np.array([[1.0] * len(ws) + [0.0] * (WINDOW - len(ws)) for ws in words], np.float32)
-        x = np.array([[vectors[w] for w in ws] + [np.zeros(2 * DIM)] * (WINDOW - len(ws)) for ws in words], np.float32)
+        v = vocabulary.vectors(m.p)
+        if turn:  # the network says which window is a text's highest
+            best = Scorer(m).highest(v, docs)
+        else:  # learning begins where the words' evidence is strongest
+            strength = v[:, 0] + v[:, DIM]
+            best = [max(_cut(len(ids)), key=lambda b: strength[ids[b : b + WINDOW]].max(initial=-9)) for ids in docs]
+        places = np.full((len(docs), WINDOW), -1, np.int32)
+        for i, (ids, b) in enumerate(zip(docs, best)):
+            part = ids[b : b + WINDOW]
+            places[i, : len(part)] = part
         for _ in range(EPOCHS):
             order = r.permutation(len(y))
             for k in range(0, len(order), 128):
                 at = order[k : k + 128]
-                _, g, dx = m.gradient(x[at], live[at], y[at], weight[at])
+                live = (places[at] >= 0).astype(np.float32)
+                x = v[places[at]] * live[:, :, None]
+                _, g, dx = m.gradient(x, live, y[at], weight[at])
                 step += 1
                 for name, (first, second) in moment.items():
                     first *= 0.9
@@ -198,8 +230,8 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
                     second += 0.001 * g[name] ** 2
                     m.p[name] -= 0.01 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
                 # rows of telling words learn too, by plain steps on the components that don't hold log odds
-                for i, t in np.argwhere((live[at] > 0) & (np.abs(x[at][:, :, 0]) > 1.5)).tolist():
-                    m.p["word"][inputs[words[at[i]][t]][0], 1:] -= 0.5 * dx[i, t, 1:DIM]
+                told = np.nonzero((live > 0) & (np.abs(x[:, :, 0]) > 1.5))
+                np.add.at(m.p["word"], (buckets[places[at][told]][:, None], np.arange(1, DIM)), -0.5 * dx[told][:, 1:DIM])
     return m
 
 
@@ -244,6 +276,16 @@ class Scorer:
             self.table[begin : begin + len(fresh)] = np.concatenate([self.m.p["word"][word], c], 1).astype(np.float32) @ self.w + self.add
         return np.array([slot[w] for w in words], np.int32)
 
+    def highest(self, vectors: np.ndarray, docs: list[np.ndarray]) -> list[int]:
+        """Where each text's highest window begins; texts are numbers of words, whose vectors are given."""
+        self.table = np.concatenate([self.table[:1], vectors @ self.w + self.add])
+        out = []
+        for ids in docs:
+            begins = _cut(len(ids))
+            out.append(begins[int(self._run([ids[b : b + WINDOW] + 1 for b in begins]).argmax())])
+        self._forget()
+        return out
+
     def logits(self, words: list[str]) -> np.ndarray:
         """Of a text's windows."""
         s = self._slots(words)
@@ -317,8 +359,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     order = [F.crc32(F.col("doc_id").cast("string").cast("binary")).asc(), F.col("doc_id").asc()]
     picked = mark.filter("y = 1").orderBy(*order).limit(sample).unionAll(mark.filter("y = 0").orderBy(*order).limit(sample))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
-    got = sorted((tuple(r) for r in rows.collect()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2] or ""))
-    return fit([r[2] for r in got], [r[1] for r in got])
+    got = rows.toArrow()
+    order = sorted(range(got.num_rows), key=lambda i: (zlib.crc32(str(got[0][i].as_py()).encode()), got[0][i].as_py(), got[2][i].as_py() or ""))
+    return fit((got[2][i].as_py() for i in order), [got[1][i].as_py() for i in order])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
