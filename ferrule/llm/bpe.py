@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ferrule.llm.common import free_name, list_array, map_arrow, tokenizer_path
-from ferrule.llm.pieces import PartMemo, PieceJoiner
+from ferrule.llm.pieces import PartMemo, part_memo
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -291,7 +291,7 @@ def text_encoder(path: str, pattern: str) -> PartMemo:
     if (path, pattern) not in _ENCODERS:
         gc.disable()  # the tables hold no cycles, and walking them is costly
         machine = Transducer(load_ranks(path))
-        _ENCODERS[path, pattern] = PartMemo(PieceJoiner(pattern, lambda piece: array("i", machine.encode(piece.encode())).tobytes()))
+        _ENCODERS[path, pattern] = part_memo(pattern, lambda piece: array("i", machine.encode(piece.encode())).tobytes(), 200_000)
     return _ENCODERS[path, pattern]
 
 

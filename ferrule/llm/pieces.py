@@ -40,13 +40,24 @@ class PartMemo:
     Where a single blank stands between two characters that are not white space, a pre-token of byte-level BPE always ends before the
     blank: a blank begins a pre-token or belongs to a run of white space. So texts are cut there, and what a part becomes is
     remembered. A text with other runs of white space next to blanks is one part.
+
+    `letters`, if given, makes the value (bytes) of one pre-token; a part of letters only is one, and so are the letters before a
+    comma or full stop, and these; such parts need no pattern.
     """
 
-    def __init__(self, make: Callable[[str], object], limit: int = 2 * MEMO_LIMIT):
-        self.make = make
+    def __init__(self, make: Callable[[str], object], limit: int = 2 * MEMO_LIMIT, letters: Callable[[str], bytes] | None = None):
+        self.make, self.letters = make, letters
         self.other_space = re.compile(r"[^\S \n]").search
         self.first = Memo(make, limit // 8)
-        self.rest = Memo(lambda part: make(" " + part), limit)
+        self.rest = Memo(self._letters if letters else lambda part: make(" " + part), limit)
+        self.mark = Memo(letters, 16)
+
+    def _letters(self, part: str) -> bytes:
+        if part.isalpha():
+            return self.letters(" " + part)
+        if part[-1] in ",." and part[:-1].isalpha():
+            return self.rest[part[:-1]] + self.mark[part[-1]]
+        return self.make(" " + part)
 
     def values(self, text: str) -> list:
         if not text:
@@ -61,13 +72,14 @@ class PieceJoiner:
     """A part's value made from its pre-tokens' values (bytes), each remembered."""
 
     def __init__(self, pattern: str, make: Callable[[str], bytes], limit: int = MEMO_LIMIT):
-        self.find, self.piece, self.usual = regex.compile(pattern).findall, Memo(make, limit), pattern == LETTERS_FIRST
+        self.find, self.piece = regex.compile(pattern).findall, Memo(make, limit)
 
     def __call__(self, part: str) -> bytes:
         piece = self.piece
-        word, last = part.removeprefix(" "), part[-1]
-        if self.usual and word.isalpha():  # letters after at most one blank are one pre-token
-            return piece[part]
-        if self.usual and last in ",." and word[:-1].isalpha():
-            return piece[part[:-1]] + piece[last]
         return b"".join([piece[x] for x in self.find(part)])
+
+
+def part_memo(pattern: str, make: Callable[[str], bytes], limit: int) -> PartMemo:
+    """For values of pre-tokens. With another pattern than the usual one all parts go through it, cut at blanks all the same: it must
+    let no pre-token go on over a single blank."""
+    return PartMemo(PieceJoiner(pattern, make, limit // 4), limit, make if pattern == LETTERS_FIRST else None)

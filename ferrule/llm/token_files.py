@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.llm.common import cut, map_arrow, remove, scratch_dir, tokenizer_path
-from ferrule.llm.pieces import LETTERS_FIRST, PartMemo, PieceJoiner
+from ferrule.llm.pieces import LETTERS_FIRST, PartMemo, part_memo
 
 VOCABULARY = "byte_bpe_50k.json"
 MAGIC, END = b"FVB1", b"\nFVB.\n"
@@ -106,10 +106,14 @@ def _tokenizer(path: str) -> PartMemo:
         t = Tokenizer.from_file(path)
         kind, letters, model = "H" if t.get_vocab_size() <= 1 << 16 else "I", _byte_letters(), t.model
 
+        blank = letters[ord(" ")]
+
         def piece(p: str) -> bytes:
-            return array(kind, [x.id for x in model.tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
+            # printable ASCII stands for itself, but for the blank
+            own = p.replace(" ", blank) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters)
+            return array(kind, [x.id for x in model.tokenize(own)]).tobytes()
 
-        _TOKENIZERS[path] = memo = PartMemo(PieceJoiner(LETTERS_FIRST, piece, 80_000), 120_000)
+        _TOKENIZERS[path] = memo = part_memo(LETTERS_FIRST, piece, 200_000)
         memo.kind, memo.keep = "<u2" if kind == "H" else "<u4", t
     return _TOKENIZERS[path]
 
