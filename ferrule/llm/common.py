@@ -47,7 +47,7 @@ def release_shuffles(spark: SparkSession) -> None:
 
 
 #: Rows that a function of map_arrow sees at once.
-SLICE, SLICE_BYTES = 1024, 4 << 20
+SLICE, SLICE_BYTES = 1024, 1 << 20
 
 
 def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
