@@ -113,7 +113,7 @@ def _tokenizer(path: str) -> PartMemo:
             own = p.replace(" ", blank) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters)
             return array(kind, [x.id for x in model.tokenize(own)]).tobytes()
 
-        _TOKENIZERS[path] = memo = part_memo(LETTERS_FIRST, piece, 200_000)
+        _TOKENIZERS[path] = memo = part_memo(LETTERS_FIRST, piece, 350_000)
         memo.kind, memo.keep = "<u2" if kind == "H" else "<u4", t
     return _TOKENIZERS[path]
 
