@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.llm import bpe, decontaminate, ngram_join, toxicity
-from ferrule.llm.common import cut, read_table
+from ferrule.llm.common import bounded, cut, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +20,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles, the document of the smallest id; of rows that repeat an
     id, one. Rows with a null id stay."""
-    names = docs.columns
-    found = ngram_join.jaccard_components(docs, k=5, num=4, den=5)
-    firsts = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*names)
+    found = cut(ngram_join.jaccard_components(docs, k=5, num=4, den=5), "components")
+    others = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not repeated.isEmpty():
+        repeated = bounded(repeated, ngram_join.BROADCAST_IDS)
+        docs = docs.join(repeated, "doc_id", "left_anti").unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return docs.join(bounded(others, ngram_join.BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
