@@ -36,8 +36,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids, their number, and whether decoding gives the text back."""
-    back = bpe.decode(bpe.encode(docs.select("doc_id", "text")))
-    whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    back = bpe.encode(docs.select("doc_id", "text"), decoded="decoded")
+    whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
 
 
