@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.model import Entity, Join, On, Table, define_entity
+from ferrule.model import Entity, Join, Lines, On, Owned, Table, define_entity
 from ferrule.sources.catalog import Catalog
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels", "conversations")
@@ -78,8 +78,6 @@ upper = define_entity(
 
 # records for the write side: customers with their nation as a sub-object, orders with their lines
 
-from ferrule.model import Lines, Owned  # noqa: E402
-
 customer_record = define_entity(
     "customer",
     CUSTOMERS,

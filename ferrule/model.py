@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, field, fields
 from typing import Any
 
 
@@ -211,7 +211,3 @@ def define_entity(record_type: str, table: Table | tuple[str, str], fields: Mapp
         if f.type is not None and f.type not in FIELD_TYPES:
             raise ConfigError(f"Field '{key}' has the unknown type '{f.type}'.")
     return Entity(record_type=record_type, table=table, fields=made, joins=tuple(joins), **rest)
-
-
-def with_fields(entity: Entity, **changes: Any) -> Entity:
-    return replace(entity, **changes)

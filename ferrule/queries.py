@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ferrule import examples as ex
 from ferrule.model import UNSET, Join, On, Table, define_entity
 from ferrule.operators.builder import Query
+from ferrule.operators.changes import Changes
+from ferrule.sources.store import FrameStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -137,9 +139,6 @@ _add("transform_values", "SELECT n_nationkey AS id, lower(n_name) AS name, n_nam
 
 # changes: the snapshot after them
 
-from ferrule.operators.changes import Changes  # noqa: E402
-from ferrule.sources.store import FrameStore  # noqa: E402
-
 
 def _change(name: str, sql: str, entity, rows, key: str, flat, *patches: Callable[[Changes], Changes]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
