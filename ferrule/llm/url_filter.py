@@ -40,7 +40,6 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     host and all subdomains where the URL's path starts with its path; the longest wins (host and path together), then a blocking one, then
     the greatest text. Null, empty and malformed URLs have empty host and path. Repeated rows and all columns stay; new columns whose
     names are taken get underscores in front. Without rules every URL gets the default."""
-    spark = pages.sparkSession
     names = {}
     for want in ("host", "path", "rule", "verdict"):
         names[want] = free_name(pages, want)
