@@ -192,11 +192,6 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
     return h, out_at
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/ferrule-checkpoints")
-
-
 def tokenizer_path(name: str) -> str:
     """Where an installed public vocabulary file is. FERRULE_TOKENIZERS, if set, names another folder."""
     if folder := os.environ.get("FERRULE_TOKENIZERS"):
