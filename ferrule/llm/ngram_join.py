@@ -179,7 +179,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sketches = cut(alone.drop("keys", "digest"), "sketches")
     keyed = alone.select("doc_id", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
+    met = cut(met, "met")
+    release_shuffles(spark)  # before the keys are shuffled again
     shared = cut(keyed.join(met, "key"), "shared")
+    remove(spark, *_folder(met))
     release_shuffles(spark)
     edges, tried, done = same, None, [*_folder(same), *_folder(shared), *_folder(sketches)]
     active = shared.withColumn("comp", F.col("doc_id"))
