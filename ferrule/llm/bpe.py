@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ferrule.llm.common import free_name, list_array, map_arrow, tokenizer_path
+from ferrule.llm.common import free_name, held, list_array, map_arrow, tokenizer_path
 from ferrule.llm.pieces import PartMemo, part_memo
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -37,7 +37,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """encode(piece): the token ids of one pre-token. States are made when first reached; beyond max_states all are forgotten."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: b for b, r in ranks.items()}
         # the trie: children by node * 256 + byte, and the token that ends at each node
@@ -282,23 +282,11 @@ class Decoder:
         return "".join(parts) + machine.flush()
 
 
-_ENCODERS: dict[tuple[str, str], PartMemo] = {}
-_DECODERS: dict[str, Decoder] = {}
-
-
 def text_encoder(path: str, pattern: str) -> PartMemo:
-    """One for each worker process; it gives ids as little-endian 32-bit integers."""
-    if (path, pattern) not in _ENCODERS:
-        gc.disable()  # the tables hold no cycles, and walking them is costly
-        machine = Transducer(load_ranks(path))
-        _ENCODERS[path, pattern] = part_memo(pattern, lambda piece: array("i", machine.encode(piece.encode())).tobytes(), 200_000)
-    return _ENCODERS[path, pattern]
-
-
-def decoder(path: str) -> Decoder:
-    if path not in _DECODERS:
-        _DECODERS[path] = Decoder(load_ranks(path))
-    return _DECODERS[path]
+    """It gives ids as native 32-bit integers. The garbage collector rests while it is held: its tables hold no cycles, and walking them is costly."""
+    gc.disable()
+    machine = Transducer(load_ranks(path))
+    return part_memo(pattern, lambda piece: array("i", machine.encode(piece.encode())).tobytes(), 150_000)
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None, keep_text: bool = True, decoded: str | None = None) -> DataFrame:
@@ -314,7 +302,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
     at = docs.columns.index(text)
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        enc = text_encoder(path, pattern)
+        enc, dec = held(("bpe", path, pattern), lambda: (text_encoder(path, pattern), Decoder(load_ranks(path))))
         parts = [b"".join(enc.values(t or "")) for t in b.column(at).to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]) if parts else np.zeros(1, np.int64)
         col = list_array(np.frombuffer(b"".join(parts), "<i4"), offsets, pa.int32())
@@ -322,11 +310,10 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
         if not keep_text:
             del cols[at], names[at]
         if decoded:
-            dec = decoder(path)
             return pa.RecordBatch.from_arrays([*cols, col, pa.array([dec.text(array("i", p)) for p in parts], pa.string())], [*names, ids, decoded])
         return pa.RecordBatch.from_arrays([*cols, col], [*names, ids])
 
-    return map_arrow(docs, fn, T.StructType([*(f for f in docs.schema.fields if keep_text or f.name != text), T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *([T.StructField(decoded, T.StringType())] if decoded else [])]))
+    return map_arrow(docs, fn, T.StructType([*(f for f in docs.schema.fields if keep_text or f.name != text), T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *([T.StructField(decoded, T.StringType())] if decoded else [])]), holds=True)
 
 
 def decode(df: DataFrame, ids: str = "ids", raw: str = "decoded", text: str | None = None, path: str | None = None) -> DataFrame:
@@ -336,7 +323,7 @@ def decode(df: DataFrame, ids: str = "ids", raw: str = "decoded", text: str | No
     raw = free_name(df, raw)
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        dec = decoder(path)
+        dec = held(("bpe decoder", path), lambda: Decoder(load_ranks(path)))
         lists = b.column(at)
         values, off = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
         null = lists.is_null().to_numpy(zero_copy_only=False)
@@ -347,4 +334,4 @@ def decode(df: DataFrame, ids: str = "ids", raw: str = "decoded", text: str | No
         return pa.RecordBatch.from_arrays(cols, names)
 
     fields = [*df.schema.fields, T.StructField(raw, T.BinaryType()), *([T.StructField(text, T.StringType())] if text else [])]
-    return map_arrow(df, fn, T.StructType(fields))
+    return map_arrow(df, fn, T.StructType(fields), holds=True)

@@ -62,11 +62,31 @@ def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
                 yield x
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps between tasks, such as memos. Only one key's value is kept, as Spark uses a worker for one stage after another."""
+    if key not in _HELD:
+        forget()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def forget() -> None:
+    if _HELD:
+        _HELD.clear()
+        gc.enable()
+        gc.collect()
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | T.StructType, holds: bool = False) -> DataFrame:
     """mapInArrow with a function of one batch. Spark's batches (64 MB at most by default) are handed over in slices of at most SLICE rows and
-    SLICE_BYTES, or of one row that is larger."""
+    SLICE_BYTES, or of one row that is larger. Functions that use held() say so; the others' tasks begin by freeing what is held."""
 
     def run(batches):
+        if not holds:
+            forget()
         for whole in batches:
             for part in slices(whole):
                 out = fn(part)

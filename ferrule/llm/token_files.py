@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import cut, map_arrow, remove, scratch_dir, tokenizer_path
+from ferrule.llm.common import cut, held, map_arrow, remove, scratch_dir, tokenizer_path
 from ferrule.llm.pieces import LETTERS_FIRST, PartMemo, part_memo
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -29,7 +29,6 @@ MAGIC, END = b"FVB1", b"\nFVB.\n"
 BLOCK_INTS, FILE_BLOCKS = 1 << 18, 64
 
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
-_TOKENIZERS: dict[str, PartMemo] = {}
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -98,24 +97,23 @@ def _byte_letters() -> dict[str, str]:
 def _tokenizer(path: str) -> PartMemo:
     """Pre-tokens go straight to the library's model, which is half the time of its whole chain for a short string; their strings of special
     tokens are so ordinary text."""
-    if path not in _TOKENIZERS:
-        gc.disable()  # the memos hold no cycles, and walking them is costly
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    gc.disable()  # the memos hold no cycles, and walking them is costly
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        kind, letters, model = "H" if t.get_vocab_size() <= 1 << 16 else "I", _byte_letters(), t.model
+    t = Tokenizer.from_file(path)
+    kind, letters, model = "H" if t.get_vocab_size() <= 1 << 16 else "I", _byte_letters(), t.model
 
-        blank = letters[ord(" ")]
+    blank = letters[ord(" ")]
 
-        def piece(p: str) -> bytes:
-            # printable ASCII stands for itself, but for the blank
-            own = p.replace(" ", blank) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters)
-            return array(kind, [x.id for x in model.tokenize(own)]).tobytes()
+    def piece(p: str) -> bytes:
+        # printable ASCII stands for itself, but for the blank
+        own = p.replace(" ", blank) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters)
+        return array(kind, [x.id for x in model.tokenize(own)]).tobytes()
 
-        _TOKENIZERS[path] = memo = part_memo(LETTERS_FIRST, piece, 350_000)
-        memo.kind, memo.keep = "<u2" if kind == "H" else "<u4", t
-    return _TOKENIZERS[path]
+    memo = part_memo(LETTERS_FIRST, piece, 350_000)
+    memo.kind, memo.keep = "<u2" if kind == "H" else "<u4", t
+    return memo
 
 
 def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 2) -> DataFrame:
@@ -124,7 +122,7 @@ def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
     path = path or tokenizer_path(VOCABULARY)
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        t = _tokenizer(path)
+        t = held(("tokenizer", path), lambda: _tokenizer(path))
         end = np.array([end_id], t.kind).tobytes()
         rows = [b"".join([*t.values(x or ""), end]) for x in b.column(1).to_pylist()]
         width = len(end)
@@ -134,7 +132,7 @@ def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
             ["doc_id", "n", "ids", "counts"],
         )
 
-    return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), fn, "doc_id long, n long, ids binary, counts binary")
+    return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), fn, "doc_id long, n long, ids binary, counts binary", holds=True)
 
 
 def _sum_counts(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ then goes through the whole network by gradient steps on each text's highest win
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterable
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import free_name, map_arrow
+from ferrule.llm.common import free_name, held, map_arrow
 
 WINDOW, STRIDE = 48, 36
 DIM, HIDDEN, BUCKETS = 6, 6, 1 << 16
@@ -28,7 +29,7 @@ SAMPLE = 3000
 #: Times that each text's highest window is chosen anew, and passes over them each time.
 TURNS, EPOCHS = 3, 6
 #: Words whose projections a worker remembers before it forgets all (144 bytes each, and those of one text more).
-SLOTS = 150_000
+SLOTS = 80_000
 STRIP = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()) + "«»¿¡…“”"
 
 
@@ -368,11 +369,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     """docs with the score, a double from 0 to 1. Null and empty texts get the score of a text without words; repeated rows and other columns stay;
     if the name is taken it gets underscores in front."""
     at, name = docs.columns.index(text), free_name(docs, name)
-    sent = docs.sparkSession.sparkContext.broadcast(model.p)
+    sent, key = docs.sparkSession.sparkContext.broadcast(model.p), uuid.uuid4().hex
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        if getattr(sent, "scorer", None) is None:
-            sent.scorer = Scorer(Model(sent.value))
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.scorer.scores(b.column(at).to_pylist()))], [*b.schema.names, name])
+        scorer = held(("toxicity", key), lambda: Scorer(Model(sent.value)))
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(scorer.scores(b.column(at).to_pylist()))], [*b.schema.names, name])
 
-    return map_arrow(docs, fn, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return map_arrow(docs, fn, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]), holds=True)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ferrule.llm.bpe import RANKS, load_ranks
-from ferrule.llm.common import free_name, map_arrow, tokenizer_path
+from ferrule.llm.common import free_name, held, map_arrow, tokenizer_path
 from ferrule.llm.pieces import Memo, PartMemo
 
 
@@ -81,20 +81,15 @@ class LongestMatch:
         return n
 
 
-_COUNTERS: dict[tuple, PartMemo] = {}
-
-
 def _counter(path: str, pattern: str) -> PartMemo:
-    if (path, pattern) not in _COUNTERS:
-        count, find = LongestMatch(load_ranks(path)).count, regex.compile(pattern).findall
-        word = Memo(lambda w: count(w.encode()))
+    count, find = LongestMatch(load_ranks(path)).count, regex.compile(pattern).findall
+    word = Memo(lambda w: count(w.encode()))
 
-        def part(text: str) -> tuple[int, int]:
-            words = find(text)
-            return len(words), sum([word[w] for w in words])
+    def part(text: str) -> tuple[int, int]:
+        words = find(text)
+        return len(words), sum([word[w] for w in words])
 
-        _COUNTERS[path, pattern] = PartMemo(part)
-    return _COUNTERS[path, pattern]
+    return PartMemo(part)
 
 
 def token_counts(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -108,7 +103,7 @@ def token_counts(docs: DataFrame, text: str = "text", path: str | None = None, p
     words, tokens = free_name(docs, "n_words"), free_name(docs, "n_tokens")
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = _counter(path, pattern)
+        c = held(("longest match", path, pattern), lambda: _counter(path, pattern))
         sums = []
         for t in b.column(at).to_pylist():
             got = c.values(t or "")
@@ -116,4 +111,4 @@ def token_counts(docs: DataFrame, text: str = "text", path: str | None = None, p
         both = np.array(sums, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(both[:, 0]), pa.array(both[:, 1])], [*b.schema.names, words, tokens])
 
-    return map_arrow(docs, fn, T.StructType([*docs.schema.fields, T.StructField(words, T.LongType()), T.StructField(tokens, T.LongType())]))
+    return map_arrow(docs, fn, T.StructType([*docs.schema.fields, T.StructField(words, T.LongType()), T.StructField(tokens, T.LongType())]), holds=True)

@@ -18,11 +18,12 @@ from .common import TEXTS, documents, texts_by_row
 
 RANKS = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+ENCODER = bpe.text_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 MACHINE = bpe.Transducer(RANKS, max_states=2000)
 
 
 def ids_of(text):
-    enc = bpe.text_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    enc = ENCODER
     return np.frombuffer(b"".join(enc.values(text)), "<i4").tolist()
 
 
