@@ -37,7 +37,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """encode(piece): the token ids of one pre-token. States are made when first reached; beyond max_states all are forgotten."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: b for b, r in ranks.items()}
         # the trie: children by node * 256 + byte, and the token that ends at each node
@@ -286,7 +286,7 @@ def text_encoder(path: str, pattern: str) -> PartMemo:
     """It gives ids as native 32-bit integers. The garbage collector rests while it is held: its tables hold no cycles, and walking them is costly."""
     gc.disable()
     machine = Transducer(load_ranks(path))
-    return part_memo(pattern, lambda piece: array("i", machine.encode(piece.encode())).tobytes(), 150_000)
+    return part_memo(pattern, lambda piece: array("i", machine.encode(piece.encode())).tobytes(), 200_000)
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None, keep_text: bool = True, decoded: str | None = None) -> DataFrame:
