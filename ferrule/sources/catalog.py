@@ -26,6 +26,7 @@ class Catalog:
         self.spark = spark
         self.prefix = f"ferrule_{uuid.uuid4().hex[:12]}"
         self.frames: dict[str, DataFrame] = {}
+        self.paths: dict[str, str] = {}
         self.displays: dict[tuple[str, str], Display] = {}
 
     def add(self, name: str, df: DataFrame) -> Catalog:
@@ -34,11 +35,13 @@ class Catalog:
         return self
 
     def add_parquet(self, folder: str, *names: str) -> Catalog:
-        for name in names:
-            self.add(name, self.spark.read.parquet(f"{folder}/{name}.parquet"))
+        """Files are looked at when a table is first used."""
+        self.paths |= {name: f"{folder}/{name}.parquet" for name in names}
         return self
 
     def table(self, name: str) -> DataFrame:
+        if name not in self.frames and name in self.paths:
+            self.add(name, self.spark.read.parquet(self.paths[name]))
         if name not in self.frames:
             raise KeyError(f"Table '{name}' is not registered.")
         return self.frames[name]
@@ -49,7 +52,9 @@ class Catalog:
 
     def sql(self, text: str, args: list) -> DataFrame:
         """Runs a query over the catalog's tables with positional parameters."""
-        used = [n for n in self.frames if re.search(rf"(?<![\w.`]){re.escape(n)}(?!\w)|`{re.escape(n)}`", text)]
+        used = [n for n in self.frames | self.paths if re.search(rf"(?<![\w.`]){re.escape(n)}(?!\w)|`{re.escape(n)}`", text)]
+        for n in used:
+            self.table(n)
         head = ", ".join(f"`{n}` AS (SELECT * FROM `{self.prefix}_{n}`)" for n in used)
         return self.spark.sql(f"WITH {head} {text}" if head else text, args=args)
 
