@@ -1,13 +1,16 @@
 """License scan by conditional compression.
 
-Lines that speak of licensing make blocks. A block is compressed alone and with each template as a raw zstandard dictionary; the more a template
-shortens it, the likelier it holds the template's words. Templates are ranked by that, and those that shorten the block enough are aligned with
-it word by word: the exact differences decide.
+Lines that speak of licensing make blocks. A block's words, in lower case, are cut into overlapping pieces of twice the longest template's
+length, so that the block's length doesn't matter. Templates of which a piece lacks more words than may differ are left out, which loses none. A
+piece is compressed alone and with each other template as a raw zstandard dictionary; the more a template shortens it, the likelier the piece
+holds its words. Templates are ranked by that and aligned with the piece word by word: the exact differences decide. No least reduction is asked for,
+as an exact short notice can save nothing (zstandard stores less than 64 bytes of literals raw, so what a match takes away can cost the rest its coding).
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,8 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 CANDIDATE = r"(?i)licen[cs]|copyright|redistribut|permission|public domain|creative commons|\bCC0?[ -]|free software"
-#: Least reduction of a block's compressed size by a template, and greatest part of its words that may differ.
-REDUCTION, DIFFERENT = 0.1, 0.1
+#: Greatest part of a template's words that may differ.
+DIFFERENT = 0.1
 _WORD = re.compile(r"[\w.+/:-]*\w")
 
 
@@ -63,9 +66,9 @@ def blocks(text: str) -> list[tuple[int, str]]:
     return [(a, "\n".join(lines[a : b + 1])) for a, b in out]
 
 
-def align(template: list[str], block: list[str]) -> list[tuple[str, str]]:
-    """The fewest differences (template's word, block's word; empty for none) between the template and any stretch of the block."""
-    t, b = [w.lower() for w in template], [w.lower() for w in block]
+def _costs(template: list[str], block: list[str]) -> np.ndarray:
+    """For the first i words of the template and each place j of the block, the fewest differences of a stretch that ends there."""
+    t, b = template, block
     cost = np.zeros((len(t) + 1, len(b) + 1), np.int32)
     cost[:, 0] = np.arange(len(t) + 1)
     for i, w in enumerate(t, 1):
@@ -74,10 +77,15 @@ def align(template: list[str], block: list[str]) -> list[tuple[str, str]]:
         row, k = cost[i], np.arange(1, len(b) + 1)
         # insertions run from left to right: a prefix minimum of (value - place)
         row[1:] = np.minimum.accumulate(np.concatenate([[cost[i, 0]], step - k]))[1:] + k
-    j, i, out = int(cost[len(t)].argmin()), len(t), []
+    return cost
+
+
+def _back(cost: np.ndarray, template: list[str], block: list[str], j: int) -> tuple[int, list[tuple[str, str]]]:
+    """Where the stretch that ends at j begins, and its differences."""
+    i, out = len(template), []
     while i:
-        if j and cost[i, j] == cost[i - 1, j - 1] + (t[i - 1] != b[j - 1]):
-            if t[i - 1] != b[j - 1]:
+        if j and cost[i, j] == cost[i - 1, j - 1] + (template[i - 1].lower() != block[j - 1].lower()):
+            if template[i - 1].lower() != block[j - 1].lower():
                 out.append((template[i - 1], block[j - 1]))
             i, j = i - 1, j - 1
         elif cost[i, j] == cost[i - 1, j] + 1:
@@ -86,7 +94,27 @@ def align(template: list[str], block: list[str]) -> list[tuple[str, str]]:
         else:
             out.append(("", block[j - 1]))
             j -= 1
-    return out[::-1]
+    return j, out[::-1]
+
+
+def align(template: list[str], block: list[str]) -> list[tuple[str, str]]:
+    """The fewest differences (template's word, block's word; empty for none) between the template and any stretch of the block."""
+    cost = _costs([w.lower() for w in template], [w.lower() for w in block])
+    return _back(cost, template, block, int(cost[-1].argmin()))[1]
+
+
+def stretches(template: list[str], block: list[str]) -> list[tuple[int, int, list[tuple[str, str]]]]:
+    """Stretches of the block (first word, word after the last, differences) that differ from the template in few words, none of them telling;
+    of stretches that overlap the nearest."""
+    cost = _costs([w.lower() for w in template], [w.lower() for w in block])
+    ends, out = np.flatnonzero(cost[-1] <= DIFFERENT * len(template)), []
+    for j in ends[np.argsort(cost[-1][ends], kind="stable")].tolist():
+        if any(a < j <= b for a, b, _ in out):
+            continue
+        i, diff = _back(cost, template, block, j)
+        if not any(_telling(x) for d in diff for x in d) and not any(i < b and a < j for a, b, _ in out):
+            out.append((i, j, diff))
+    return out
 
 
 def _telling(word: str) -> bool:
@@ -94,30 +122,46 @@ def _telling(word: str) -> bool:
     return any(c.isdigit() for c in word) or (len(word) > 1 and word.isupper()) or word in ("Lesser", "Affero", "General", "Public")
 
 
+def pieces(n: int, reach: int) -> list[tuple[int, int]]:
+    """Pieces of 2 * reach of n words that overlap by half, so each stretch of up to `reach` words lies whole in one."""
+    return [(a, min(a + 2 * reach, n)) for a in range(0, max(n - reach, 1), reach)]
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES, level: int = 9):
-        self.templates = [(name, words(text), zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)) for name, text in templates]
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
-
-    def scan(self, block: str) -> list[tuple[str, float, list[tuple[str, str]]]]:
-        """Confirmed licences of a block with the reduction and the differences, best first; of a licence's wordings the nearest."""
-        raw = block.encode()
-        alone = len(self.plain.compress(raw))
-        ranked = sorted(((1 - len(z.compress(raw)) / alone, k) for k, (_, _, z) in enumerate(self.templates)), key=lambda x: (-x[0], x[1]))
-        own, found = words(block), {}
-        for reduction, k in ranked:
-            if reduction < REDUCTION:
-                break
-            name, ws, _ = self.templates[k]
-            diff = align(ws, own)
-            if len(diff) <= DIFFERENT * len(ws) and not any(_telling(x) for d in diff for x in d):
-                if name not in found or len(diff) < len(found[name][1]):
-                    found[name] = (reduction, diff)
-        return [(name, r, d) for name, (r, d) in sorted(found.items(), key=lambda x: (len(x[1][1]), -x[1][0], x[0]))]
+        self.templates = []
+        for name, text in templates:
+            raw = " ".join(words(text)).lower().encode()
+            z = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+            self.templates.append((name, words(text), Counter(w.lower() for w in words(text)), z))
+        #: Words of the longest stretch that a template can be aligned with.
+        self.reach = max(len(ws) + int(DIFFERENT * len(ws)) for _, ws, _, _ in self.templates)
+
+    def scan(self, own: list[str]) -> list[tuple[str, float, list[tuple[str, str]], int, int]]:
+        """Confirmed licences of a block's words: name, reduction of its piece, differences, first word, word after the last; nearest first. Stretches
+        of one licence that overlap count once, with the nearest wording."""
+        low, found = [w.lower() for w in own], []
+        for a, b in pieces(len(own), self.reach):
+            raw, have = " ".join(low[a:b]).encode(), Counter(low[a:b])
+            # words that the piece lacks are differences, wherever it's aligned
+            able = [t for t in self.templates if (t[2] - have).total() <= DIFFERENT * len(t[1])]
+            alone = len(self.plain.compress(raw)) if able else 0
+            for name, ws, _, z in able:
+                reduction = 1 - len(z.compress(raw)) / alone
+                found += [(name, reduction, diff, a + i, a + j) for i, j, diff in stretches(ws, own[a:b])]
+        out, taken = [], {name: set() for name, *_ in self.templates}
+        for x in sorted(found, key=lambda x: (len(x[2]), -x[1], x[0], x[3])):
+            here = range(x[3], x[4])
+            if taken[x[0]].isdisjoint(here):
+                taken[x[0]].update(here)
+                out.append(x)
+        return out
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line, license, reduction, differences): a row for each confirmed licence of each block, line being the block's first (from 0).
+    """(doc_id, line, license, reduction, differences): a row for each confirmed licence of each block, line being the block's first (from 0),
+    reduction the part of its piece's compressed size that the template saves (a short one may save none), and differences those of the nearest stretch.
     Null and empty texts have none; repeated rows have repeated results; null ids stay null."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike(CANDIDATE))
     scanner: list[Scanner] = []
@@ -127,7 +171,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         at, line, name, red, diffs = [], [], [], [], []
         for i, t in enumerate(b.column(1).to_pylist()):
             for first, block in blocks(t):
-                for found, reduction, diff in own[0].scan(block):
+                seen = set()
+                for found, reduction, diff, _, _ in own[0].scan(words(block)):
+                    if found in seen:
+                        continue
+                    seen.add(found)
                     at.append(i)
                     line.append(first)
                     name.append(found)

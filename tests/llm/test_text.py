@@ -180,6 +180,16 @@ def test_licenses(spark):
     assert licenses.align(["a", "b", "c"], ["x", "a", "c", "y"]) == [("b", "")]
 
 
+def test_license_notices_in_long_blocks(spark):
+    r = random.Random(9)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(n))
+    names = [name for name, _ in licenses.TEMPLATES]
+    rows = [(100 * n + k, f"{prose(n)} {text} {prose(n // 2)}") for n in (8, 70, 3000) for k, (_, text) in enumerate(licenses.TEMPLATES)]
+    rows += [(1, "Copyright 2001 by the holders of it.\n" * 8 + "Released under the MIT License."), (2, "\n".join(text for _, text in licenses.TEMPLATES))]
+    got = {(x["doc_id"], x["license"]) for x in licenses.scan(documents(spark, rows)).collect()}
+    assert got == {(100 * n + k, name) for n in (8, 70, 3000) for k, name in enumerate(names)} | {(1, "MIT")} | {(2, name) for name in names}
+
+
 def test_license_scan_against_plain_search(spark):
     """Each template hidden in prose is found, and prose alone never is."""
     r = random.Random(2)
