@@ -1,7 +1,8 @@
 """License scan by conditional compression.
 
-Lines that speak of licensing make blocks. A block's words, in lower case, are cut into overlapping pieces of twice the longest template's
-length, so that the block's length doesn't matter. Templates of which a piece lacks more words than may differ are left out, which loses none. A
+Runs of lines that speak of licensing make blocks, and the words around each key word, as far as the longest template reaches, are searched for
+notices, so that wrapping doesn't cut them. These words, in lower case, are cut into overlapping pieces of twice that length, so that their number
+doesn't matter. Templates of which a piece lacks more words than may differ are left out, which loses none. A
 piece is compressed alone and with each other template as a raw zstandard dictionary; the more a template shortens it, the likelier the piece
 holds its words. Templates are ranked by that and aligned with the piece word by word: the exact differences decide. No least reduction is asked for,
 as an exact short notice can save nothing (zstandard stores less than 64 bytes of literals raw, so what a match takes away can cost the rest its coding).
@@ -10,6 +11,7 @@ as an exact short notice can save nothing (zstandard stores less than 64 bytes o
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
@@ -42,9 +44,11 @@ TEMPLATES = (
     ("CC0-1.0", "Released under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-CANDIDATE = r"(?i)licen[cs]|copyright|redistribut|permission|public domain|creative commons|\bCC0?[ -]|free software"
+#: Key words. Those of two words may be parted by a line's end and a comment's sign.
+CANDIDATE = r"(?i)licen[cs]|copyright|redistribut|permission|public[^A-Za-z0-9]{1,12}domain|creative[^A-Za-z0-9]{1,12}commons|\bCC0?[\s-]|free[^A-Za-z0-9]{1,12}software"
 #: Greatest part of a template's words that may differ.
 DIFFERENT = 0.1
+_KEY = re.compile(CANDIDATE)
 _WORD = re.compile(r"[\w.+/:-]*\w")
 
 
@@ -52,18 +56,15 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
-def blocks(text: str) -> list[tuple[int, str]]:
-    """Runs of lines that speak of licensing, with the number of the first; one line in between doesn't end a run."""
-    seek, out, last = re.compile(CANDIDATE).search, [], -9
-    lines = text.split("\n")
-    for k, line in enumerate(lines):
-        if seek(line):
-            if k - last <= 2:
-                out[-1][1] = k
-            else:
-                out.append([k, k])
-            last = k
-    return [(a, "\n".join(lines[a : b + 1])) for a, b in out]
+def blocks(lines: list[int]) -> list[list[int]]:
+    """First and last lines of runs of ascending line numbers; one line in between doesn't end a run."""
+    out: list[list[int]] = []
+    for k in lines:
+        if out and k - out[-1][1] <= 2:
+            out[-1][1] = k
+        else:
+            out.append([k, k])
+    return out
 
 
 def _costs(template: list[str], block: list[str]) -> np.ndarray:
@@ -139,7 +140,7 @@ class Scanner:
         self.reach = max(len(ws) + int(DIFFERENT * len(ws)) for _, ws, _, _ in self.templates)
 
     def scan(self, own: list[str]) -> list[tuple[str, float, list[tuple[str, str]], int, int]]:
-        """Confirmed licences of a block's words: name, reduction of its piece, differences, first word, word after the last; nearest first. Stretches
+        """Confirmed licences of words: name, reduction of its piece, differences, first word, word after the last; nearest first. Stretches
         of one licence that overlap count once, with the nearest wording."""
         low, found = [w.lower() for w in own], []
         for a, b in pieces(len(own), self.reach):
@@ -159,8 +160,35 @@ class Scanner:
         return out
 
 
+def notices(scanner: Scanner, text: str) -> list[tuple[int, str, float, list[tuple[str, str]]]]:
+    """Confirmed licences of a text: first line of their block, name, reduction, differences; by block, nearest first, a licence once a block. A
+    notice that reaches over several blocks belongs to the first."""
+    hits = [m.start() for m in _KEY.finditer(text)]
+    if not hits:
+        return []
+    spans, breaks = [m.span() for m in _WORD.finditer(text)], [m.start() for m in re.finditer("\n", text)]
+    own, starts = [text[a:b] for a, b in spans], [a for a, _ in spans]
+    runs = blocks([bisect_left(breaks, h) for h in hits])
+    lasts, around = [b for _, b in runs], []
+    for w in (bisect_right(starts, h) - 1 for h in hits):
+        a, b = max(w - scanner.reach + 1, 0), min(w + scanner.reach, len(own))
+        if around and a <= around[-1][1]:
+            around[-1][1] = b
+        else:
+            around.append([a, b])
+    found = []
+    for a, b in around:
+        for name, reduction, diff, i, _ in scanner.scan(own[a:b]):
+            run = bisect_left(lasts, bisect_left(breaks, starts[a + i]))
+            found.append((min(run, len(runs) - 1), len(diff), -reduction, name, diff))
+    best = {}
+    for run, _, red, name, diff in sorted(found, key=lambda x: x[:4]):
+        best.setdefault((run, name), (runs[run][0], name, -red, diff))
+    return list(best.values())
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line, license, reduction, differences): a row for each confirmed licence of each block, line being the block's first (from 0),
+    """(doc_id, line, license, reduction, differences): a row for each confirmed licence of each block, line being the block's first with a key word (from 0),
     reduction the part of its piece's compressed size that the template saves (a short one may save none), and differences those of the nearest stretch.
     Null and empty texts have none; repeated rows have repeated results; null ids stay null."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike(CANDIDATE))
@@ -170,17 +198,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         own = scanner or scanner.append(Scanner()) or scanner
         at, line, name, red, diffs = [], [], [], [], []
         for i, t in enumerate(b.column(1).to_pylist()):
-            for first, block in blocks(t):
-                seen = set()
-                for found, reduction, diff, _, _ in own[0].scan(words(block)):
-                    if found in seen:
-                        continue
-                    seen.add(found)
-                    at.append(i)
-                    line.append(first)
-                    name.append(found)
-                    red.append(reduction)
-                    diffs.append([{"template": x, "text": y} for x, y in diff])
+            for first, found, reduction, diff in notices(own[0], t):
+                at.append(i)
+                line.append(first)
+                name.append(found)
+                red.append(reduction)
+                diffs.append([{"template": x, "text": y} for x, y in diff])
         kind = pa.list_(pa.struct([("template", pa.string()), ("text", pa.string())]))
         return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(line, pa.int64()), pa.array(name, pa.string()), pa.array(red, pa.float64()), pa.array(diffs, kind)], ["doc_id", "line", "license", "reduction", "differences"])
 

@@ -190,6 +190,36 @@ def test_license_notices_in_long_blocks(spark):
     assert got == {(100 * n + k, name) for n in (8, 70, 3000) for k, name in enumerate(names)} | {(1, "MIT")} | {(2, name) for name in names}
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+
+1. Redistributions of source code must retain the above copyright notice,"""
+UNLICENSE = """This is free and unencumbered software released into the public
+domain."""
+
+
+@pytest.mark.parametrize("sign", ["", "# ", " * ", "// "])
+def test_wrapped_license_notices(spark, sign):
+    texts = {"MIT": MIT, "GPL-3.0-or-later": GPL, "BSD-3-Clause": BSD, "Unlicense": UNLICENSE}
+    rows = [(k, "\n".join(["a first line", *(sign + x for x in text.split("\n"))])) for k, text in enumerate(texts.values())]
+    rows += [(10 + k, text.replace("\n", f"\n{sign}") + "\n\n\n" + "plain words\n" * 9 + text) for k, text in enumerate(texts.values())]
+    got = sorted((r["doc_id"], r["line"], r["license"]) for r in licenses.scan(documents(spark, rows)).collect())
+    again = [(10 + k, line, name) for k, (name, text) in enumerate(texts.items()) for line in (0, text.count("\n") + 12)]
+    assert got == sorted([(k, 1, name) for k, name in enumerate(texts)] + again)
+    assert licenses.scan(documents(spark, [(1, "free\nsoftware, licensed\nunder\nCC\nBY\n4.0.")])).select("line", "license").collect() == [(0, "CC-BY-4.0")]
+
+
 def test_license_scan_against_plain_search(spark):
     """Each template hidden in prose is found, and prose alone never is."""
     r = random.Random(2)
