@@ -95,8 +95,8 @@ def _byte_letters() -> dict[str, str]:
 
 
 def _tokenizer(path: str) -> PartMemo:
-    """Pre-tokens go straight to the library's model, which is half the time of its whole chain for a short string; their strings of special
-    tokens are so ordinary text."""
+    """Pre-tokens go straight to the library's model, which is half the time of its whole chain for a short string. The model doesn't know added
+    tokens: texts that hold the string of one (`added`) must go through the whole chain (`keep`)."""
     gc.disable()  # the memos hold no cycles, and walking them is costly
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -112,10 +112,17 @@ def _tokenizer(path: str) -> PartMemo:
         return array(kind, [x.id for x in model.tokenize(own)]).tobytes()
 
     memo = part_memo(LETTERS_FIRST, piece, 350_000)
-    memo.kind, memo.keep = "<u2" if kind == "H" else "<u4", t
+    memo.kind, memo.keep, memo.added = "<u2" if kind == "H" else "<u4", t, [x.content for x in t.get_added_tokens_decoder().values()]
     return memo
 
 
+def text_ids(t: PartMemo, text: str) -> bytes:
+    """A text's ids as the library's encode without special tokens of its own gives them: added tokens in the text count as such."""
+    if any(x in text for x in t.added):
+        return np.array(t.keep.encode(text, add_special_tokens=False).ids, t.kind).tobytes()
+    return b"".join(t.values(text))
+
+
 def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 2) -> DataFrame:
     """(doc_id, n, ids, counts): a row for each document with its ids (little-endian, 16 bits each where the vocabulary allows, else 32) and
     the end id after them; and rows with only counts: how often a batch has each id. Null and empty texts have the end id alone."""
@@ -124,7 +131,7 @@ def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         t = held(("tokenizer", path), lambda: _tokenizer(path))
         end = np.array([end_id], t.kind).tobytes()
-        rows = [b"".join([*t.values(x or ""), end]) for x in b.column(1).to_pylist()]
+        rows = [text_ids(t, x or "") + end for x in b.column(1).to_pylist()]
         width = len(end)
         counts = np.bincount(np.frombuffer(b"".join(rows), t.kind)).astype("<i8").tobytes() if rows else None
         return pa.RecordBatch.from_arrays(

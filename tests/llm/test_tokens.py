@@ -98,6 +98,15 @@ def test_token_files(spark, tmp_path):
     assert token_files.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_added_tokens_are_the_librarys(spark, tmp_path):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " x <|endoftext|> \n<|endoftext|><|endoftext|>  é", "<|endoftext |>", "plain text"]
+    token_files.write(documents(spark, list(enumerate(texts))), f"file://{tmp_path}/o")
+    got = {r["doc_id"]: (r["start"], np.frombuffer(r["ids"], "<u4").tolist()) for r in token_files.read(spark, f"file://{tmp_path}/o").collect()}
+    want = [[*library.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert got == {k: (sum(map(len, want[:k])), x) for k, x in enumerate(want)} and 50256 in got[0][1] and 50256 not in got[3][1]
+
+
 def greedy(word, vocabulary):
     n = 0
     while word:
