@@ -173,9 +173,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # equal sets: one row stands for each
     sets = sigs.filter("n > 0 and doc_id is not null").select("doc_id", "n", "digest")
     firsts = sets.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    same = cut(sets.join(firsts, "digest").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "same")
-    copies = same.select(F.col("b").alias("doc_id")).distinct()
-    alone = sigs.filter("n > 0 and doc_id is not null").join(bounded(copies, BROADCAST_IDS), "doc_id", "left_anti")
+    same = cut(sets.join(firsts, "digest").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), "digest").distinct(), "same")
+    copies = bounded(same.select(F.col("b").alias("doc_id")).distinct(), BROADCAST_IDS)
+    whole = sigs.filter("n > 0 and doc_id is not null")
+    alone = whole.join(copies, "doc_id", "left_anti")
+    # of an id with several texts only those that are copies are left out
+    others = cut(sets.select("doc_id", "digest").join(copies, "doc_id", "left_semi").join(same.select(F.col("b").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_anti").distinct(), "others")
+    if not others.isEmpty():
+        alone = alone.unionByName(whole.join(others, ["doc_id", "digest"], "left_semi"))
     sketches = cut(alone.drop("keys", "digest"), "sketches")
     keyed = alone.select("doc_id", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
@@ -184,7 +189,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     shared = cut(keyed.join(met, "key"), "shared")
     remove(spark, *_folder(met))
     release_shuffles(spark)
-    edges, tried, done = same, None, [*_folder(same), *_folder(shared), *_folder(sketches)]
+    edges, tried, done = same.select("a", "b"), None, [*_folder(same), *_folder(others), *_folder(shared), *_folder(sketches)]
     active = shared.withColumn("comp", F.col("doc_id"))
     for turn in range(STAR_ROUNDS + 1):
         if turn < STAR_ROUNDS:

@@ -83,6 +83,14 @@ def test_jaccard_edge_cases(spark):
     assert ngram_join.jaccard_components(documents(spark).limit(0)).count() == 0
 
 
+def test_a_repeated_id_keeps_the_links_of_each_text(spark):
+    u, v, w = ([f"{x}{i}" for i in range(60)] for x in "uvw")
+    near = lambda x: " ".join([*x[:-1], "end"])
+    rows = [(1, " ".join(u)), (5, " ".join(u)), (5, " ".join(v)), (9, near(v)), (12, " ".join(w)), (13, " ".join(w)), (14, near(w))]
+    got = ngram_join.jaccard_components(documents(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (5, 1), (5, 1), (9, 1), (12, 12), (13, 12), (14, 12)]
+
+
 def test_each_linked_pair_shares_a_cell():
     """The pigeonhole bound, on random sets at the threshold."""
     r = np.random.default_rng(3)
