@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.llm import bpe, decontaminate, ngram_join, toxicity
-from ferrule.llm.common import bounded, cut, read_table
+from ferrule.llm.common import bounded, cut, free_name, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,15 +18,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles, the document of the smallest id; of rows that repeat an
-    id, one. Rows with a null id stay."""
-    found = cut(ngram_join.jaccard_components(docs, k=5, num=4, den=5), "components")
-    others = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if not repeated.isEmpty():
-        repeated = bounded(repeated, ngram_join.BROADCAST_IDS)
-        docs = docs.join(repeated, "doc_id", "left_anti").unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return docs.join(bounded(others, ngram_join.BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles, the document of the smallest id. Where ids are null or repeated,
+    each row is a document of its own: rows link by their texts alone, a null id comes after all others, and of equal rows one stays."""
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("doc_id is null or c > 1")
+    if odd.isEmpty():
+        found = ngram_join.jaccard_components(docs, k=5, num=4, den=5)
+        others = found.filter("doc_id <> component_id").select("doc_id")
+        return docs.join(bounded(others, ngram_join.BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    row = free_name(docs, "row_id")
+    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = ngram_join.jaccard_components(keyed, doc_id=row, k=5, num=4, den=5).withColumnRenamed("doc_id", row)
+    best = found.join(keyed.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", row)).alias("best"))
+    return keyed.join(best.select(f"best.{row}"), row, "left_semi").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,8 +21,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir); /tmp only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/ferrule-scratch"
+    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir). Where that is unset, a session whose tasks run in the driver's own
+    process may use the driver's temporary folder; on a cluster that would be another folder on each machine, so it's refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/ferrule-scratch"
     return f"{base.rstrip('/')}/ferrule-{name}-{uuid.uuid4().hex}"
 
 
@@ -226,12 +233,21 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root): the least node of each connected component, for nodes of the edges (a, b) other than roots. By alternating large-star and
-    small-star steps, each written to the shared folder; a logarithmic number of them. Self-loops and repeated edges don't matter."""
+#: Edges (16 bytes each) up to this many are joined into components by one task; more by rounds of shuffles.
+ONE_TASK_EDGES = 1_000_000
+
+
+def components(edges: DataFrame, name: str = "components", one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """(node, root): the least node of each connected component, for nodes of the edges (a, b) other than roots, as a table in the shared folder.
+    Up to `one_task` edges go through one task; more through alternating large-star and small-star steps, each written to the
+    shared folder; a logarithmic number of them. Self-loops and repeated edges don't matter."""
     spark = edges.sparkSession
     first = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     stars, mark = cut(first, name), None
+    if stars.count() <= one_task:
+        roots = cut(stars.repartition(1).mapInArrow(_union, "node long, root long"), name)
+        remove(spark, *folders(stars))
+        return roots
     while True:
         both = stars.unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -241,7 +257,31 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         new = cut(small, name)
         now = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         old, stars = stars, new
-        remove(spark, old.inputFiles()[0].rsplit("/", 1)[0])
+        remove(spark, *folders(old))
         if now == mark:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges (u, v) of a task: least neighbours are taken over and paths halved until nothing changes."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    u, v = (np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]]) for k in (0, 1))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        before = root.copy()
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        root = root[root]
+        if np.array_equal(before, root):
+            break
+    moved = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["node", "root"])
+
+
+def folders(df: DataFrame) -> list[str]:
+    """The folders of the files that df reads."""
+    return list({f.rsplit("/", 1)[0] for f in df.inputFiles()})

@@ -1,42 +1,53 @@
 """Exact Jaccard self-join of word shingles by parity sketches.
 
-Each document's set is dealt by hash into m cells, and a cell holds the XOR of its shingles' hashes. A shingle that only one of two documents has
-changes one cell, so the number of cells that differ is at most the size of the symmetric difference, which the threshold bounds by d for
-the sizes of a band. A document with more than d non-empty cells therefore shares a non-empty cell with each partner: cells are the keys of
-an equi-join. A document whose set leaves too few cells non-empty deals its set again under the next seed with more cells until it has
-more than d; partners that were as unlucky do the same, so no pair is lost. A parity bit sketch, whose Hamming distance is also at most the
-symmetric difference, prunes what meets by chance, and an exact check on the shingle hashes (64 bits) decides.
-
-Groups are never expanded into all pairs: documents of a cell are compared with one of them, linked ones are merged, and only cells that
-still hold more than one component go on, with another centre; what is left after STAR_ROUNDS is compared across components inside a
-join whose condition has the sketches, so only pairs that they allow become rows.
+A pair of linked sets differs in at most d shingles, where d follows from the threshold and the sizes of a band. Each set is dealt by hash into
+m > d cells, and a cell holds the XOR of its shingles' hashes. A shingle that only one of two sets has changes one cell, so a set
+with more than d non-empty cells has one at least in common with each partner (pigeonhole): cells are the keys of an equi-join. A parity bit
+sketch, whose Hamming distance is also at most the symmetric difference, prunes what meets by chance; an exact check on the shingle hashes
+(64 bits) decides.
+
+Groups aren't expanded into pairs. A key whose documents already belong to one component needs nothing. A key with at most PARTNERS pairs of
+different components for each of its documents is compared directly. Others (hot keys: groups of near copies, shared passages) are
+compared with one document in turn and linked ones merged. A key that stays hot may be left out for a set which has more than d non-empty
+cells that aren't hot, as one of those is shared with each partner. Only sets without that are dealt again, with each shingle as a cell of
+its own; and those of which at most d shingles aren't hot once more, by their hot shingles alone, with as many cells as their
+other shingles leave to differ. There the last groups are compared inside a join whose condition has sizes, rests and sketches.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import bounded, components, cut, map_arrow, mix64, release_shuffles, remove, shingle_hashes, text_bytes, word_hashes
+from ferrule.llm.common import bounded, components, cut, folders, map_arrow, mix64, release_shuffles, remove, shingle_hashes, text_bytes, word_hashes
 
-BAND, SPARE = 1.6, 1.2
-STAR_ROUNDS = 3
+BAND, SPARE = 1.6, 1.3
+#: Pairs for each document of a key up to which it is compared directly.
+PARTNERS = 16
 #: Ids (16 bytes each) up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Shared keys (8 bytes each) up to this many are told to every task; with more, all keys are joined by a shuffle.
+TOLD_KEYS = 4_000_000
+#: Keys that one step of looking for shared ones holds, about.
+BUCKET_KEYS = 1 << 21
+EVERY, HOT = 1 << 16, 1 << 17  # the seeds of the second and third deal
 
 
 class Bands:
     """Size bands: band s has smaller partners of low[s] to low[s+1]-1 shingles; d[s] bounds the symmetric difference."""
 
-    def __init__(self, num: int, den: int, top: int):
+    def __init__(self, num: int, den: int, count: int = 60):
+        if not (den > 0 and 10 * num >= 7 * den and num <= den):
+            raise ValueError("the threshold must be from 0.7 to 1: below it a band's sets may differ in as many shingles as the smallest of them has")
         self.num, self.den, self.low, self.high, self.d = num, den, [1], [], []
-        while self.low[-1] <= top:
+        for _ in range(count):
             self.low.append(max(self.low[-1] + 1, int(self.low[-1] * BAND)))
-        for s in range(len(self.low) - 1):
+        for s in range(count):
             a = self.low[s + 1] - 1
             b = a * den // num
             self.high.append(b)
@@ -53,171 +64,353 @@ def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint64), *out]), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
 
 
-def _cells(h: np.ndarray, doc: np.ndarray, sizes: np.ndarray, band: int, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the non-empty cells of documents in a band, with the documents they're of."""
-    keys, docs, seed = [], [], 0
-    left = np.unique(doc)
-    while len(left):
-        m = int(np.ceil((SPARE + 0.2 * seed) * d)) + 1 + seed
-        tag = mix64(np.array([(band << 20) + seed + 1], np.uint64))[0]
-        mixed = mix64(h ^ tag)
-        cell = doc.astype(np.int64) * m + (mixed % np.uint64(m)).astype(np.int64)
-        order = np.argsort(cell, kind="stable")
-        cell = cell[order]
-        begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        parity = np.bitwise_xor.reduceat(mixed[order], begin)
-        of, no = cell[begin] // m, (cell[begin] % m).astype(np.uint64)
-        keys.append(mix64(parity + mix64(no + tag)))
-        docs.append(of)
-        full = np.bincount(of, minlength=len(sizes))
-        left = left[full[left] <= d]
-        if len(left):
-            again = np.isin(doc, left)
-            h, doc = h[again], doc[again]
-        seed += 1
-    return np.concatenate(keys), np.concatenate(docs)
-
-
-#: Bits of a sketch, in words of 64.
-SKETCH_WORDS = 8
+def _tag(band: int, seed: int) -> np.uint64:
+    return mix64(np.array([(band << 20) + seed + 1], np.uint64))[0]
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """Parity bits of a set's hashes, as signed 64-bit words. The Hamming distance of two is at most the size of the symmetric difference."""
-    odd = np.bincount((mix64(h) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-
-
-def _may_link(num: int, den: int) -> str:
-    """SQL: sizes (na, nb) and sketches (sa0, sb0, ...) allow a link."""
-    far = " + ".join(f"bit_count(sa{i} ^ sb{i})" for i in range(SKETCH_WORDS))
-    return f"{den} * least(na, nb) >= {num} * greatest(na, nb) AND {den + num} * ({far}) <= {den - num} * (na + nb)"
+def _cells(h: np.ndarray, doc: np.ndarray, m: int, band: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the non-empty ones of m cells of each document, by document, with the documents they're of."""
+    tag = _tag(band, seed)
+    mixed = mix64(h ^ tag)
+    cell = doc.astype(np.int64) * m + (mixed % np.uint64(m)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    parity = np.bitwise_xor.reduceat(mixed[order], begin)
+    of, no = cell[begin] // m, (cell[begin] % m).astype(np.uint64)
+    return mix64(parity + mix64(no + tag)), of
 
 
-def _side(sketches: DataFrame, x: str) -> DataFrame:
-    return sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"s{i}").alias(f"s{x}{i}") for i in range(SKETCH_WORDS)])
+def _cell_number(d: int) -> int:
+    return int(np.ceil(SPARE * d)) + 1
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, digest, s0, s1, ..., keys)."""
+def _every(h: np.ndarray, band: int) -> np.ndarray:
+    """Keys of the second deal: one for each shingle."""
+    return mix64(h ^ _tag(band, EVERY))
 
-    words = [f"s{i}" for i in range(SKETCH_WORDS)]
 
-    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        h, at = _sets(b.column(1), k)
-        sizes = np.diff(at)
-        bands = Bands(num, den, int(sizes.max(initial=0)))
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for s, d in enumerate(bands.d):
-            there = (sizes >= bands.low[s]) & (sizes <= bands.high[s])
-            if there.any():
-                pick = there[doc]
-                got = _cells(h[pick], doc[pick], sizes, s, d)
-                keys.append(got[0])
-                of.append(got[1])
-        keys, of = np.concatenate(keys), np.concatenate(of)
-        order = np.argsort(of, kind="stable")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(sizes)))])
-        each = [h[at[i] : at[i + 1]] for i in range(len(sizes))]
-        bits = np.array([sketch(x) for x in each], np.int64).reshape(-1, SKETCH_WORDS)
-        return pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(sizes), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in each]), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH_WORDS)], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[order].view(np.int64)))],
-            ["doc_id", "n", "digest", *words, "keys"],
-        )
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parity bits of a set's hashes, as signed 64-bit words, of one to two bits a shingle. The Hamming distance of two of one length is at
+    most the size of the symmetric difference. One of twice the length becomes one of this by XOR of its halves."""
+    words = 4
+    while 64 * words < len(h):
+        words *= 2
+    odd = np.bincount((mix64(h) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
-    return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), fn, f"doc_id long, n long, digest binary, {', '.join(f'{w} long' for w in words)}, keys array<long>")
 
+def _may_link(num: int, den: int) -> str:
+    """SQL: sizes (na, nb) and sketches (sa, sb) allow a link. Sizes that do so are near, so sketches differ by one doubling at most."""
+    half = lambda x, y: f"CASE WHEN size({x}) > size({y}) THEN zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q) ELSE {x} END"
+    far = f"aggregate(zip_with({half('sa', 'sb')}, {half('sb', 'sa')}, (p, q) -> bit_count(p ^ q)), 0, (x, y) -> x + y)"
+    return f"{den} * least(na, nb) >= {num} * greatest(na, nb) AND {den + num} * {far} <= {den - num} * (na + nb)"
 
-def _pruned(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and sketches allow a link."""
-    return pairs.join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b").filter(_may_link(num, den)).select("a", "b")
 
+def _side(sigs: DataFrame, x: str) -> DataFrame:
+    return sigs.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sk").alias(f"s{x}"))
 
-def _linked(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, by the whole texts of both."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut(docs.join(bounded(ids, BROADCAST_IDS), "doc_id", "left_semi"), "texts")
 
-    def fn(b: pa.RecordBatch):
-        for k0 in range(0, b.num_rows, 128):
-            part = b.slice(k0, 128)
-            (ha, at), (hb, bt) = _sets(part.column(2), k), _sets(part.column(3), k)
-            keep = []
-            for i in range(part.num_rows):
-                x, y = ha[at[i] : at[i + 1]], hb[bt[i] : bt[i + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in part.columns[:2]], ["a", "b"])
+def _unit(digest: bytes, band: int) -> int:
+    """A set in a band: a hash with the band in its low byte."""
+    return int.from_bytes(digest[:7], "little", signed=True) << 8 | band
 
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    links = cut(map_arrow(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb"), fn, "a long, b long").distinct(), "links")
-    remove(docs.sparkSession, *_folder(texts))
-    return links
 
+def _longs(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
-def _folder(df: DataFrame) -> list[str]:
-    return list({f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
+def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n, digest, sk, units): the size, digest and sketch of each row's set, and for each of its bands (unit, spare: how many non-empty
+    cells are more than may differ, keys: of the cells)."""
+    bands = Bands(num, den)
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        h, at = _sets(b.column(1), k)
+        sizes = np.diff(at)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        each = [h[at[i] : at[i + 1]] for i in range(len(sizes))]
+        digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in each]
+        rows = []
+        for s in range(len(bands.d)):
+            there = (sizes >= bands.low[s]) & (sizes <= bands.high[s])
+            if bands.d[s] and there.any():  # sets that may not differ at all have no partners but their copies
+                pick = there[doc]
+                keys, of = _cells(h[pick], doc[pick], _cell_number(bands.d[s]), s)
+                got, first, full = np.unique(of, return_index=True, return_counts=True)
+                rows += [(i, _unit(digests[i], s), f - bands.d[s], keys[x : x + f]) for i, x, f in zip(got.tolist(), first.tolist(), full.tolist())]
+        rows.sort(key=lambda r: r[:2])
+        keys = _longs(np.concatenate([np.zeros(0, np.uint64), *[r[3] for r in rows]]), np.array([len(r[3]) for r in rows], np.int64))
+        inner = pa.StructArray.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), keys], ["unit", "spare", "keys"])
+        ends = np.concatenate([[0], np.cumsum(np.bincount([r[0] for r in rows], minlength=len(sizes)))]).astype(np.int32)
+        sk = [sketch(x) for x in each]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(digests, pa.binary()), _longs(np.concatenate([np.zeros(0, np.int64), *sk]), np.array([len(x) for x in sk])), pa.ListArray.from_arrays(pa.array(ends), inner)], ["doc_id", "n", "digest", "sk", "units"])
+
+    return map_arrow(docs, fn, "doc_id long, n long, digest binary, sk array<long>, units array<struct<unit: long, spare: int, keys: array<long>>>")
+
+
+class Join:
+    """One run: the tables it wrote, the links found so far and the components they make."""
+
+    def __init__(self, docs: DataFrame, k: int, num: int, den: int, partners: int, told: int):
+        self.spark, self.docs, self.k, self.num, self.den, self.partners, self.told = docs.sparkSession, docs, k, num, den, partners, told
+        self.bands, self.written, self.tried = Bands(num, den), [], None
+        self.sigs = self.keep(signatures(docs, k, num, den), "sigs")
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out = cut(df, name)
+        self.written += folders(out)
+        return out
+
+    def clean(self, but: DataFrame) -> None:
+        stay = set(folders(but))
+        remove(self.spark, *[f for f in self.written if f not in stay])
+
+    def link(self, edges: DataFrame) -> None:
+        self.edges = edges
+        self.roots = components(edges)
+        self.written += folders(self.roots)
+
+    # keys that at least two rows have
+
+    def shared(self, units: DataFrame, about: int | None = None) -> DataFrame:
+        """(key, doc_id, unit, spare) of keys that more than one of the units (doc_id, unit, spare, keys) has; about: how many keys there are."""
+        about = units.select(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0] if about is None else about
+        met = self.keep(self._met(units.select("keys"), about), "met")
+        n = met.count()
+        if n > self.told:
+            rows = units.select(F.explode("keys").alias("key"), "doc_id", "unit", "spare").join(met, "key")
+        else:
+            known = np.sort(met.toArrow().column(0).to_numpy())
+            sent = self.spark.sparkContext.broadcast(known)
+            rows = map_arrow(units.select("keys", "doc_id", "unit", "spare"), lambda b: _only(b, sent.value), "key long, doc_id long, unit long, spare int")
+        return self.keep(rows, "shared")
+
+    def _met(self, keys: DataFrame, about: int) -> DataFrame:
+        """Each key that occurs twice or more. Tasks sort out their own keys first and send on each once, so a common one comes once from each."""
+        buckets = max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), about // BUCKET_KEYS)
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for b in batches:
+                x = b.column(0)
+                held.append(x.flatten().to_numpy().view(np.uint64))
+                n += len(held[-1])
+                if n >= BUCKET_KEYS:
+                    yield packed(np.concatenate(held))
+                    held, n = [], 0
+            if n:
+                yield packed(np.concatenate(held))
+
+        def packed(x: np.ndarray) -> pa.RecordBatch:
+            x, c = np.unique(x, return_counts=True)
+            bucket = ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ascending with x
+            ids, first = np.unique(bucket, return_index=True)
+            one = [y.tobytes() for y in np.split(x, first[1:])]
+            many = [y[z > 1].tobytes() for y, z in zip(np.split(x, first[1:]), np.split(c, first[1:]))]
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(one, pa.binary()), pa.array(many, pa.binary())], ["bucket", "one", "many"])
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held = None, []
+            for b in batches:
+                for bucket, one, many in zip(*[c.to_pylist() for c in b.columns]):
+                    if bucket != at and held:
+                        yield found(held)
+                        held = []
+                    at = bucket
+                    held.append((np.frombuffer(one, np.uint64), np.frombuffer(many, np.uint64)))
+                    if sum(len(x) + len(y) for x, y in held) > 4 * BUCKET_KEYS:  # what is known to be shared needs to be held once
+                        x, c = np.unique(np.concatenate([x for x, _ in held]), return_counts=True)
+                        held = [(x, np.unique(np.concatenate([x[c > 1], *[y for _, y in held]])))]
+            if held:
+                yield found(held)
+
+        def found(held) -> pa.RecordBatch:
+            x, c = np.unique(np.concatenate([x for x, _ in held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([x[c > 1], *[y for _, y in held]])).view(np.int64))], ["key"])
+
+        dealt = keys.mapInArrow(deal, "bucket long, one binary, many binary")
+        return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "key long")
+
+    # comparing
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The links among distinct pairs (a, b): those that sizes and sketches allow, by the whole texts of both."""
+        sigs, num, den, k = self.sigs.filter("n > 0 and doc_id is not null"), self.num, self.den, self.k
+        pairs = self.keep(pairs.join(_side(sigs, "a"), "a").join(_side(sigs, "b"), "b").filter(_may_link(num, den)).select("a", "b").distinct(), "pairs")
+        if pairs.isEmpty():
+            return pairs
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = self.keep(self.docs.join(bounded(ids, BROADCAST_IDS), "doc_id", "left_semi"), "texts")
+
+        def fn(b: pa.RecordBatch):
+            for k0 in range(0, b.num_rows, 128):
+                part = b.slice(k0, 128)
+                (ha, at), (hb, bt) = _sets(part.column(2), k), _sets(part.column(3), k)
+                keep = []
+                for i in range(part.num_rows):
+                    x, y = ha[at[i] : at[i + 1]], hb[bt[i] : bt[i + 1]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in part.columns[:2]], ["a", "b"])
+
+        side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+        links = self.keep(map_arrow(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb"), fn, "a long, b long").distinct(), "links")
+        remove(self.spark, *folders(texts))
+        return links
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """rows with the component of their document."""
+        roots = bounded(self.roots.withColumnRenamed("node", "doc_id"), BROADCAST_IDS)
+        return rows.join(roots, "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
+
+    def settle(self, rows: DataFrame, rounds: tuple[int, ...], first_rank=None) -> DataFrame:
+        """Links the documents that share a key of rows (key, doc_id, unit, spare); gives the rows of keys that stay hot. rounds: of each, how many pairs
+        for a document a key may have to be compared directly; the others are compared with one of their documents."""
+        for turn, partners in enumerate(rounds):
+            rows = self.named(rows)
+            part = lambda seed: F.sum(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 28))).alias(f"h{seed}")
+            groups = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"), F.min("doc_id").alias("lo"), part(1), part(2))
+            keys = groups.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("s"), F.min("lo").alias("lo"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")).filter("comps > 1")
+            keys = self.keep(keys.withColumn("hot", F.expr(f"g * g - s > {2 * partners} * g")), "keys")
+            # keys with the same documents would give the same pairs
+            cool = keys.filter("not hot").groupBy("g", "lo", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+            few = rows.join(cool, "key").select("key", "doc_id", "comp")
+            x, y = few.toDF("key", "a", "ca"), few.toDF("key", "b", "cb")
+            pairs = x.join(y, "key").filter("a < b AND ca <> cb").select("a", "b")
+            hot = keys.filter("hot").select("key")
+            hot_rows = rows.join(bounded(hot, BROADCAST_IDS), "key", "left_semi")
+            rank = first_rank if first_rank is not None and not turn else F.xxhash64("comp", F.lit(turn)) if turn else F.lit(0).cast("long")
+            centre = hot_rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "doc_id", "comp")).alias("c")).select("key", F.col("c.doc_id").alias("c"), F.col("c.comp").alias("cc"))
+            stars = hot_rows.join(centre, "key").filter("comp <> cc").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
+            self.compare(pairs.unionAll(stars).distinct())
+            rows = self.keep(hot_rows.drop("comp"), "hot")
+            if rows.isEmpty():
+                break
+        return self.active(rows)
+
+    def compare(self, pairs: DataFrame) -> None:
+        pairs = self.keep(pairs, "met-pairs")
+        if pairs.isEmpty():
+            return
+        new = pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti")
+        links = self.verify(new)
+        self.tried = pairs if self.tried is None else self.tried.unionAll(pairs)
+        if not links.isEmpty():
+            self.link(self.edges.unionAll(links))
+
+    def active(self, rows: DataFrame) -> DataFrame:
+        """The rows of keys that are still in several components."""
+        if rows.isEmpty():
+            return rows
+        named = self.named(rows)
+        open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+        return self.keep(named.join(bounded(open_keys, BROADCAST_IDS), "key", "left_semi").drop("comp"), "open")
+
+    # the second and the third deal
+
+    def unsure(self, hot: DataFrame, units: DataFrame) -> DataFrame:
+        """(doc_id, unit) with too few cells that aren't hot."""
+        by_hot = hot.groupBy("doc_id", "unit").agg(F.count(F.lit(1)).alias("h"), F.min("spare").alias("spare")).filter("h >= spare").select("doc_id", "unit")
+        return by_hot.unionAll(units.filter("spare <= 0").select("doc_id", "unit")).distinct()
+
+    def every(self, unsure: DataFrame) -> DataFrame:
+        """The units' second deal (doc_id, unit, spare, keys)."""
+        k, bands = self.k, self.bands
+        per = unsure.groupBy("doc_id").agg(F.collect_set("unit").alias("units"))
+        rows = self.docs.join(bounded(per, BROADCAST_IDS), "doc_id").select("doc_id", "text", "units")
+
+        def fn(b: pa.RecordBatch):
+            h, at = _sets(b.column(1), k)
+            out = []
+            for i, units in enumerate(b.column(2).to_pylist()):
+                x = h[at[i] : at[i + 1]]
+                digest = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+                out += [(i, u, len(x) - bands.d[u & 255], _every(x, u & 255)) for u in sorted(units) if _unit(digest, u & 255) == u]
+            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in out], pa.int64())), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32()), _longs(np.concatenate([np.zeros(0, np.uint64), *[r[3] for r in out]]), np.array([len(r[3]) for r in out], np.int64))], ["doc_id", "unit", "spare", "keys"])
+
+        return self.keep(map_arrow(rows, fn, "doc_id long, unit long, spare int, keys array<long>").dropDuplicates(["doc_id", "unit"]), "every")
+
+    def by_hot(self, hot: DataFrame) -> DataFrame:
+        """The third deal (doc_id, unit, spare, keys) of units of which at most d shingles aren't hot; spare says how many less than d."""
+        bands = self.bands
+        units = hot.groupBy("doc_id", "unit").agg(F.collect_set("key").alias("hot"), F.min("spare").alias("least")).filter("size(hot) >= least")
+        units = units.select("doc_id", "unit", (F.size("hot") - F.col("least")).alias("room"), "hot")
+
+        def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+            keys = []
+            for unit, room, hot in zip(*[b.column(c).to_pylist() for c in (1, 2, 3)]):
+                band, q = unit & 255, np.array(hot, np.int64).view(np.uint64)
+                own = []
+                # partners meet at the level of that with less room
+                for level in range(1, 5):
+                    may = -(-level * bands.d[band] // 4)
+                    full, seed = 0, HOT + (level << 8)
+                    while full <= may:
+                        x, _ = _cells(q, np.zeros(len(q), np.int64), _cell_number(may) << (seed & 255), band, seed)
+                        own.append(x)
+                        full, seed = len(x), seed + 1
+                    if may >= room:
+                        break
+                keys.append(np.concatenate(own))
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2).cast(pa.int32()), _longs(np.concatenate([np.zeros(0, np.uint64), *keys]), np.array([len(x) for x in keys], np.int64))], ["doc_id", "unit", "spare", "keys"])
+
+        return self.keep(map_arrow(units, fn, "doc_id long, unit long, spare int, keys array<long>"), "by-hot")
+
+    def rest(self, rows: DataFrame) -> None:
+        """Compares all that share a key inside the join. The shingles that aren't hot are no one else's, so those of both count as differences."""
+        d = F.element_at(F.array(*[F.lit(x) for x in self.bands.d]), (F.col("unit").bitwiseAND(255) + 1).cast("int"))
+        sigs = self.sigs.filter("n > 0 and doc_id is not null").select("doc_id", "n", "sk").distinct()
+        full = self.named(rows).withColumn("d", d).join(sigs, "doc_id")
+        x, y = (full.select("key", F.col("doc_id").alias(s), F.col("comp").alias(f"c{s}"), F.col("spare").alias(f"r{s}"), F.col("d").alias(f"d{s}"), F.col("n").alias(f"n{s}"), F.col("sk").alias(f"s{s}")) for s in "ab")
+        pairs = x.join(y, "key").filter(f"a < b AND ca <> cb AND ra + rb >= da AND {_may_link(self.num, self.den)}").select("a", "b").distinct()
+        self.compare(pairs)
+
+
+def _only(b: pa.RecordBatch, known: np.ndarray) -> pa.RecordBatch:
+    """A row for each key that is known."""
+    keys = b.column(0)
+    counts = np.diff(keys.offsets.to_numpy())
+    flat = keys.flatten().to_numpy()
+    at = np.searchsorted(known, flat)
+    hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == flat) if len(known) else np.zeros(0, np.int64)
+    of = pa.array(np.repeat(np.arange(b.num_rows), counts)[hit])
+    return pa.RecordBatch.from_arrays([pa.array(flat[hit]), *[b.column(i).take(of) for i in (1, 2, 3)]], ["key", "doc_id", "unit", "spare"])
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5, partners: int = PARTNERS, told: int = TOLD_KEYS) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs: the size of its set of k-word shingles, and the smallest doc_id reachable by
-    links, itself included. Two documents link when den * intersection >= num * union.
+    links, itself included. Two documents link when den * intersection >= num * union; num / den must be from 0.7 to 1.
 
     Words are [^\\x20\\x09-\\x0D]+ after A-Z are lower-cased; a text of fewer than k words has its whole sequence as one shingle. Null texts and
     texts without words have an empty set and no links. Rows with the same doc_id are one document that has each of their links. A null
-    doc_id has no links and a null component."""
-    spark = docs.sparkSession
+    doc_id has no links and a null component. Ties of similarity link; very long texts are one row in one task; other columns don't matter. No row
+    gives no row."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sigs = cut(signatures(plain, "doc_id", "text", k, num, den), "sigs")
+    run = Join(plain, k, num, den, partners, told)
+    whole = run.sigs.filter("n > 0 and doc_id is not null")
     # equal sets: one row stands for each
-    sets = sigs.filter("n > 0 and doc_id is not null").select("doc_id", "n", "digest")
-    firsts = sets.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    same = cut(sets.join(firsts, "digest").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), "digest").distinct(), "same")
-    copies = bounded(same.select(F.col("b").alias("doc_id")).distinct(), BROADCAST_IDS)
-    whole = sigs.filter("n > 0 and doc_id is not null")
-    alone = whole.join(copies, "doc_id", "left_anti")
+    sets = whole.select("doc_id", "digest")
+    firsts = sets.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest", "first")
+    firsts = bounded(run.keep(firsts, "firsts"), BROADCAST_IDS)
+    same = run.keep(sets.join(firsts, "digest").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), "digest").distinct(), "same")
+    run.link(same.select("a", "b"))
     # of an id with several texts only those that are copies are left out
-    others = cut(sets.select("doc_id", "digest").join(copies, "doc_id", "left_semi").join(same.select(F.col("b").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_anti").distinct(), "others")
-    if not others.isEmpty():
-        alone = alone.unionByName(whole.join(others, ["doc_id", "digest"], "left_semi"))
-    sketches = cut(alone.drop("keys", "digest"), "sketches")
-    keyed = alone.select("doc_id", F.explode("keys").alias("key"))
-    met = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
-    met = cut(met, "met")
-    release_shuffles(spark)  # before the keys are shuffled again
-    shared = cut(keyed.join(met, "key"), "shared")
-    remove(spark, *_folder(met))
-    release_shuffles(spark)
-    edges, tried, done = same.select("a", "b"), None, [*_folder(same), *_folder(others), *_folder(shared), *_folder(sketches)]
-    active = shared.withColumn("comp", F.col("doc_id"))
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            rank = F.struct(F.xxhash64("comp", F.lit(turn)) if turn else F.lit(0).cast("long"), "doc_id", "comp")
-            centre = active.groupBy("key").agg(F.min(rank).alias("c")).select("key", F.col("c.doc_id").alias("c"), F.col("c.comp").alias("cc"))
-            pairs = active.join(centre, "key").filter("comp <> cc").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
-        else:
-            x = active.join(_side(sketches, "a").withColumnRenamed("a", "doc_id"), "doc_id").withColumnRenamed("doc_id", "a").withColumnRenamed("comp", "ca")
-            y = active.join(_side(sketches, "b").withColumnRenamed("b", "doc_id"), "doc_id").withColumnRenamed("doc_id", "b").withColumnRenamed("comp", "cb")
-            pairs = x.join(y, "key").filter(f"a < b AND ca <> cb AND {_may_link(num, den)}").select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        # the last turn's join has pruned its pairs itself
-        pairs = cut(pairs if turn == STAR_ROUNDS else _pruned(pairs, sketches, num, den), "pairs")
-        links = _linked(pairs, plain, k, num, den)
-        done += [*_folder(pairs), *_folder(links)]
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        edges = edges.unionAll(links)
-        roots = components(edges)
-        done += _folder(roots)
-        if turn == STAR_ROUNDS:
-            break
-        named = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("comp"))
-        spread = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        active = cut(named.join(spread, "key"), "active")
-        done += _folder(active)
-        if active.isEmpty():
-            break
-    remove(spark, *[f for f in done if f not in _folder(roots)])
-    out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    copies = bounded(same.select(F.col("b").alias("doc_id"), "digest"), BROADCAST_IDS)
+    units = whole.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", F.explode("units").alias("u")).select("doc_id", "u.*")
+    shared = run.shared(units, whole.select(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    release_shuffles(run.spark)
+    # at first one document of each group takes most of it together
+    hot = run.settle(shared, (1, partners, partners))
+    unsure = run.keep(run.unsure(hot, units), "unsure")
+    if not unsure.isEmpty():
+        every = run.every(unsure)
+        hot = run.settle(run.shared(every), (partners, partners))
+        if not hot.isEmpty():
+            left = run.settle(run.shared(run.by_hot(hot)), (partners,), first_rank=-F.col("spare"))
+            if not left.isEmpty():
+                run.rest(left)
+    out = run.sigs.select("doc_id", F.col("n").alias("n_shingles"))
+    out = cut(run.named(out).select("doc_id", "n_shingles", F.col("comp").alias("component_id")), "jaccard")
+    run.clean(out)
+    return out

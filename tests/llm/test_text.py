@@ -92,7 +92,7 @@ def test_a_repeated_id_keeps_the_links_of_each_text(spark):
 
 
 def test_each_linked_pair_shares_a_cell():
-    """The pigeonhole bound, on random sets at the threshold."""
+    """The pigeonhole bound, on random sets at the threshold: of a set with enough cells, or by the second deal."""
     r = np.random.default_rng(3)
     for _ in range(300):
         n = int(r.integers(1, 200))
@@ -104,14 +104,52 @@ def test_each_linked_pair_shares_a_cell():
             if not len(c) or 100 * both < 85 * (len(a) + len(c) - both):
                 break
             b = c
-        bands = ngram_join.Bands(85, 100, 400)
-        keys = []
+        if np.array_equal(a, b):
+            continue
+        bands = ngram_join.Bands(85, 100)
+        keys, sure = [], False
         for s in (a, b):
-            own = [ngram_join._cells(s, np.zeros(len(s), np.int64), np.array([len(s)]), x, bands.d[x])[0] for x in bands.of(len(s))]
-            keys.append(set(np.concatenate(own).tolist()))
-        assert keys[0] & keys[1]
-        far = sum(int(x).bit_count() for x in (ngram_join.sketch(a) ^ ngram_join.sketch(b)).view(np.uint64).tolist())
-        assert far <= len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+            own = {x: ngram_join._cells(s, np.zeros(len(s), np.int64), ngram_join._cell_number(bands.d[x]), x)[0] for x in bands.of(len(s)) if bands.d[x]}
+            sure |= any(len(v) > bands.d[x] for x, v in own.items())
+            keys.append(set(np.concatenate(list(own.values())).tolist()))
+        both = np.intersect1d(a, b)
+        assert (keys[0] & keys[1] or not sure) and len(both)
+        # sketches of two lengths fold into one
+        x, y = sorted((ngram_join.sketch(a).view(np.uint64), ngram_join.sketch(b).view(np.uint64)), key=len)
+        far = sum(int(z).bit_count() for z in (x ^ (y if len(x) == len(y) else y[: len(x)] ^ y[len(x) :])).tolist())
+        assert far <= len(a) + len(b) - 2 * len(both)
+
+
+def shared_passages(seed, n=170):
+    """Texts of one length made mostly of passages that many share, linked or not by what is left, and near copies of some."""
+    r = random.Random(seed)
+    passages = [[f"p{p}x{i}" for i in range(30)] for p in range(3)]
+    out = []
+    for i in range(n):
+        own = [f"o{i}x{j}" for j in range(r.choice([1, 3, 6, 9, 14, 40]))]
+        w = passages[i % 3] * 1 + (passages[(i + 1) % 3] if i % 2 else []) + own
+        out.append(" ".join(w))
+        if i % 4 == 0:
+            w[r.randrange(len(w))] = "changed"
+            out.append(" ".join(w))
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("partners,told", [(16, 10**6), (1, 10**6), (0, 0)])
+def test_passages_that_many_share(spark, monkeypatch, partners, told):
+    """The same components whatever counts as hot, and by shuffles as by broadcasts."""
+    if not told:
+        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    rows = shared_passages(partners) + [(10_000 + i, t) for i, t in near_copies(7, 5, 6)]
+    expected = brute_components(rows, 4, 85, 100)
+    got = ngram_join.jaccard_components(documents(spark, rows), k=4, num=85, den=100, partners=partners, told=told).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == expected
+    assert len(set(expected.values())) < len(rows) - 20
+
+
+def test_thresholds_too_low_are_refused(spark):
+    with pytest.raises(ValueError, match="0.7"):
+        ngram_join.jaccard_components(documents(spark), num=1, den=2)
 
 
 def test_word_hashes_are_of_words():
@@ -128,13 +166,14 @@ def test_word_hashes_are_of_words():
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 140)] + [(r.randrange(60), r.randrange(60)) for _ in range(35)] + [(7, 7)]
-    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got, other = ({x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long"), one_task=n).collect()} for n in (0, 10**6))
+    assert got == other
     root = {x: x for e in edges for x in e}
     for _ in root:
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {k: v for k, v in root.items() if k != v}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert all(components(spark.createDataFrame([], "a long, b long"), one_task=n).count() == 0 for n in (-1, 10))
 
 
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
