@@ -1,18 +1,23 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A text's words [^\\x20\\x09-\\x0D]+ (lower-cased, outer punctuation dropped) each have a word input, a row of a hashed table, and a character input, the
-rows of its hashed character n-grams (UTF-8 bytes) with word borders, pooled. Overlapping windows of WINDOW words go through a GRU each way; attention pools
-the states of a window, and a logistic unit scores it. A text's score is its highest window's, so a few toxic words count in a text of any
-length. Rows of the tables begin as zeros but for one component, the log odds that the training texts give the word or n-gram; training
-then goes through the whole network by gradient steps on each text's highest window (multiple-instance learning).
+A text's words (parted by white space, lower-cased, outer punctuation dropped) each have a word input, a row of a hashed table, and a character
+input, the rows of its hashed character n-grams (UTF-8 bytes) with word borders, pooled: the mean, and of the first component the greatest.
+Every window of WINDOW consecutive words goes through a GRU each way; attention pools the states of a window, and a logistic unit scores it. A
+text's score is its highest window's, so a few toxic words count in a text of any length.
+
+Learning is by gradient steps on each text's highest window (multiple-instance learning). They go through the whole network, with the rows of all words
+and n-grams in the window. The first component of a row begins as the log odds that the training texts give its word or n-gram, which also
+choose the first windows; all others begin at random.
 """
 
 from __future__ import annotations
 
+import io
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,30 +25,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import free_name, held, map_arrow
+from ferrule.llm.common import _BYTE, forget, free_name, held, map_arrow, mix64
 
-WINDOW, STRIDE = 48, 36
+WINDOW = 12
 DIM, HIDDEN, BUCKETS = 6, 6, 1 << 16
 #: Labelled rows that are learnt from, at most of each label: those with the least crc32 of the id, so any order gives the same.
 SAMPLE = 3000
 #: Times that each text's highest window is chosen anew, and passes over them each time.
-TURNS, EPOCHS = 3, 6
+TURNS, EPOCHS = 3, 4
 #: Words whose projections a worker remembers before it forgets all (144 bytes each, and those of one text more).
 SLOTS = 80_000
+#: Windows that are run at once.
+ROWS = 1 << 12
 STRIP = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()) + "«»¿¡…“”"
 
 
-def word_inputs(word: str) -> tuple[int, list[int]]:
-    """The bucket of a word and those of its character n-grams: 3 to 5 bytes, with ^ and $ for its borders."""
-    w, crc = f"^{word}$".encode(), zlib.crc32
-    grams = [crc(w[i : i + n], 2) % BUCKETS for n in (3, 4, 5) for i in range(len(w) - n + 1)]
-    return crc(w, 1) % BUCKETS, grams or [crc(w, 2) % BUCKETS]
+def inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bucket of each word; the buckets of its character n-grams (3 to 5 bytes, with ^ and $ for its borders), word after word, and where each
+    word's begin. No word counts as one without letters."""
+    own = [f"^{w or '$'}$".encode() for w in words]
+    raw, n = _BYTE[np.frombuffer(b"".join(own), np.uint8)], np.array([len(w) for w in own], np.int64)
+    ends = np.repeat(np.cumsum(n), n)
+    of, place, h = np.repeat(np.arange(len(own)), n), np.arange(len(raw)), np.zeros(len(raw), np.uint64)
+    found, words_of_grams = [], []
+    for k in range(5):
+        m = max(len(raw) - k, 0)
+        h[:m] = h[:m] * np.uint64(0x9E3779B97F4A7C15) + raw[k:]
+        if k >= 2:
+            there = place + k < ends
+            found.append(h[there])
+            words_of_grams.append(of[there])
+    order = np.argsort(np.concatenate(words_of_grams), kind="stable")
+    grams = (mix64(np.concatenate(found)[order]) % np.uint64(BUCKETS)).astype(np.int32)
+    starts = np.searchsorted(np.concatenate(words_of_grams)[order], np.arange(len(own)))
+    return np.array([zlib.crc32(w, 1) % BUCKETS for w in own], np.int32), grams, starts
 
 
 def words_of(text: str | None) -> list[str]:
     return [w.strip(STRIP) for w in (text or "").lower().split()]
 
 
+def pooled(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The mean of each word's n-gram rows, but the greatest of the first component, which tells the strongest n-gram."""
+    ends = np.append(starts[1:], len(rows))
+    sums = np.zeros((len(rows) + 1, rows.shape[1]))
+    np.cumsum(rows, 0, out=sums[1:])
+    out = (sums[ends] - sums[starts]) / (ends - starts)[:, None]
+    out[:, 0] = np.maximum.reduceat(np.ascontiguousarray(rows[:, 0]), starts)
+    return out.astype(np.float32)
+
+
+def _gate(x: np.ndarray) -> np.ndarray:
+    """The piecewise linear sigmoid that gates use."""
+    return np.clip(x / 4 + np.float32(0.5), 0, 1)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -57,7 +93,8 @@ class Model:
     @staticmethod
     def fresh(seed: int = 7) -> Model:
         r = np.random.default_rng(seed)
-        p = {"word": np.zeros((BUCKETS, DIM), np.float32), "char": np.zeros((BUCKETS, DIM), np.float32)}
+        p = {name: r.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32) for name in ("word", "char")}
+        p["word"][:, 0] = p["char"][:, 0] = 0
         for side in "fb":
             p[f"W{side}"] = r.normal(0, 0.3, (2 * DIM, 3 * HIDDEN)).astype(np.float32)
             p[f"U{side}"] = r.normal(0, 0.2, (HIDDEN, 3 * HIDDEN)).astype(np.float32)
@@ -67,13 +104,22 @@ class Model:
         p["bias"] = np.full(1, -1.0, np.float32)
         return Model(p)
 
-    def vector(self, word: str) -> np.ndarray:
-        """Word row, and character rows: the mean, but the greatest of the first component, which tells the strongest n-gram."""
-        b, grams = word_inputs(word)
-        rows = self.p["char"][grams]
-        c = rows.mean(0)
-        c[0] = rows[:, 0].max()
-        return np.concatenate([self.p["word"][b], c])
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """Word row and pooled character rows of each word."""
+        if not words:
+            return np.zeros((0, 2 * DIM), np.float32)
+        b, grams, starts = inputs(words)
+        return np.concatenate([self.p["word"][b], pooled(self.p["char"][grams], starts)], 1)
+
+    def logits(self, words: list[str]) -> np.ndarray:
+        """Of all windows of a text's words, plainly; a Scorer gives the same faster."""
+        v = self.vectors(words)
+        x = np.zeros((max(len(v) - WINDOW, 0) + 1, WINDOW, 2 * DIM), np.float32)
+        live = np.zeros(x.shape[:2], np.float32)
+        for k in range(len(x)):
+            part = v[k : k + WINDOW]
+            x[k, : len(part)], live[k, : len(part)] = part, 1
+        return self.windows(x, live)
 
     def windows(self, x: np.ndarray, live: np.ndarray, keep: bool = False):
         """Logits of windows: x (windows, WINDOW, 2 DIM) word vectors projected by nothing yet, live (windows, WINDOW). With keep, what the
@@ -90,7 +136,7 @@ class Model:
         out = np.empty((n, t, HIDDEN), np.float32)
         steps = []
         for k in order:
-            g = _sigmoid(a[:, k, : 2 * HIDDEN] + s @ u[:, : 2 * HIDDEN])
+            g = _gate(a[:, k, : 2 * HIDDEN] + s @ u[:, : 2 * HIDDEN])
             z, r = g[:, :HIDDEN], g[:, HIDDEN:]
             c = np.tanh(a[:, k, 2 * HIDDEN :] + (r * s) @ u[:, 2 * HIDDEN :])
             z = z * live[:, k, None]
@@ -131,7 +177,7 @@ class Model:
                 dz, dc = d * (c - s), d * z
                 dca = dc * (1 - c * c)
                 drs = dca @ u[:, 2 * HIDDEN :].T
-                dg = np.concatenate([dz * z * (1 - z), drs * s * r * (1 - r)], 1)
+                dg = np.concatenate([dz * ((z > 0) & (z < 1)), drs * s * ((r > 0) & (r < 1))], 1) / 4
                 da[:, k, : 2 * HIDDEN], da[:, k, 2 * HIDDEN :] = dg, dca
                 gu[:, : 2 * HIDDEN] += s.T @ dg
                 gu[:, 2 * HIDDEN :] += (r * s).T @ dca
@@ -142,76 +188,85 @@ class Model:
         return float((np.logaddexp(0, logit) - y * logit).mean()), g, dx
 
 
-def _cut(n: int) -> list[int]:
-    """Where the windows of n words begin; each word is in one at least."""
-    return list(range(0, max(n - WINDOW, 0) + STRIDE, STRIDE)) if n > WINDOW else [0]
-
-
 class Vocabulary:
     """Words by number, with their buckets, for learning."""
 
     def __init__(self):
         self.number: dict[str, int] = {}
-        self.word, self.grams, self.starts = array("i"), array("i"), array("i")
 
     def ids(self, text: str | None) -> np.ndarray:
         number, out = self.number, array("i")
         for w in words_of(text):
-            k = number.get(w)
-            if k is None:
-                k = number[w] = len(number)
-                b, grams = word_inputs(w)
-                self.word.append(b)
-                self.starts.append(len(self.grams))
-                self.grams.extend(grams)
-            out.append(k)
+            out.append(number.setdefault(w, len(number)))
         return np.array(out, np.int32)
 
-    def vectors(self, p: dict[str, np.ndarray]) -> np.ndarray:
-        """As Model.vector, of all words."""
-        rows, starts = p["char"][np.array(self.grams, np.int32)], np.array(self.starts, np.int64)
-        c = np.add.reduceat(rows, starts, 0) / np.diff([*self.starts, len(rows)])[:, None]
-        c[:, 0] = np.maximum.reduceat(rows[:, 0], starts)
-        return np.concatenate([p["word"][np.array(self.word)], c], 1).astype(np.float32)
+    def close(self) -> None:
+        """All words are known."""
+        self.word, self.grams, starts = inputs(list(self.number))
+        self.ends = np.append(starts, len(self.grams))
+
+    def gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of the n-grams of some words, word after word, and where each word's begin."""
+        n = self.ends[words + 1] - self.ends[words]
+        starts = np.cumsum(n) - n
+        return self.grams[np.repeat(self.ends[words] - starts, n) + np.arange(n.sum())], starts
 
-    def buckets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct buckets of some words and of their n-grams."""
-        starts, n = self.starts, len(self.starts)
-        grams = [self.grams[starts[i] : starts[i + 1] if i + 1 < n else len(self.grams)] for i in ids.tolist()]
-        return np.unique(np.array(self.word, np.int32)[ids]), np.unique(np.concatenate([np.array(g, np.int32) for g in grams]))
+    def vectors(self, p: dict[str, np.ndarray], words: np.ndarray) -> np.ndarray:
+        grams, starts = self.gather(words)
+        return np.concatenate([p["word"][self.word[words]], pooled(p["char"][grams], starts)], 1).astype(np.float32)
+
+
+class Rows:
+    """Steps for the rows of a table, each row at a rate of its own that falls with what it has moved (Adagrad)."""
+
+    def __init__(self, table: np.ndarray, rate: float):
+        self.table, self.rate, self.sum = table, rate, np.full(len(table), 1e-4, np.float32)
+
+    def step(self, at: np.ndarray, g: np.ndarray) -> None:
+        rows, of = np.unique(at, return_inverse=True)
+        total = np.stack([np.bincount(of, g[:, d], len(rows)) for d in range(g.shape[1])], 1).astype(np.float32)
+        self.sum[rows] += (total * total).mean(1)
+        self.table[rows] -= self.rate * total / np.sqrt(self.sum[rows])[:, None]
+
+
+def log_odds(docs: list[np.ndarray], y: np.ndarray, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    """Of each bucket of words and of n-grams: how many toxic and other texts have it. Evidence seen in few texts counts less."""
+    seen = {"word": np.zeros((2, BUCKETS), np.float32), "char": np.zeros((2, BUCKETS), np.float32)}
+    for ids, label in zip(docs, y.astype(int).tolist()):
+        own = np.unique(ids)
+        if len(own):
+            seen["word"][label, np.unique(vocabulary.word[own])] += 1
+            seen["char"][label, np.unique(vocabulary.gather(own)[0])] += 1
+    n1, n0, out = float(y.sum()), float(len(y) - y.sum()), {}
+    for name, (neg, pos) in seen.items():
+        odds = np.log((pos + 0.3) / (n1 + 1)) - np.log((neg + 0.3) / (n0 + 1))
+        out[name] = np.clip(odds * (pos + neg) / (pos + neg + 2), -1, 5)
+    return out
 
 
 def fit(texts: Iterable[str | None], labels: list[int], seed: int = 7) -> Model:
     """Learns from whole texts. Without a row of each label the model stays as it begins and gives all texts about the same score."""
     m, r, vocabulary = Model.fresh(seed), np.random.default_rng(seed), Vocabulary()
-    y = np.array(labels, np.float32)
-    if not len(y) or y.min() == y.max():
-        return m
     docs = [vocabulary.ids(t) for t in texts]
-    # log odds of each bucket: how many toxic and other texts have it; evidence seen in few texts counts less
-    seen = {"word": np.zeros((2, BUCKETS), np.float32), "char": np.zeros((2, BUCKETS), np.float32)}
-    for ids, label in zip(docs, labels):
-        if len(ids):
-            word, char = vocabulary.buckets(np.unique(ids))
-            seen["word"][label, word] += 1
-            seen["char"][label, char] += 1
-    n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    for name, (neg, pos) in seen.items():
-        odds = np.log((pos + 0.3) / (n1 + 1)) - np.log((neg + 0.3) / (n0 + 1))
-        m.p[name][:, 0] = np.clip(odds * (pos + neg) / (pos + neg + 2), -1, 5)
+    y = np.array(labels, np.float32)
     keep = [i for i, ids in enumerate(docs) if len(ids)]
     docs, y = [docs[i] for i in keep], y[keep]
+    if not len(y) or y.min() == y.max():
+        return m
+    vocabulary.close()
+    for name, odds in log_odds(docs, y, vocabulary).items():
+        m.p[name][:, 0] = odds
     weight = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))).astype(np.float32)
-    buckets = np.array(vocabulary.word, np.int32)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in m.p.items() if k not in ("word", "char")}
-    step = 0
+    tables = {k: Rows(m.p[k], 0.01) for k in ("word", "char")}
+    step, every = 0, np.arange(len(vocabulary.word))
     for turn in range(TURNS):
-        v = vocabulary.vectors(m.p)
+        v = vocabulary.vectors(m.p, every)
         if turn:  # the network says which window is a text's highest
             best = Scorer(m).highest(v, docs)
         else:  # learning begins where the words' evidence is strongest
             strength = v[:, 0] + v[:, DIM]
-            best = [max(_cut(len(ids)), key=lambda b: strength[ids[b : b + WINDOW]].max(initial=-9)) for ids in docs]
+            best = [max(0, min(int(strength[ids].argmax()) - int(b), len(ids) - WINDOW)) for ids, b in zip(docs, r.integers(0, WINDOW, len(docs)))]
         places = np.full((len(docs), WINDOW), -1, np.int32)
         for i, (ids, b) in enumerate(zip(docs, best)):
             part = ids[b : b + WINDOW]
@@ -220,9 +275,14 @@ def fit(texts: Iterable[str | None], labels: list[int], seed: int = 7) -> Model:
             order = r.permutation(len(y))
             for k in range(0, len(order), 128):
                 at = order[k : k + 128]
-                live = (places[at] >= 0).astype(np.float32)
-                x = v[places[at]] * live[:, :, None]
-                _, g, dx = m.gradient(x, live, y[at], weight[at])
+                live = places[at] >= 0
+                words, of = np.unique(places[at][live], return_inverse=True)
+                grams, starts = vocabulary.gather(words)
+                rows = m.p["char"][grams]
+                top = pooled(rows, starts)
+                x = np.zeros((*live.shape, 2 * DIM), np.float32)
+                x[live] = np.concatenate([m.p["word"][vocabulary.word[words]], top], 1)[of]
+                _, g, dx = m.gradient(x, live.astype(np.float32), y[at], weight[at])
                 step += 1
                 for name, (first, second) in moment.items():
                     first *= 0.9
@@ -230,19 +290,21 @@ def fit(texts: Iterable[str | None], labels: list[int], seed: int = 7) -> Model:
                     second *= 0.999
                     second += 0.001 * g[name] ** 2
                     m.p[name] -= 0.01 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-                # rows of telling words learn too, by plain steps on the components that don't hold log odds
-                told = np.nonzero((live > 0) & (np.abs(x[:, :, 0]) > 1.5))
-                np.add.at(m.p["word"], (buckets[places[at][told]][:, None], np.arange(1, DIM)), -0.5 * dx[told][:, 1:DIM])
+                by_word = np.stack([np.bincount(of, dx[live][:, d], len(words)) for d in range(2 * DIM)], 1).astype(np.float32)
+                tables["word"].step(vocabulary.word[words], by_word[:, :DIM])
+                n = np.diff([*starts, len(grams)])
+                back = np.repeat(by_word[:, DIM:] / n[:, None], n, 0)
+                back[:, 0] = np.repeat(by_word[:, DIM], n) * (rows[:, 0] == np.repeat(top[:, 0], n))
+                tables["char"].step(grams, back)
     return m
 
 
 class Scorer:
-    """Scores texts with a model. A word's projections are remembered; both directions run as one network of twice the width."""
+    """Scores all windows of texts with a model. A word's projections are remembered. Texts are laid out one after another, so the words of step k of
+    consecutive windows are a slice; both directions run as one network of twice the width."""
 
     def __init__(self, model: Model):
         self.m, h = model, HIDDEN
-        # columns: update and reset gates of both directions, then both candidates
-        self.take = np.concatenate([np.arange(2 * h), 3 * h + np.arange(2 * h), 2 * h + np.arange(h), 5 * h + np.arange(h)])
         self.gates, self.candidate = np.zeros((2 * h, 4 * h), np.float32), np.zeros((2 * h, 2 * h), np.float32)
         for k, side in enumerate("fb"):
             u, at = model.p[f"U{side}"], slice(k * h, (k + 1) * h)
@@ -250,102 +312,116 @@ class Scorer:
             self.candidate[at, at] = u[:, 2 * h :]
         self.w = np.concatenate([model.p["Wf"], model.p["Wb"]], 1)
         self.add = np.concatenate([model.p["cf"], model.p["cb"]])
+        # attention and output of the states of both directions
+        self.read = np.zeros((2 * h, 4), np.float32)
+        for k in range(2):
+            self.read[k * h : (k + 1) * h, 2 * k] = model.p["att"][k * h : (k + 1) * h]
+            self.read[k * h : (k + 1) * h, 2 * k + 1] = model.p["out"][k * h : (k + 1) * h]
+        self.gates /= 4  # as _gate does; its 0.5 is in the table
         self._forget()
 
+    def _project(self, vectors: np.ndarray) -> np.ndarray:
+        """The inputs of update and reset gates and the candidate, of both directions."""
+        out = vectors @ self.w + self.add
+        for k in (0, 3 * HIDDEN):
+            gates = out[:, k : k + 2 * HIDDEN]
+            gates /= 4
+            gates += np.float32(0.5)
+        return out
+
     def _forget(self) -> None:
         self.slot: dict[str, int] = {}
         self.table = np.zeros((1 << 14, 6 * HIDDEN), np.float32)
         # row 0 stands for no word: its update gates are shut, so states pass by
         self.table[0, :HIDDEN] = self.table[0, 3 * HIDDEN : 4 * HIDDEN] = -60
 
-    def _slots(self, words: list[str]) -> np.ndarray:
+    def _slots(self, texts: list[list[str]]) -> list[np.ndarray]:
         slot = self.slot
-        if fresh := [w for w in dict.fromkeys(words) if w not in slot]:
+        if fresh := [w for w in dict.fromkeys(chain.from_iterable(texts)) if w not in slot]:
             begin = len(slot) + 1
             slot.update((w, begin + k) for k, w in enumerate(fresh))
             while len(self.table) <= len(slot):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            word, char, of, buckets = [], self.m.p["char"], [], []
-            for w in fresh:
-                b, grams = word_inputs(w)
-                word.append(b)
-                of.append(len(buckets))
-                buckets += grams
-            rows, n = char[buckets], np.diff([*of, len(buckets)])
-            c = np.add.reduceat(rows, of, 0) / n[:, None]
-            c[:, 0] = np.maximum.reduceat(rows[:, 0], of)
-            self.table[begin : begin + len(fresh)] = np.concatenate([self.m.p["word"][word], c], 1).astype(np.float32) @ self.w + self.add
-        return np.array([slot[w] for w in words], np.int32)
+            self.table[begin : begin + len(fresh)] = self._project(self.m.vectors(fresh))
+        return [np.fromiter(map(slot.__getitem__, words), np.int32, len(words)) for words in texts]
 
     def highest(self, vectors: np.ndarray, docs: list[np.ndarray]) -> list[int]:
         """Where each text's highest window begins; texts are numbers of words, whose vectors are given."""
-        self.table = np.concatenate([self.table[:1], vectors @ self.w + self.add])
+        self.table = np.concatenate([self.table[:1], self._project(vectors)])
         out = []
-        for ids in docs:
-            begins = _cut(len(ids))
-            out.append(begins[int(self._run([ids[b : b + WINDOW] + 1 for b in begins]).argmax())])
+        for k in range(0, len(docs), 64):
+            out += [int(x.argmax()) for x in self._windows([ids + 1 for ids in docs[k : k + 64]])]
         self._forget()
         return out
 
     def logits(self, words: list[str]) -> np.ndarray:
-        """Of a text's windows."""
-        s = self._slots(words)
-        return self._run([s[b : b + WINDOW] for b in _cut(len(s))])
+        """Of a text's windows, one from each word on that has WINDOW - 1 more after it; a shorter text is one window."""
+        return self._windows(self._slots([words]))[0]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """0 to 1 for each text: its highest window's. A text without words has the score of an empty window."""
-        out = np.full(len(texts), -np.inf)
-        places, rows = [], []
+        out, part, n = [], [], 0
         for i, t in enumerate(texts):
-            s = self._slots(words_of(t))
-            for b in _cut(len(s)):
-                places.append(i)
-                rows.append(s[b : b + WINDOW])
-            if len(rows) >= 1024 or len(self.slot) > SLOTS:
-                np.maximum.at(out, places, self._run(rows))
-                places, rows = [], []
+            part.append(words_of(t))
+            n += len(part[-1])
+            if n > SLOTS // 2 or i + 1 == len(texts):
+                out += [x.max() for x in self._windows(self._slots(part))]
+                part, n = [], 0
                 if len(self.slot) > SLOTS:
                     self._forget()
-        if rows:
-            np.maximum.at(out, places, self._run(rows))
-        return _sigmoid(out)
-
-    def _run(self, rows: list[np.ndarray]) -> np.ndarray:
-        h, n = HIDDEN, len(rows)
-        lengths = np.array([len(r) for r in rows])
-        live = np.arange(WINDOW) < lengths[:, None]
-        ids = np.zeros((n, WINDOW), np.int32)
-        ids[live] = np.concatenate(rows)
-        f = np.ascontiguousarray(ids.T)
-        a, b = self.table[f], self.table[f[::-1]]
-        a[:, :, 3 * h :] = b[:, :, 3 * h :]
-        a = a[:, :, self.take]
-        s = np.zeros((n, 2 * h), np.float32)
-        states = np.empty((2, WINDOW, n, h), np.float32)
+        return _sigmoid(np.array(out))
+
+    def _windows(self, docs: list[np.ndarray]) -> list[np.ndarray]:
+        """The logits of each text's windows."""
+        gap, begins, laid = np.zeros(WINDOW - 1, np.int32), [], []
+        at = 0
+        for ids in docs:
+            begins.append(at)
+            short = max(WINDOW - len(ids), 0)
+            laid += [ids, np.zeros(short, np.int32)]
+            at += len(ids) + short
+        stream = np.concatenate([*laid, gap])
+        every = np.concatenate([self._run(stream[k : k + ROWS + WINDOW - 1]) for k in range(0, at, ROWS)])
+        return [every[b : b + max(len(ids) - WINDOW, 0) + 1] for b, ids in zip(begins, docs)]
+
+    def _run(self, ids: np.ndarray) -> np.ndarray:
+        """Of the windows that begin at each of the words but the last ones."""
+        h, n = HIDDEN, len(ids) - WINDOW + 1
+        # a row for each component, so that words of consecutive windows lie together
+        a = np.ascontiguousarray(self.table[ids].T)
+        gf, cf, gb, cb = a[: 2 * h], a[2 * h : 3 * h], a[3 * h : 5 * h], a[5 * h :]
+        gates, candidate, read = (np.ascontiguousarray(x.T) for x in (self.gates, self.candidate, self.read))
+        s, g, c, reset = np.zeros((2 * h, n), np.float32), np.empty((4 * h, n), np.float32), np.empty((2 * h, n), np.float32), np.empty((2 * h, n), np.float32)
+        seen, got = np.empty((4, WINDOW, n), np.float32), np.empty((4, n), np.float32)
         for k in range(WINDOW):
-            g = s @ self.gates
-            g += a[k, :, : 4 * h]
-            g *= 0.5
-            np.tanh(g, out=g)
-            g *= 0.5
-            g += 0.5
-            g = g.reshape(n, 2, 2, h)
-            r = g[:, :, 1].reshape(n, 2 * h)
-            r *= s
-            c = r @ self.candidate
-            c += a[k, :, 4 * h :]
+            b = WINDOW - 1 - k
+            np.matmul(gates, s, out=g)
+            g[: 2 * h] += gf[:, k : k + n]
+            g[2 * h :] += gb[:, b : b + n]
+            np.clip(g, 0, 1, out=g)
+            for side in (0, 1):
+                np.multiply(g[(2 * side + 1) * h : (2 * side + 2) * h], s[side * h : (side + 1) * h], out=reset[side * h : (side + 1) * h])
+            np.matmul(candidate, reset, out=c)
+            c[:h] += cf[:, k : k + n]
+            c[h:] += cb[:, b : b + n]
             np.tanh(c, out=c)
             c -= s
-            c *= g[:, :, 0].reshape(n, 2 * h)
-            s = s + c
-            states[0, k], states[1, WINDOW - 1 - k] = s[:, :h], s[:, h:]
-        p = self.m.p
-        e = states[0] @ p["att"][:h] + states[1] @ p["att"][h:]
-        e[~live.T] = -1e4
-        w = np.exp(e - e.max(0))
-        w /= w.sum(0)
-        v = states[0] @ p["out"][:h] + states[1] @ p["out"][h:]
-        return ((w * v).sum(0) + p["bias"][0]).astype(np.float64)
+            c[:h] *= g[:h]
+            c[h:] *= g[2 * h : 3 * h]
+            s += c
+            np.matmul(read, s, out=got)
+            seen[:2, k], seen[2:, b] = got[:2], got[2:]
+        e = seen[0] + seen[2]
+        blank = ids == 0
+        if blank.any():
+            for k in range(WINDOW):
+                e[k][blank[k : k + n]] = -1e4
+        e -= e.max(0)
+        w = np.exp(e, out=e)
+        v = seen[1]
+        v += seen[3]
+        v *= w
+        return (v.sum(0) / w.sum(0) + self.m.p["bias"][0]).astype(np.float64)
 
 
 def crc_fold(doc_id: str = "doc_id"):
@@ -354,15 +430,37 @@ def crc_fold(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Learns from labelled rows outside fold 0, at most `sample` of each label. Null labels are left out; ids with several labels count as toxic if
-    one is; labels without a document, and documents without one, aren't used."""
+    """Learns from labelled rows outside fold 0, at most `sample` of each label, in one task of an executor; only the model comes to the driver. Null labels
+    are left out; ids with several labels count as toxic if one is; labels without a document, and documents without one, aren't used. Rows that repeat an
+    id and its text count once; an id's other texts are rows of their own."""
     mark = labels.filter(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y")).filter(crc_fold() != 0)
-    order = [F.crc32(F.col("doc_id").cast("string").cast("binary")).asc(), F.col("doc_id").asc()]
-    picked = mark.filter("y = 1").orderBy(*order).limit(sample).unionAll(mark.filter("y = 0").orderBy(*order).limit(sample))
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    picked = mark.filter("y = 1").orderBy(crc, "doc_id").limit(sample).unionAll(mark.filter("y = 0").orderBy(crc, "doc_id").limit(sample))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
-    got = rows.toArrow()
-    order = sorted(range(got.num_rows), key=lambda i: (zlib.crc32(str(got[0][i].as_py()).encode()), got[0][i].as_py(), got[2][i].as_py() or ""))
-    return fit((got[2][i].as_py() for i in order), [got[1][i].as_py() for i in order])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        labels: list[int] = []
+
+        def texts() -> Iterator[str | None]:
+            last, left = None, [sample, sample]
+            for b in batches:
+                for row in zip(*[c.to_pylist() for c in b.columns]):
+                    if row != last and left[row[1]]:
+                        left[row[1]] -= 1
+                        labels.append(row[1])
+                        yield row[2]
+                    last = row
+
+        buffer = io.BytesIO()
+        np.savez(buffer, **fit(texts(), labels).p)
+        yield pa.RecordBatch.from_arrays([pa.array([buffer.getvalue()])], ["model"])
+
+    got = rows.repartition(1).sortWithinPartitions(crc, "doc_id", "text").mapInArrow(run, "model binary").first()
+    if got is None:
+        return Model.fresh()
+    with np.load(io.BytesIO(bytes(got[0]))) as p:
+        return Model({k: p[k] for k in p.files})
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

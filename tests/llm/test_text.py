@@ -305,10 +305,50 @@ def test_toxicity_learns_and_scores_held_out_rows(spark):
     assert np.allclose(again.scores([t for _, t, _ in rows]), [got[i] for i, _, _ in rows])
 
 
-def test_toxicity_windows_cover_all_words():
-    for n in (0, 1, toxicity.WINDOW, toxicity.WINDOW + 1, 500, 1001):
-        begins = toxicity._cut(n)
-        assert set(range(n)) <= {k for b in begins for k in range(b, b + toxicity.WINDOW)}
+def test_toxicity_scores_every_window(monkeypatch):
+    """As the plain network on each window, whatever texts lie beside it."""
+    monkeypatch.setattr(toxicity, "ROWS", 100)
+    r, w = random.Random(5), toxicity.WINDOW
+    texts = ["", None, " "] + [" ".join(r.choice(["al", "Be,", "gamma", "x", "(delta)", "é", "-", "epsilons"]) + r.choice(["", "s", str(r.randrange(40))]) for _ in range(n)) for n in (1, 2, w - 1, w, w + 1, 40, 333)]
+    m = toxicity.fit(texts * 3, [k % 2 for k in range(3 * len(texts))])
+    scorer = toxicity.Scorer(m)
+    got = scorer.scores(texts)
+    for t, score in zip(texts, got):
+        words = toxicity.words_of(t)
+        plain = m.logits(words)
+        assert len(plain) == max(len(words) - w, 0) + 1 and np.allclose(scorer.logits(words), plain, atol=1e-3)
+        assert abs(score - 1 / (1 + np.exp(-plain.max()))) < 1e-3
+
+
+def test_toxicity_learns_word_and_character_rows():
+    rows = toxic_corpus(200)
+    before, after = toxicity.Model.fresh(), toxicity.fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    for name in ("word", "char"):
+        moved = (before.p[name][:, 1:] != after.p[name][:, 1:]).any(1).sum()
+        assert moved > 200
+
+
+def test_toxicity_inputs_are_of_words():
+    """The n-grams of a word don't depend on the words beside it."""
+    words = ["", "a", "idiot", "idiots", "éa"]
+    b, grams, starts = toxicity.inputs(words)
+    ends = [*starts[1:], len(grams)]
+    for w, own, x, y in zip(words, b, starts, ends):
+        alone = toxicity.inputs([w])
+        assert alone[0][0] == own and alone[1].tolist() == grams[x:y].tolist() and y - x == sum(max(len(f"^{w or '$'}$".encode()) - n + 1, 0) for n in (3, 4, 5))
+
+
+def test_toxicity_training_rows(spark):
+    """Repeated rows count once, and at most the given number of each label is learnt from."""
+    rows = toxic_corpus(60)
+    docs, labels = documents(spark, [(i, t) for i, t, _ in rows] * 2 + [(None, "x"), (61, None)]), spark.createDataFrame([(i, y) for i, _, y in rows] + [(61, 0), (61, 0)], "doc_id long, toxic int")
+    learnt = [(i, t, y) for i, t, y in [*rows, (61, None, 0)] if zlib.crc32(str(i).encode()) % 5]
+    learnt.sort(key=lambda x: zlib.crc32(str(x[0]).encode()))
+    for n in (5, 100):
+        own = [x for label in (0, 1) for x in [x for x in learnt if x[2] == label][:n]]
+        own.sort(key=lambda x: zlib.crc32(str(x[0]).encode()))
+        expected, got = toxicity.fit([t for _, t, _ in own], [y for _, _, y in own]), toxicity.train(docs, labels, sample=n)
+        assert all(np.allclose(expected.p[k], got.p[k], atol=1e-5) for k in got.p)
 
 
 def test_toxicity_without_labels(spark):
