@@ -1,11 +1,12 @@
 """Conversion of values to a field's type before they are written.
 
 Numbers that come as text are read by their leading part; what has none becomes NaN and no error is raised here. Whole numbers come from numbers by
-rounding down, and from text by cutting off the fraction.
+rounding down, and from text by cutting off the fraction. Text of a date becomes a date.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 import re
 from collections.abc import Mapping
@@ -51,6 +52,22 @@ def truth(value) -> bool:
     return value if isinstance(value, bool) else as_text(value).upper() in ("T", "TRUE")
 
 
+DATE_FORMS = ("%Y-%m-%d", "%m/%d/%Y", "%Y/%m/%d", "%Y-%m", "%Y", "%d %b %Y", "%b %d, %Y")
+
+
+def as_date(text: str) -> dt.datetime | None:
+    """Text of one of DATE_FORMS or of ISO 8601 as a date and time; None for any other."""
+    for form in DATE_FORMS:
+        try:
+            return dt.datetime.strptime(text.strip(), form)
+        except ValueError:
+            continue
+    try:
+        return dt.datetime.fromisoformat(text.strip()) if text.strip() else None
+    except ValueError:
+        return None
+
+
 def convert(value, field: Field, schema: FieldSchema | None = None):
     """None for null and UNSET. Reference objects give their id, externalId or refName as it is, but only where the schema says reference."""
     if value is None or value is UNSET:
@@ -67,4 +84,7 @@ def convert(value, field: Field, schema: FieldSchema | None = None):
         return truth(value)
     if field.type == "multiselect":
         return [as_text(v) for v in value] if isinstance(value, (list, tuple)) else [as_text(value)]
+    kind = schema.kind if field.type is None and schema is not None else field.type
+    if kind in ("date", "datetime") and isinstance(value, str) and (when := as_date(value)):
+        return when.date() if kind == "date" else when
     return value

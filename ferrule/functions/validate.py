@@ -6,7 +6,7 @@ import datetime as dt
 import re
 from collections.abc import Mapping
 
-from ferrule.functions.convert import as_text, is_number
+from ferrule.functions.convert import as_date, as_text, is_number
 from ferrule.model import UNSET, FieldSchema
 
 
@@ -28,21 +28,7 @@ def numeric(value) -> float | None:
 
 
 def is_date(value) -> bool:
-    if isinstance(value, dt.date):
-        return True
-    if not isinstance(value, str) or not value.strip():
-        return False
-    for form in ("%Y-%m-%d", "%m/%d/%Y", "%Y/%m/%d", "%Y-%m", "%Y", "%d %b %Y", "%b %d, %Y"):
-        try:
-            dt.datetime.strptime(value.strip(), form)
-            return True
-        except ValueError:
-            continue
-    try:
-        dt.datetime.fromisoformat(value.strip())
-        return True
-    except ValueError:
-        return False
+    return isinstance(value, dt.date) or isinstance(value, str) and as_date(value) is not None
 
 
 def _check_number(value, s: FieldSchema) -> str | None:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrule.functions.convert import as_date, is_number
+from ferrule.functions.validate import numeric
 from ferrule.operators.changes import Changes, LineChange, ordered
 
 
@@ -13,10 +18,45 @@ class ApplyError(ValueError):
     """Changes don't fit the stored record."""
 
 
+#: Least and greatest value of whole-number columns.
+RANGES = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}
+
+
+def _number(value, kind: T.DataType):
+    """value as a number that the column can hold."""
+    n = numeric(value)
+    bits = RANGES.get(type(kind))
+    if n is None or bits and not (math.isfinite(n) and -(2**bits) <= n < 2**bits):
+        raise ApplyError(f"Value '{value}' can't be stored in a column of type {kind.simpleString()}.")
+    return value if is_number(value) else int(n) if bits else n
+
+
+def _date(value, kind: T.DataType):
+    when = as_date(value) if isinstance(value, str) else value
+    if not isinstance(when, dt.date):
+        raise ApplyError(f"Value '{value}' can't be stored in a column of type {kind.simpleString()}.")
+    return when
+
+
+def storable(value, kind: T.DataType):
+    """value as the column can hold it; ApplyError if it can't, so that nothing is written that couldn't be read."""
+    if value is None or isinstance(kind, T.StringType):
+        return value
+    if isinstance(kind, T.NumericType):
+        return _number(value, kind)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return _date(value, kind)
+    if isinstance(kind, T.BooleanType) and not isinstance(value, bool):
+        raise ApplyError(f"Value '{value}' can't be stored in a column of type boolean.")
+    return value
+
+
 def _value(value, kind: T.DataType) -> Column:
-    if isinstance(value, list):
-        return F.array(*[F.lit(v) for v in value]).cast(kind)
-    return F.lit(value).cast(kind)
+    if isinstance(kind, T.ArrayType):
+        if value is not None and not isinstance(value, (list, tuple)):
+            raise ApplyError(f"Value '{value}' can't be stored in a column of type {kind.simpleString()}.")
+        return F.lit(None).cast(kind) if value is None else F.array(*[F.lit(storable(v, kind.elementType)) for v in value]).cast(kind)
+    return F.lit(storable(value, kind)).cast(kind)
 
 
 def _same_type(value, kind: T.DataType) -> bool:
@@ -74,23 +114,23 @@ def _changed(lines: Column, place: Column, kind: T.StructType, change: LineChang
 
 
 def changed_columns(df: DataFrame, changes: Changes) -> tuple[dict[str, Column], dict[str, Column]]:
-    """New values of the columns that change, and for each line change by match the number of its line (-1: none), both of the record's row.
+    """New values of the columns that change, and checks, both of the record's row: for each removal and change of a line whether there is such a line.
 
-    The order is: body, removals (highest line first), line updates on what is left, additions, sub-objects. A removal or update beyond
-    the last line has no effect. A line change sees those before it."""
+    The order is: body, removals (highest line first), line updates on what is left, additions, sub-objects. A line change sees those before it."""
     now: dict[str, Column] = {}
     found: dict[str, Column] = {}
     col = lambda name: now.get(name, F.col(f"`{name}`"))
     for e in ordered(changes.body.values()):
         now[e.field_id] = _value(e.value, _column_type(df, e.field_id))
-    for r in changes.removes():
+    there = lambda place, lines: F.coalesce((place >= 0) & (place < F.size(lines)), F.lit(False))
+    for n, r in enumerate(changes.removes()):
         _item_type(df, r.lines)
+        found[f"_remove{n}"] = there(F.lit(r.line), col(r.lines))
         now[r.lines] = _without(col(r.lines), r.line)
     for n, c in enumerate(changes.line_changes):
         kind = _item_type(df, c.lines)
         place = _place(col(c.lines), kind, c)
-        if c.match is not None:
-            found[f"_match{n}"] = F.coalesce(place, F.lit(-1))
+        found[f"_line{n}"] = there(place, col(c.lines))
         now[c.lines] = _changed(col(c.lines), place, kind, c)
     for a in changes.line_adds:
         kind = _item_type(df, a.lines)
@@ -121,11 +161,14 @@ def apply_changes(df: DataFrame, key: str, changes: Changes) -> DataFrame:
 
 
 def check_record(df: DataFrame, key: str, changes: Changes) -> None:
-    """Raises ApplyError if the record isn't there or a match finds no line. Reads one row by its key."""
+    """Raises ApplyError if the record isn't there, or a line that is to be removed or changed. Reads one row by its key."""
     _, found = changed_columns(df, changes)
     row = df.filter(F.col(f"`{key}`") == F.lit(changes.record_id)).select(F.lit(1).alias("_there"), *[c.alias(k) for k, c in found.items()]).first()
     if row is None:
         raise ApplyError(f"Record '{changes.record_id}' does not exist.")
+    for n, r in enumerate(changes.removes()):
+        if not row[f"_remove{n}"]:
+            raise ApplyError(f"Sublist '{r.lines}' has no line {r.line} to remove.")
     for n, c in enumerate(changes.line_changes):
-        if c.match is not None and row[f"_match{n}"] < 0:
-            raise ApplyError(f"No matching line found for sublist '{c.lines}'.")
+        if not row[f"_line{n}"]:
+            raise ApplyError(f"No matching line found for sublist '{c.lines}'." if c.match is not None else f"Sublist '{c.lines}' has no line {c.line}.")

@@ -19,6 +19,13 @@ class Edit:
     set_first: bool = False
 
 
+_BECAUSE = lambda rule: f"is {rule.kind}" + (f": {rule.reason}" if rule.reason else ".")
+#: Why rules of these kinds write nothing.
+NOT_WRITTEN = dict.fromkeys(("readonly", "derived", "external"), _BECAUSE) | {"related": lambda rule: f"maps to related record '{rule.record_type}'; update that record itself."}
+#: Kinds that write, and whether they need an access id.
+WRITES = {"body": False, "owned": True, "lines": True}
+
+
 class Targets:
     """Resolves keys of one entity. reloads gathers sub-objects whose list field must be cleared first (access id to list field);
     the first that registers one wins."""
@@ -30,20 +37,21 @@ class Targets:
         if clear_field:
             self.reloads.setdefault(access_id, clear_field)
 
-    def _apply_rule(self, key: str, f: Field) -> Field:
+    def target(self, key: str) -> Field:
+        """The configured field as its update rule makes it."""
+        f = self.entity.fields[key]
         rule = f.update
         if rule is None:
             return f
-        if rule.kind in ("readonly", "derived", "external"):
-            raise ValidationError(f"Field '{key}' is {rule.kind}" + (f": {rule.reason}" if rule.reason else "."))
-        if rule.kind == "related":
-            raise ValidationError(f"Field '{key}' maps to related record '{rule.record_type}'; update that record itself.")
-        first = f.set_first if rule.set_first is None else rule.set_first
-        base = replace(f, record_field=rule.field_id or f.record_column, set_first=first, access=rule.kind, access_id=None if rule.kind == "body" else rule.access_id)
-        if rule.kind == "owned":
+        if rule.kind not in WRITES:
+            raise ValidationError(f"Field '{key}' {NOT_WRITTEN[rule.kind](rule)}")
+        moved = {"record_field": rule.field_id or f.record_column, "access": rule.kind, "access_id": rule.access_id if WRITES[rule.kind] else None}
+        if rule.set_first is not None:
+            moved["set_first"] = rule.set_first
+        if rule.kind == "owned" and rule.clear_first:
             self.register_reload(rule.access_id, rule.clear_first)
-            return replace(base, needs_reload=bool(rule.clear_first) or f.needs_reload, clear_field=rule.clear_first or f.clear_field)
-        return base
+            moved |= {"needs_reload": True, "clear_field": rule.clear_first}
+        return replace(f, **moved)
 
     def _from_schema(self, key: str, lines: str | None, physical: str | None) -> Field | None:
         """A field that only the record's schema has."""
@@ -61,7 +69,7 @@ class Targets:
     def writable(self, key: str, lines: str | None = None, physical: str | None = None) -> Field:
         """The field to write, or ValidationError. `lines` says in which lines a key that only the schema has is to be looked for."""
         own = self.entity.fields.get(key)
-        f = self._apply_rule(key, own) if own else self._from_schema(key, lines, physical)
+        f = self.target(key) if own else self._from_schema(key, lines, physical)
         if f is None:
             raise ValidationError(f"Field '{key}' is not defined in query config or record metadata for '{self.entity.record_type}'.")
         if self.entity.explicit and own and own.update is None:

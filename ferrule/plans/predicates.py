@@ -10,7 +10,8 @@ from dataclasses import dataclass
 
 from ferrule.model import UNSET
 
-OPERATORS = ("=", "!=", "<>", ">", ">=", "<", "<=", "LIKE", "NOT LIKE", "IN", "NOT IN", "IS NULL", "IS NOT NULL", "BETWEEN")
+#: Operators by what they take.
+NO_VALUE, TWO_VALUES, VALUES, ONE_VALUE = ("IS NULL", "IS NOT NULL"), ("BETWEEN",), ("IN", "NOT IN"), ("=", "!=", "<>", ">", ">=", "<", "<=", "LIKE", "NOT LIKE")
 
 
 @dataclass(frozen=True)
@@ -24,23 +25,38 @@ def is_list(value) -> bool:
     return isinstance(value, (list, tuple, set, frozenset, range))
 
 
+def _none(op: str, value) -> tuple[str, tuple]:
+    return "", ()
+
+
+def _two(op: str, value) -> tuple[str, tuple]:
+    if not is_list(value) or len(value) != 2:
+        raise ValueError("BETWEEN requires exactly two values.")
+    return " ? AND ?", tuple(value)
+
+
+def _several(op: str, value) -> tuple[str, tuple]:
+    if not is_list(value) or not len(value):
+        raise ValueError(f"{op} requires at least one value.")
+    return f" ({', '.join('?' * len(value))})", tuple(value)
+
+
+def _one(op: str, value) -> tuple[str, tuple]:
+    if is_list(value):
+        raise ValueError(f"{op} does not accept an array value.")
+    return " ?", (value,)
+
+
+#: What follows each operator, and its parameters.
+SHAPES = dict.fromkeys(NO_VALUE, _none) | dict.fromkeys(TWO_VALUES, _two) | dict.fromkeys(VALUES, _several) | dict.fromkeys(ONE_VALUE, _one)
+
+
 def comparison(expr: str, op: str, value) -> tuple[str, tuple]:
     op = op.upper()
-    if op not in OPERATORS:
+    if op not in SHAPES:
         raise ValueError(f"Unknown operator '{op}'.")
-    if op in ("IS NULL", "IS NOT NULL"):
-        return f"{expr} {op}", ()
-    if op == "BETWEEN":
-        if not is_list(value) or len(value) != 2:
-            raise ValueError("BETWEEN requires exactly two values.")
-        return f"{expr} BETWEEN ? AND ?", tuple(value)
-    if op in ("IN", "NOT IN"):
-        if not is_list(value) or not len(value):
-            raise ValueError(f"{op} requires at least one value.")
-        return f"{expr} {op} ({', '.join('?' * len(value))})", tuple(value)
-    if is_list(value):
-        raise ValueError(f"{op} does not accept an array value.")
-    return f"{expr} {op} ?", (value,)
+    rest, args = SHAPES[op](op, value)
+    return f"{expr} {op}{rest}", args
 
 
 def joined(conditions: list[Condition]) -> tuple[str, list]:
@@ -59,7 +75,7 @@ class Where:
         self.conditions: list[Condition] = []
 
     def _add(self, link: str, name: str, op: str, value, use_text: bool):
-        if value is UNSET and op.upper() not in ("IS NULL", "IS NOT NULL"):
+        if value is UNSET and op.upper() not in NO_VALUE:
             return self
         text, args = comparison(self.resolve(name, use_text), op, value)
         self.conditions.append(Condition(link, text, args))
