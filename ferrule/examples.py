@@ -11,9 +11,16 @@ from ferrule.sources.catalog import Catalog
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels", "conversations")
 
 
+_CATALOGS: dict[tuple[str, str], Catalog] = {}
+
+
 def catalog(spark: SparkSession, folder: str) -> Catalog:
-    c = Catalog(spark).add_parquet(folder, *TABLES)
-    return c.add_display("customer", "c_nationkey", "nation", "n_nationkey", "n_name").add_display("nation", "n_regionkey", "region", "r_regionkey", "r_name")
+    """One for each session and folder, so files are looked at once."""
+    at = spark.sparkContext.applicationId, folder
+    if at not in _CATALOGS:
+        c = Catalog(spark).add_parquet(folder, *TABLES)
+        _CATALOGS[at] = c.add_display("customer", "c_nationkey", "nation", "n_nationkey", "n_name").add_display("nation", "n_regionkey", "region", "r_regionkey", "r_name")
+    return _CATALOGS[at]
 
 
 def f(table: str, column: str, **rest) -> dict:

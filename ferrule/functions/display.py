@@ -27,5 +27,8 @@ class DisplayJoins:
         out = ""
         for (alias, column), name in self.used.items():
             d = self.catalog.displays[self.tables[alias], column]
+            if self.catalog.has_unique_keys(d):  # then no row can be repeated, and Spark sees the lookup's size
+                out += f" LEFT OUTER JOIN (SELECT {d.key} AS code, {d.label} AS label FROM {d.lookup}) {name} ON {alias}.{column} = {name}.code"
+                continue
             out += f" LEFT OUTER JOIN (SELECT {d.key} AS code, MIN({d.label}) AS label FROM {d.lookup} GROUP BY {d.key}) {name} ON {alias}.{column} = {name}.code"
         return out

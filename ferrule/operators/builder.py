@@ -5,31 +5,58 @@ from __future__ import annotations
 import copy
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from ferrule.functions.display import DisplayJoins
 from ferrule.model import UNSET, Entity
 from ferrule.operators.nesting import nest, to_objects
-from ferrule.plans.compiler import Compiled, Compiler, State, inlined, name_of
+from ferrule.plans.compiler import Compiled, Compiler, Output, State, inlined, name_of
 from ferrule.plans.predicates import Where
 from ferrule.sources.catalog import Catalog
+from ferrule.sources.scratch import shared_folder
+
+PLACE = "_place"
 
 
 class Pages:
-    """Flat rows by the page. Rows are ordered by the query's sorts, or else by all columns, so that pages don't overlap."""
+    """Flat rows by the page, in the order of the query's sorts, or else of all columns, so that pages don't overlap.
+
+    The rows are sorted once and written with their places to the shared folder; a page reads the places that it has, so late pages cost no more than
+    early ones. close() removes the folder."""
 
     def __init__(self, df: DataFrame, size: int):
-        self.df, self.size = df, size
-        self.total = df.count()
+        self.size, self.spark = size, df.sparkSession
+        self.folder = shared_folder(self.spark, "pages")
+        df.withColumn(PLACE, F.monotonically_increasing_id()).write.parquet(self.folder)
+        self.rows = self.spark.read.parquet(self.folder)
+        # places grow with the order; each partition's count on from its number times 2^33
+        counts = self.rows.groupBy(F.shiftright(PLACE, 33).alias("p")).count().orderBy("p").collect()
+        self.parts = [(r["p"] << 33, r["count"]) for r in counts]
+        self.total = sum(n for _, n in self.parts)
         self.page_count = math.ceil(self.total / size)
 
     def page(self, k: int) -> list[Row]:
-        return self.df.offset(k * self.size).limit(self.size).collect()
+        low, high, before, ranges = k * self.size, (k + 1) * self.size, 0, []
+        for start, n in self.parts:
+            first, last = max(low - before, 0), min(high - before, n)
+            if first < last:
+                ranges.append(F.col(PLACE).between(start + first, start + last - 1))
+            before += n
+        if not ranges:
+            return []
+        return self.rows.filter(reduce(or_, ranges)).orderBy(PLACE).drop(PLACE).collect()
 
     def __iter__(self) -> Iterator[list[Row]]:
         return (self.page(k) for k in range(self.page_count))
 
+    def close(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
 
 class Query:
     """Methods change the query and return it; to_df(), nested(), count() and the like run it."""
@@ -152,6 +179,13 @@ class Query:
             flat = flat.withColumns({f"_sort{i}": flat[name_of(k, self.entity.field(k))] for i, (k, _) in enumerate(self.state.sorts)})
         return nest(flat, self.entity, c, ways)
 
+    def map_rows(self, flat: DataFrame) -> DataFrame:
+        """Rows of the caller's own as nested entities. Their columns are named as this entity's outputs (aliases or keys, in any case); fields without a
+        column are left out."""
+        have = {c.lower() for c in flat.columns}
+        outputs = {name_of(k, f).lower(): Output(k, f.nest_path or k, f) for k, f in self.entity.fields.items() if name_of(k, f).lower() in have}
+        return nest(flat, self.entity, Compiled("", [], outputs), [])
+
     def execute(self) -> tuple[list[Row], Compiled]:
         return self.to_df().collect(), self.compile()
 
@@ -184,14 +218,21 @@ class Query:
         return int(self.count_df().first()["count"])
 
     def exists_df(self) -> DataFrame:
-        sql, args = self.compiler.scalar(self.state, "1 AS `exists`")
-        return self.catalog.sql(sql + " LIMIT 1", args)
+        """One row, with a truth value."""
+        sql, args = self.compiler.scalar(self.state, "1")
+        return self.catalog.sql(sql + " LIMIT 1", args).agg((F.count(F.lit(1)) > 0).alias("exists"))
 
     def exists(self) -> bool:
-        return not self.exists_df().isEmpty()
+        return bool(self.exists_df().first()["exists"])
 
     def pages(self, size: int = 1000) -> Pages:
-        df = self.to_df()
+        """With a limit, its rows and those of the offset before them: pages don't skip the offset."""
+        whole = copy.copy(self)
+        whole.state = copy.copy(self.state)
+        if self.state.limit is not None:
+            whole.state.limit += self.state.offset
+        whole.state.offset = 0
+        df = whole.to_df()
         return Pages(df if self.state.sorts else df.orderBy(*df.columns), size)
 
 

@@ -11,7 +11,8 @@ from ferrule import examples as ex
 from ferrule.model import UNSET, Join, On, Table, define_entity
 from ferrule.operators.builder import Query
 from ferrule.operators.changes import Changes
-from ferrule.sources.store import FrameStore
+from ferrule.sources.scratch import shared_folder
+from ferrule.sources.store import FrameStore, SnapshotStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,8 +109,8 @@ _add("page_clamped", f"{TOP} LIMIT 1", ex.order, lambda q: q.order_by_desc("tota
 _add("order_by_unselected", 'SELECT o_orderkey AS "id" FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 7', ex.order, lambda q: q.select().order_by("total").order_by("id").limit(7))
 _add("order_nulls_last", f"{LEFT} ORDER BY l_partkey DESC NULLS LAST, o_orderkey, l_linenumber, l_quantity LIMIT 50", ex.order_lines(), lambda q: q.order_by_desc("part").order_by("id").order_by("lineNo").order_by("qty").limit(50))
 _add("count_joined", 'SELECT count(*) AS "count" FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = \'F\'', ex.order_lines(), lambda q: q.where("status", "=", "F").limit(3).distinct().count_df())
-_add("exists_true", 'SELECT 1 AS "exists"', ex.order, lambda q: q.where("id", ">", 5).exists_df())
-_add("exists_false", 'SELECT 1 AS "exists" WHERE 1 = 0', ex.order, lambda q: q.where("id", "<", -5).exists_df())
+_add("exists_true", 'SELECT true AS "exists"', ex.order, lambda q: q.where("id", ">", 5).exists_df())
+_add("exists_false", 'SELECT false AS "exists"', ex.order, lambda q: q.where("id", "<", -5).exists_df())
 
 # nesting
 
@@ -142,7 +143,7 @@ _add("transform_values", "SELECT n_nationkey AS id, lower(n_name) AS name, n_nam
 
 def _change(name: str, sql: str, entity, rows, key: str, flat, *patches: Callable[[Changes], Changes]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        store = FrameStore(rows(spark, sf_dir), key)
+        store = SnapshotStore(spark, shared_folder(spark, name), key, buckets=8).create(rows(spark, sf_dir))
         for patch in patches:
             result = patch(Changes(entity, store)).submit()
             if not result.success:
@@ -168,7 +169,7 @@ def _line_change(name: str, sql: str, patch: Callable[[Changes], Changes]) -> No
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = ex.order_rows(spark, sf_dir)
         key = df.filter(F.size("item") >= 4).agg(F.min("o_orderkey")).first()[0]
-        store = FrameStore(df, "o_orderkey")
+        store = SnapshotStore(spark, shared_folder(spark, name), "o_orderkey", buckets=8).create(df)
         result = patch(Changes(ex.order_record, store).id(key), df.filter(F.col("o_orderkey") == key).first()["item"]).submit()
         if not result.success:
             raise RuntimeError(result.error)
@@ -209,3 +210,10 @@ def _guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["guardrails"] = _guardrails
 ORACLE_SQL["guardrails"] = "SELECT * FROM (VALUES ('fast', false, 1), ('scan', false, 1), ('calls', false, 1), ('reload', false, 2), ('no id', false, 1)) t(name, success, problems)"
+
+# what has no rows of its own
+
+from ferrule import case_queries  # noqa: E402
+
+QUERIES |= case_queries.QUERIES
+ORACLE_SQL |= case_queries.ORACLE_SQL

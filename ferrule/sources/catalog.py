@@ -7,6 +7,10 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+_LITERAL = re.compile(r"'(?:[^'\\]|\\.|'')*'")
 
 
 @dataclass(frozen=True)
@@ -28,6 +32,7 @@ class Catalog:
         self.frames: dict[str, DataFrame] = {}
         self.paths: dict[str, str] = {}
         self.displays: dict[tuple[str, str], Display] = {}
+        self.unique: dict[Display, bool] = {}
 
     def add(self, name: str, df: DataFrame) -> Catalog:
         df.createOrReplaceTempView(f"{self.prefix}_{name}")
@@ -50,9 +55,18 @@ class Catalog:
         self.displays[table, column] = Display(lookup, key, label)
         return self
 
+    def has_unique_keys(self, d: Display) -> bool:
+        """Whether a lookup has each key once; found out when it's first used."""
+        if d not in self.unique:
+            key = F.col(f"`{d.key}`")
+            rows, keys = self.table(d.lookup).filter(key.isNotNull()).agg(F.count(key), F.count_distinct(key)).first()
+            self.unique[d] = rows == keys
+        return self.unique[d]
+
     def sql(self, text: str, args: list) -> DataFrame:
-        """Runs a query over the catalog's tables with positional parameters."""
-        used = [n for n in self.frames | self.paths if re.search(rf"(?<![\w.`]){re.escape(n)}(?!\w)|`{re.escape(n)}`", text)]
+        """Runs a query over the catalog's tables with positional parameters. Tables are named after FROM, JOIN or a comma."""
+        bare = _LITERAL.sub("''", text)
+        used = [n for n in self.frames | self.paths if re.search(rf"(?i)(?:\bfrom|\bjoin|,)[\s(]+`?{re.escape(n)}(?![\w.])", bare)]
         for n in used:
             self.table(n)
         head = ", ".join(f"`{n}` AS (SELECT * FROM `{self.prefix}_{n}`)" for n in used)

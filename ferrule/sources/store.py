@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,15 +36,6 @@ class FrameStore:
         return changes.record_id
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir); where that is unset, and tasks run in the driver's own process, in its
-    temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(base or f'file://{tempfile.gettempdir()}').rstrip('/')}/ferrule-{name}-{uuid.uuid4().hex}"
-
-
 class SnapshotStore:
     def __init__(self, spark: SparkSession, folder: str, key: str, buckets: int = 64):
         """buckets: parts of a new store. A submit rewrites one of them."""
