@@ -2,8 +2,9 @@
 
 A payload becomes a WAVE file of 8-bit samples. A rolling gear hash over its bytes cuts it: a cut falls where the hash of the last 32 bytes
 has zeros under a mask, but not before the least length, and at the greatest at the latest. The manifest of a file is its ordered
-list of chunk digests; files with the same manifest are one medium. Chunks are deduplicated by a Spark aggregation on their digests, and
-joined back by digest and put in order to read a medium.
+list of chunk digests; files with the same manifest are one medium. Digests are counted by a Spark aggregation. A chunk that occurs once is
+stored in a row with the other such chunks of its medium; each of the others is shuffled by its digest and stored once. To read a medium its
+list is joined with the chunks by digest, and they are put in the list's order and verified; only media without a shared chunk need no join.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import _BYTE, cut, map_arrow
+from ferrule.llm.common import _BYTE, cut, folders, map_arrow, remove
 
-LEAST, GREATEST, MASK_BITS = 32 << 10, 128 << 10, 15
+#: Bytes of a chunk at least and at most, and zeros that a cut needs: a chunk has some 768 bytes on average.
+LEAST, GREATEST, MASK_BITS = 256, 8 << 10, 9
 RATE = 8000
 _GEAR = (_BYTE >> np.uint64(32)).astype(np.uint32)
 
@@ -84,106 +85,131 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 #: Digests that occur more than once, up to this many (8 bytes of each), are told to every task; with more, all chunks are deduplicated by a shuffle.
 TOLD_DIGESTS = 2_000_000
+CHUNK = "digest binary, data binary"
+PACK = "medium binary, whole boolean, chunks array<struct<digest: binary, data: binary>>, common int"
+
+
+def pieces(text: str | None) -> tuple[int, list[bytes], list[bytes]]:
+    """The payload's length without padding, and the chunks of its sound and their digests."""
+    payload, n = padded(text)
+    media, begin, chunks = to_wave(payload), 0, []
+    for end in cuts(media):
+        chunks.append(media[begin:end])
+        begin = end
+    return n, chunks, [hashlib.sha256(c).digest() for c in chunks]
+
+
+def medium_of(digests: list[bytes]) -> bytes:
+    return hashlib.sha256(b"".join(digests)).digest()
 
 
 def _manifest(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for t in b.column(1).to_pylist():
-            payload, n = padded(t)
-            begin, digests, media = 0, [], to_wave(payload)
-            for end in cuts(media):
-                digests.append(hashlib.sha256(media[begin:end]).digest())
-                begin = end
-            rows.append((n, hashlib.sha256(b"".join(digests)).digest(), digests))
+        rows = [(n, medium_of(digests), digests) for n, _, digests in map(pieces, b.column(1).to_pylist())]
         n, medium, chunks = zip(*rows)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(medium, pa.binary()), pa.array(chunks, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "medium", "chunks"])
 
     return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), fn, "doc_id long, n_bytes long, medium binary, chunks array<binary>")
 
 
-def _chunks(docs: DataFrame, text: str, told: np.ndarray | None) -> DataFrame:
-    """(digest, data, whole, part, common): chunks with their compressed data; whole: a medium of its own, part: one of several of a medium, common: the
-    digest may occur again (0 or 1)."""
-    common = None if told is None else frozenset(told.tolist())
-
-    def fn(b: pa.RecordBatch):
-        z = zstandard.ZstdCompressor(level=6)
-        seen: set[tuple] = set()
-        rows = []
-        for t in b.column(0).to_pylist():
-            media = to_wave(padded(t)[0])
-            begin, ends = 0, cuts(media)
-            for end in ends:
-                chunk = media[begin:end]
-                digest = hashlib.sha256(chunk).digest()
-                key = (digest, len(ends) == 1)
-                if key not in seen:
-                    seen.add(key)
-                    again = common is None or digest[:8] in common
-                    rows.append((digest, z.compress(chunk), len(ends) == 1, len(ends) > 1, int(again)))
-                begin = end
-            if len(rows) >= 512:
-                yield batch(rows)
-                rows = []
-        if rows:
-            yield batch(rows)
+def _packs(docs: DataFrame, text: str, told: np.ndarray | None) -> DataFrame:
+    """(medium, whole, chunks, common): with common 0 for each text the chunks that no other has, in order (whole: it has no others); with common 1
+    those that may occur again, each once a batch."""
+    sent = docs.sparkSession.sparkContext.broadcast(told)
 
-    def batch(rows):
-        kinds = (pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["digest", "data", "whole", "part", "common"])
-
-    return map_arrow(docs.select(F.col(text).alias("text")), fn, "digest binary, data binary, whole boolean, part boolean, common int")
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        known, seen = sent.value, {}
+        got = [pieces(t)[1:] for t in b.column(0).to_pylist()]
+        digests = [d for _, own in got for d in own]
+        if known is None:
+            again = np.ones(len(digests), bool)
+        else:
+            heads = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
+            again = known[np.minimum(np.searchsorted(known, heads), len(known) - 1)] == heads if len(known) else np.zeros(len(digests), bool)
+        flags, rows = iter(again.tolist()), []
+        for chunks, own in got:
+            have = []
+            for c, d, common in zip(chunks, own, flags):
+                if common:
+                    seen[d] = c
+                else:
+                    have.append({"digest": d, "data": c})
+            if have:
+                rows.append((medium_of(own), len(have) == len(own), have, 0))
+        if seen:
+            rows.append((None, None, [{"digest": d, "data": c} for d, c in seen.items()], 1))
+        kinds = (pa.binary(), pa.bool_(), pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())])), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([], [], [], []), kinds)], ["medium", "whole", "chunks", "common"])
+
+    return map_arrow(docs.select(F.col(text).alias("text")), fn, PACK)
+
+
+def _heads(b: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(d[:8] for d in b.column(0).to_pylist()), np.int64))], ["head"])
 
 
 def store(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Writes out/manifest (doc_id, n_bytes, medium, chunks: digests in order) and the chunks (digest, data: zstandard, whole, part), each digest once: those
-    that occur once under out/raw/common=0, one of each of the others under out/kept.
+    """Writes out/manifest (doc_id, n_bytes, medium, chunks: digests in order), out/packs (medium, whole, chunks: those that occur once, in order) and
+    out/kept (digest, data: each chunk that occurs again, once).
 
     Null and empty texts are a payload of 64 zero bytes. Repeated rows and null ids have rows of their own in the manifest, and share the
-    medium. Digests are counted by a shuffle of digests only; then the texts are cut again, chunks that occur once go straight to the store, and
-    only those that occur again are shuffled, to keep one of each."""
+    medium. A very long text is one row, in one task. Other columns of docs don't matter, whatever their names; an empty table gives empty ones.
+    Digests are counted by a shuffle of digests only; then the texts are cut again (keeping their sound meanwhile would take as much disk as the
+    store), chunks that occur once go straight to the store, and only those that occur again are shuffled, to keep one of each."""
     spark = docs.sparkSession
     _manifest(docs, doc_id, text).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/manifest")
     counts = spark.read.parquet(f"{out}/manifest").select(F.explode("chunks").alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("c"))
-    again = cut(counts.filter("c > 1").select(F.substring("digest", 1, 8).alias("d")).distinct(), "again")
-    told = np.array([bytes(r[0]) for r in again.collect()], dtype=object) if again.count() <= TOLD_DIGESTS else None
-    _chunks(docs, text, told).write.mode("overwrite").partitionBy("common").option("compression", "none").parquet(f"{out}/raw")
-    raw = spark.read.schema("digest binary, data binary, whole boolean, part boolean, common int").parquet(f"{out}/raw")
-    kept = raw.filter("common = 1").groupBy("digest").agg(F.first("data").alias("data"), F.max("whole").alias("whole"), F.max("part").alias("part"))
-    kept.write.mode("overwrite").option("compression", "none").parquet(f"{out}/kept")
+    heads = cut(map_arrow(counts.filter("c > 1").select("digest"), _heads, "head long").distinct(), "again")
+    told = np.sort(heads.toArrow().column(0).to_numpy()) if heads.count() <= TOLD_DIGESTS else None
+    _packs(docs, text, told).write.mode("overwrite").partitionBy("common").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{out}/packs")
+    raw = spark.read.schema(PACK).parquet(f"{out}/packs").filter("common = 1").select(F.explode("chunks").alias("c")).select("c.digest", "c.data")
+    kept = raw.groupBy("digest").agg(F.first("data").alias("data"))
+    kept.write.mode("overwrite").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{out}/kept")
+    remove(spark, f"{out}/packs/common=1", *folders(heads))
 
 
 def read(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     """The manifest (doc_id, n_bytes, medium) and the media (medium, media, payload, feature), one for each distinct manifest, reconstructed from the
-    chunks in order and verified: each chunk against its digest, the list against the medium's. A missing or damaged chunk raises
-    ValueError. A medium of one chunk is read where the chunk is; only chunks of longer ones are joined to their manifests by digest and
-    gathered, at most one document's at once."""
+    chunks in the order of its list and verified: each chunk against its digest, the list against the medium's. A missing or damaged chunk raises
+    ValueError. Shared chunks come by a join of the lists with their digests, and are gathered with the medium's own, at most one document's at once."""
     manifest = spark.read.parquet(f"{out}/manifest")
-    chunk = "digest binary, data binary, whole boolean, part boolean"
-    once = spark.read.schema(chunk + ", common int").parquet(f"{out}/raw").filter("common = 0").drop("common")
-    chunks = once.unionAll(spark.read.schema(chunk).parquet(f"{out}/kept"))
-    one = chunks.filter("whole").select(F.unhex(F.sha2("digest", 256)).alias("medium"), F.array(F.struct(F.lit(0).alias("k"), "digest", "data")).alias("parts"))
-    refs = manifest.filter("size(chunks) > 1").select("medium", "chunks").dropDuplicates(["medium"]).select("medium", F.posexplode("chunks").alias("k", "digest"))
-    many = refs.join(chunks.filter("part").select("digest", "data"), "digest", "left").groupBy("medium").agg(F.collect_list(F.struct("k", "digest", "data")).alias("parts"))
-    return manifest.select("doc_id", "n_bytes", "medium"), _rebuild(one.unionAll(many))
+    packs = spark.read.schema(PACK).parquet(f"{out}/packs").filter("common = 0")
+    kept = spark.read.schema(CHUNK).parquet(f"{out}/kept")
+    alone = packs.filter("whole").select("medium", F.transform("chunks", lambda c: c["digest"]).alias("list"), "chunks")
+    lists = manifest.select("medium", "chunks").groupBy("medium").agg(F.first("chunks").alias("list"))
+    own = packs.filter("not whole").select("medium", F.explode("chunks").alias("c")).select("medium", "c.digest", "c.data")
+    shared = lists.select("medium", F.explode(F.array_distinct("list")).alias("digest")).join(kept, "digest").select("medium", "digest", "data")
+    gathered = own.unionAll(shared).groupBy("medium").agg(F.collect_list(F.struct("digest", "data")).alias("chunks"))
+    # a list of which nothing is there must fail, so those that no pack makes whole are all looked for
+    wanted = lists.join(alone.select("medium"), "medium", "left_anti").join(gathered, "medium", "left").select("medium", "list", "chunks")
+    return manifest.select("doc_id", "n_bytes", "medium"), _rebuild(alone.unionAll(wanted))
 
 
 def _rebuild(parts: DataFrame) -> DataFrame:
+    """Rows are handed on some hundred at once, or fewer where they are large."""
+
     def fn(b: pa.RecordBatch):
-        z = zstandard.ZstdDecompressor()
-        for medium, got in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            got.sort(key=lambda p: p["k"])
-            data = []
-            for p in got:
-                if p["data"] is None:
-                    raise ValueError(f"chunk {p['digest'].hex()} is missing")
-                data.append(chunk := z.decompress(p["data"]))
-                if hashlib.sha256(chunk).digest() != p["digest"]:
-                    raise ValueError(f"chunk {p['digest'].hex()} is damaged")
-            if hashlib.sha256(b"".join(p["digest"] for p in got)).digest() != medium:
+        rows, held = [], 0
+        for medium, order, chunks in zip(*[c.to_pylist() for c in b.columns]):
+            there = {c["digest"]: c["data"] for c in chunks or ()}
+            for d in order:
+                if d not in there:
+                    raise ValueError(f"chunk {d.hex()} is missing")
+            for d, data in there.items():
+                if hashlib.sha256(data).digest() != d:
+                    raise ValueError(f"chunk {d.hex()} is damaged")
+            if medium_of(order) != medium:
                 raise ValueError(f"medium {medium.hex()} is not whole")
-            payload = from_wave(media := b"".join(data))
-            yield pa.RecordBatch.from_arrays([pa.array([medium]), pa.array([media]), pa.array([payload]), pa.array([features(payload)])], ["medium", "media", "payload", "feature"])
+            payload = from_wave(media := b"".join(there[d] for d in order))
+            rows.append((medium, media, payload, features(payload)))
+            held += len(media)
+            if len(rows) >= 256 or held >= 1 << 20:
+                yield batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch(rows)
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.binary(), pa.binary(), pa.binary(), pa.string()))], ["medium", "media", "payload", "feature"])
 
     return map_arrow(parts, fn, "medium binary, media binary, payload binary, feature string")

@@ -1,11 +1,14 @@
 import base64
 import hashlib
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from ferrule.llm import media, url_filter, warc
+from ferrule.llm.queries import QUERIES
 
 from .common import TEXTS, documents
 
@@ -100,26 +103,65 @@ def test_cuts_follow_content():
     assert media.cuts(b"\0" * 300_000)[-1] == 300_000
 
 
+def edited(seed, n=40):
+    """Texts of some KiB and near copies of them: a word changed, put in or taken out, or a passage of another in between."""
+    r = random.Random(seed)
+    words = lambda k: [f"w{r.randrange(5000)}" for _ in range(k)]
+    passage, out = words(400), []
+    for i in range(n):
+        base = words(r.choice([3, 150, 900, 3000]))
+        near = base[:]
+        near[r.randrange(len(near))] = "changed"
+        out += [(4 * i, " ".join(base)), (4 * i + 1, " ".join(near)), (4 * i + 2, " ".join(base[: len(base) // 2] + passage + base[len(base) // 2 :])), (4 * i + 3, " ".join(base))]
+    return out
+
+
 @pytest.mark.parametrize("told", [10**6, 0])
-def test_media_round_trip(spark, tmp_path, monkeypatch, told):
+def test_media_columns(spark, tmp_path, monkeypatch, told):
+    """All columns of the query, read back from the chunks, against what the texts give."""
     monkeypatch.setattr(media, "TOLD_DIGESTS", told)
-    out = f"file://{tmp_path}/m"
-    media.store(documents(spark), out)
-    manifest, whole = media.read(spark, out)
-    got = [(r["doc_id"], r["n_bytes"], bytes(r["payload"])) for r in manifest.join(whole, "medium").collect()]
-    assert sorted(map(repr, got)) == sorted(repr((i, len((t or "").encode()), media.padded(t)[0])) for i, t in TEXTS)
-    assert whole.count() == len({t or "" for _, t in TEXTS})
+    rows = TEXTS + [(100 + i, t) for i, t in edited(3)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op1_media_chunks"](spark, str(tmp_path)).collect()
+    expected = []
+    for i, t in rows:
+        payload, n = media.padded(t)
+        wave = media.to_wave(payload)
+        centred = [b - 128 for b in payload]
+        crossings = sum((x >= 0) != (y >= 0) for x, y in zip(centred, centred[1:]))
+        counts = Counter(payload)
+        feature = f"{sum(centred) / len(payload) + 128:.4f};{(sum(x * x for x in centred) / len(payload)) ** 0.5:.4f};{crossings};{min(counts, key=lambda b: (-counts[b], b))}"
+        expected.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(wave), hashlib.sha256(wave).hexdigest(), feature))
+    assert sorted(map(repr, expected)) == sorted(repr(tuple(r)) for r in got)
+
+
+def test_near_copies_share_chunks(spark, tmp_path):
+    """Each distinct chunk is stored once, lists have several, and near copies share most of theirs."""
+    rows, out = edited(4), f"file://{tmp_path}/m"
+    media.store(documents(spark, rows), out)
+    manifest = {r["doc_id"]: r["chunks"] for r in spark.read.parquet(f"{out}/manifest").collect()}
+    stored = [c["digest"] for r in spark.read.parquet(f"{out}/packs").collect() for c in r["chunks"]] + [r["digest"] for r in spark.read.parquet(f"{out}/kept").collect()]
+    assert len(stored) == len(set(map(bytes, stored))) and set(map(bytes, stored)) == {bytes(d) for x in manifest.values() for d in x}
+    assert len([d for x in manifest.values() for d in x]) > 5 * len(rows)
+    long = [i for i, x in manifest.items() if i % 4 == 0 and len(x) > 20]
+    assert long and all(len({*map(bytes, manifest[i])} & {*map(bytes, manifest[i + k])}) >= 0.6 * len(manifest[i]) for i in long for k in (1, 2))
+
+
+def test_media_without_rows(spark, tmp_path):
     media.store(documents(spark).limit(0), f"file://{tmp_path}/none")
-    assert media.read(spark, f"file://{tmp_path}/none")[0].count() == 0
+    assert [x.count() for x in media.read(spark, f"file://{tmp_path}/none")] == [0, 0]
 
 
-def test_missing_chunks_are_told(spark, tmp_path):
-    out = f"file://{tmp_path}/m"
-    media.store(documents(spark, [(1, "a" * 300_000 + "b" * 99_000)]), out)
+@pytest.mark.parametrize("copies", [1, 2])
+def test_missing_and_damaged_chunks_are_told(spark, tmp_path, copies):
+    out, text = f"file://{tmp_path}/m", "a" * 30_000 + "b" * 9_900
+    media.store(documents(spark, [(i, text) for i in range(copies)]), out)
     _, whole = media.read(spark, out)
-    row = whole.first()
-    assert zlib.crc32(row["payload"][-64:]) == zlib.crc32(media.padded("a" * 300_000 + "b" * 99_000)[0][-64:])
-    spark.createDataFrame([], "digest binary, data binary, whole boolean, part boolean").write.mode("overwrite").parquet(f"{out}/kept")
-    spark.createDataFrame([], "digest binary, data binary, whole boolean, part boolean, common int").write.mode("overwrite").parquet(f"{out}/raw")
+    assert [bytes(r["payload"]) for r in whole.collect()] == [media.padded(text)[0]]
+    kept = [(bytes(r["digest"]), bytes(r["data"])) for r in spark.read.parquet(f"{out}/kept").collect()]
+    spark.createDataFrame(kept[1:], media.CHUNK).write.mode("overwrite").parquet(f"{out}/kept")
     with pytest.raises(Exception, match="is missing"):
         media.read(spark, out)[1].collect()
+    spark.createDataFrame([(kept[0][0], b"x"), *kept[1:]], media.CHUNK).write.mode("overwrite").parquet(f"{out}/kept")
+    with pytest.raises(Exception, match="is damaged"):
+        media.read(spark, out)[1].collect()
