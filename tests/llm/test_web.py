@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import random
 import zlib
@@ -35,12 +36,37 @@ def test_warc_round_trip(spark, tmp_path):
         expected.append((str(i), len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if revisit else "response", first if revisit else None))
     assert sorted(map(repr, expected)) == sorted(repr((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])) for r in got)
     assert all((r["payload"] is None) == (r["record_type"] == "revisit") for r in got)
+    assert len({r["record_id"] for r in got}) == len(PAGES) and [r["url"] for r in got if r["page_id"] == 4] == ["u%0D%0AX: y"]
+    whole = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("part-*")))
+    heads = [h for h, _ in warc.parse(whole)]  # plain gzip and WARC
+    ids = {h["warc-record-id"]: h for h in heads}
+    assert len(ids) == len(PAGES) and all(h["warc-type"] == "revisit" and ids[h["warc-refers-to"]]["x-page-id"] == h["x-refers-to-page-id"] for h in heads if "warc-refers-to" in h)
+    assert sum("warc-refers-to" in h for h in heads) == 1  # page 5 to 4; page 1 is there twice
     warc.write(pages(spark).limit(0), f"file://{tmp_path}/none")
     assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
     warc.write(pages(spark), f"file://{tmp_path}/least", least=100)
     assert {r["record_type"] for r in warc.read(spark, f"file://{tmp_path}/least").collect()} == {"response"}
 
 
+def test_shuffled_heads_give_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PACK", 100)
+    own = []
+    for n in (10**6, 0):
+        monkeypatch.setattr(warc, "BROADCAST_HEADS", n)
+        warc.write(pages(spark), f"file://{tmp_path}/{n}")
+        own.append(sorted(repr(tuple(r)[:7]) for r in warc.read(spark, f"file://{tmp_path}/{n}").collect()))
+    assert own[0] == own[1] and len(own[0]) == len(PAGES)
+
+
+def test_members_do_not_hold_the_separator():
+    for raw in (b"x", warc.SEPARATOR * 50, np.random.default_rng(0).bytes(9000) + warc.SEPARATOR):
+        assert warc.SEPARATOR not in warc.member(raw) and b"".join(warc.members(warc.member(raw) * 2)) == raw * 2
+    with pytest.raises(ValueError):
+        list(warc.members(warc.member(b"abc")[:-3]))
+    with pytest.raises(ValueError):
+        list(warc.members(b"abc"))
+
+
 def test_damaged_archives():
     for bad in (b"x", b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n"):
         with pytest.raises(ValueError):
