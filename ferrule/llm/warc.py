@@ -79,12 +79,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
 
 
 def member(raw: bytes) -> bytes:
-    """A gzip member, without the bytes of the separator in it."""
-    out = gzip.compress(raw, 6, mtime=0)
-    if SEPARATOR in out:  # data that can't be compressed are stored as they are; fixed codes of 8 and 9 bits change them
-        z = zlib.compressobj(1, zlib.DEFLATED, 31, 9, zlib.Z_FIXED)
-        out = z.compress(raw) + z.flush()
-    return out
+    """A gzip member without the bytes of the separator in it. They aren't UTF-8, so no text stored as it is holds them; compressed bits
+    that happen to are compressed otherwise."""
+    return next(x for x in (gzip.compress(raw, level, mtime=0) for level in (6, 5, 4, 3, 2, 1, 9)) if SEPARATOR not in x)
 
 
 def write(pages: DataFrame, out: str, date: str | None = None, **names) -> None:
