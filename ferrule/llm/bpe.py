@@ -37,7 +37,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """encode(piece): the token ids of one pre-token. States are made when first reached; beyond max_states all are forgotten."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: b for b, r in ranks.items()}
         # the trie: children by node * 256 + byte, and the token that ends at each node
@@ -190,6 +190,10 @@ class Transducer:
             put = puts(key)
             if put:
                 out += put
+            if len(self.configs) > self.max_states:  # within a long piece all are forgotten but the one it is in
+                flat = self.configs[state]
+                self.reset()
+                moves, puts, state = self.moves.get, self.puts.get, self._state(flat)
         out += self._end(state)
         return out
 
@@ -282,11 +286,11 @@ class Decoder:
         return "".join(parts) + machine.flush()
 
 
-def text_encoder(path: str, pattern: str) -> PartMemo:
+def text_encoder(ranks: dict[bytes, int], pattern: str) -> PartMemo:
     """It gives ids as native 32-bit integers. The garbage collector rests while it is held: its tables hold no cycles, and walking them is costly."""
     gc.disable()
-    machine = Transducer(load_ranks(path))
-    return part_memo(pattern, lambda piece: array("i", machine.encode(piece.encode())).tobytes(), 200_000)
+    machine = Transducer(ranks)
+    return part_memo(pattern, lambda piece: array("i", machine.encode(piece.encode())).tobytes(), 150_000)
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None, keep_text: bool = True, decoded: str | None = None) -> DataFrame:
@@ -302,7 +306,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
     at = docs.columns.index(text)
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        enc, dec = held(("bpe", path, pattern), lambda: (text_encoder(path, pattern), Decoder(load_ranks(path))))
+        enc, dec = held(("bpe", path, pattern), lambda: [(text_encoder(ranks, pattern), Decoder(ranks)) for ranks in [load_ranks(path)]][0])
         parts = [b"".join(enc.values(t or "")) for t in b.column(at).to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]) if parts else np.zeros(1, np.int64)
         col = list_array(np.frombuffer(b"".join(parts), "<i4"), offsets, pa.int32())

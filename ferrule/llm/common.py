@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -20,6 +21,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew if its files come in fewer partitions than there are cores, as one small file does; all steps on texts are bound by CPU."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return df.repartition(cores) if few else df
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares (spark.checkpoint.dir). Where that is unset, a session whose tasks run in the driver's own
     process may use the driver's temporary folder; on a cluster that would be another folder on each machine, so it's refused."""
@@ -70,6 +78,8 @@ def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 _HELD: dict[object, object] = {}
+#: The C library's function that returns free memory, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def held(key: object, make: Callable[[], object]) -> object:
@@ -81,10 +91,14 @@ def held(key: object, make: Callable[[], object]) -> object:
 
 
 def forget() -> None:
+    """Frees what is held, and gives the system back what earlier tasks of this worker have freed."""
     if _HELD:
         _HELD.clear()
         gc.enable()
-        gc.collect()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | T.StructType, holds: bool = False) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import bounded, components, cut, folders, map_arrow, mix64, release_shuffles, remove, shingle_hashes, text_bytes, word_hashes
+from ferrule.llm.common import bounded, components, cut, folders, forget, map_arrow, mix64, release_shuffles, remove, shingle_hashes, text_bytes, word_hashes
 
 BAND, SPARE = 1.6, 1.3
 #: Pairs for each document of a key up to which it is compared directly.
@@ -34,7 +34,7 @@ BROADCAST_IDS = 1_000_000
 #: Shared keys (8 bytes each) up to this many are told to every task; with more, all keys are joined by a shuffle.
 TOLD_KEYS = 4_000_000
 #: Keys that one step of looking for shared ones holds, about.
-BUCKET_KEYS = 1 << 21
+BUCKET_KEYS = 1 << 19
 EVERY, HOT = 1 << 16, 1 << 17  # the seeds of the second and third deal
 
 
@@ -191,6 +191,7 @@ class Join:
         buckets = max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), about // BUCKET_KEYS)
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             held, n = [], 0
             for b in batches:
                 x = b.column(0)
@@ -211,6 +212,7 @@ class Join:
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(one, pa.binary()), pa.array(many, pa.binary())], ["bucket", "one", "many"])
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             at, held = None, []
             for b in batches:
                 for bucket, one, many in zip(*[c.to_pylist() for c in b.columns]):

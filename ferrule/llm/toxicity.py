@@ -35,6 +35,8 @@ SAMPLE = 3000
 TURNS, EPOCHS = 3, 4
 #: Words whose projections a worker remembers before it forgets all (144 bytes each, and those of one text more).
 SLOTS = 80_000
+#: Words whose n-grams are looked at at once while learning.
+STEP = 10_000
 #: Windows that are run at once.
 ROWS = 1 << 12
 STRIP = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()) + "«»¿¡…“”"
@@ -202,8 +204,10 @@ class Vocabulary:
 
     def close(self) -> None:
         """All words are known."""
-        self.word, self.grams, starts = inputs(list(self.number))
-        self.ends = np.append(starts, len(self.grams))
+        words = list(self.number)
+        parts = [inputs(words[k : k + STEP]) for k in range(0, len(words), STEP)]
+        self.word, self.grams = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        self.ends = np.cumsum([0, *chain.from_iterable(np.diff([*starts, len(grams)]).tolist() for _, grams, starts in parts)])
 
     def gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The buckets of the n-grams of some words, word after word, and where each word's begin."""
@@ -211,9 +215,13 @@ class Vocabulary:
         starts = np.cumsum(n) - n
         return self.grams[np.repeat(self.ends[words] - starts, n) + np.arange(n.sum())], starts
 
-    def vectors(self, p: dict[str, np.ndarray], words: np.ndarray) -> np.ndarray:
-        grams, starts = self.gather(words)
-        return np.concatenate([p["word"][self.word[words]], pooled(p["char"][grams], starts)], 1).astype(np.float32)
+    def vectors(self, p: dict[str, np.ndarray]) -> np.ndarray:
+        """Of all words."""
+        every, out = np.arange(len(self.word)), np.empty((len(self.word), 2 * DIM), np.float32)
+        for k in range(0, len(every), STEP):
+            grams, starts = self.gather(every[k : k + STEP])
+            out[k : k + STEP, :DIM], out[k : k + STEP, DIM:] = p["word"][self.word[k : k + STEP]], pooled(p["char"][grams], starts)
+        return out
 
 
 class Rows:
@@ -259,9 +267,9 @@ def fit(texts: Iterable[str | None], labels: list[int], seed: int = 7) -> Model:
     weight = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))).astype(np.float32)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in m.p.items() if k not in ("word", "char")}
     tables = {k: Rows(m.p[k], 0.01) for k in ("word", "char")}
-    step, every = 0, np.arange(len(vocabulary.word))
+    step = 0
     for turn in range(TURNS):
-        v = vocabulary.vectors(m.p, every)
+        v = vocabulary.vectors(m.p)
         if turn:  # the network says which window is a text's highest
             best = Scorer(m).highest(v, docs)
         else:  # learning begins where the words' evidence is strongest

@@ -18,7 +18,7 @@ from .common import TEXTS, documents, texts_by_row
 
 RANKS = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
-ENCODER = bpe.text_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+ENCODER = bpe.text_encoder(RANKS, public_tokenizers.PATTERN)
 MACHINE = bpe.Transducer(RANKS, max_states=2000)
 
 
@@ -44,6 +44,12 @@ def test_random_bytes_as_one_piece():
         assert MACHINE.encode(piece) == LIBRARY._encode_single_piece(piece)
 
 
+def test_states_are_bounded_within_a_piece():
+    small, r = bpe.Transducer(RANKS, max_states=50), random.Random(3)
+    piece = bytes(r.choice(b"abcdefgh") for _ in range(3000))
+    assert small.encode(piece) == LIBRARY._encode_single_piece(piece) and len(small.configs) <= 52
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.binary(max_size=40), st.integers(1, 5))
 def test_utf8_machine(data, step):
