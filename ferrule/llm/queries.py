@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.llm import bpe, decontaminate, licenses, media, ngram_join, token_files, toxicity, url_filter, warc, wordpiece
-from ferrule.llm.common import read_table, scratch_dir
+from ferrule.llm.common import read_table, scratch_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -21,7 +25,7 @@ def _query(fn):
 
 @_query
 def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     back = bpe.encode(docs, keep_text=False, decoded="decoded")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -29,20 +33,20 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_files.new_folder(spark)
-    token_files.write(read_table(spark, sf_dir, "documents"), out)
+    token_files.write(_documents(spark, sf_dir), out)
     return token_files.read(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 @_query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     return wordpiece.token_counts(docs).select("doc_id", "n_words", "n_tokens")
 
 
 @_query
 def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_dir(spark, "media")
-    media.store(read_table(spark, sf_dir, "documents"), out)
+    media.store(_documents(spark, sf_dir), out)
     manifest, whole = media.read(spark, out)
     seen = whole.select(
         "medium", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature"
@@ -82,18 +86,18 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return ngram_join.jaccard_components(_documents(spark, sf_dir), k=4, num=85, den=100)
 
 
 @_query
 def op4_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, bench = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark")
+    docs, bench = _documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark")
     return decontaminate.contaminated(docs, bench).select("doc_id", "item_id", "coverage", F.col("matched").alias("matched_tokens"), F.col("n_tiles").cast("long").alias("n_tiles"))
 
 
 @_query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
+    docs, labels = _documents(spark, sf_dir), read_table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (toxicity.crc_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -101,7 +105,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(read_table(spark, sf_dir, "documents"))
+    found = licenses.scan(_documents(spark, sf_dir))
     return found.select("doc_id", "line", "license", "reduction", F.size("differences").cast("long").alias("n_differences"))
 
 

@@ -206,8 +206,52 @@ def test_tiles_are_greedy():
         assert sum(n for _, _, n in got) == brute_tile(a, b, 3)
 
 
+def test_tiles_of_repeated_tokens(monkeypatch):
+    """Whatever steps the search takes, and quickly."""
+    import time
+
+    r = random.Random(6)
+    monkeypatch.setattr(decontaminate, "PAIRS", 7)
+    for _ in range(60):
+        a, b = ([r.randrange(2) for _ in range(r.randrange(60))] for _ in range(2))
+        assert sum(n for _, _, n in decontaminate.tile(np.array(a, np.uint64), np.array(b, np.uint64), 5)) == brute_tile(a, b, 5)
+    monkeypatch.undo()
+    began = time.perf_counter()
+    assert sum(n for _, _, n in decontaminate.tile(np.ones(20_000, np.uint64), np.ones(200, np.uint64))) == 200
+    assert time.perf_counter() - began < 5
+
+
+def test_coverage_against_plain_tiling(spark):
+    """All pairs that reach the coverage, of texts and items that share passages in any order."""
+    r = random.Random(8)
+    vocabulary = [f"t{i}" for i in range(60)]
+    items = [(k, " ".join(r.choice(vocabulary) for _ in range(r.choice([4, 5, 9, 20, 41])))) for k in range(12)]
+    rows = []
+    for i in range(60):
+        w = items[r.randrange(len(items))][1].split()
+        cut = r.randrange(len(w) + 1)
+        passages = [w[cut:], [r.choice(vocabulary) for _ in range(r.randrange(20))], w[: r.randrange(cut + 1)]]
+        rows.append((i, " ".join(x for p in passages for x in p)))
+    rows.append((100, " ".join(f"long{i % 5000}" for i in range(40_000)) + " " + items[3][1]))
+    number = {}
+    ids = lambda t: [number.setdefault(x, len(number)) for x in t.split()]
+    expected = set()
+    for i, t in rows[:-1]:
+        for k, item in items:
+            a, b = ids(t), ids(item)
+            n = brute_tile(a, b, 5)
+            if n and n >= 0.5 * len(b):
+                expected.add((i, k, n))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"], x["matched"]) for x in decontaminate.contaminated(documents(spark, rows), bench).collect()}
+    assert {x for x in got if x[0] != 100} == expected and len(expected) > 20
+    assert (100, 3, len(items[3][1].split())) in got or len(items[3][1].split()) < 5
+
+
 @pytest.mark.parametrize("seeds", [10**6, 0])
-def test_decontamination(spark, seeds):
+def test_decontamination(spark, monkeypatch, seeds):
+    if not seeds:
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     w = ITEM.split()
     rows = [(1, f"Before it. {ITEM.upper()}, after."), (2, " ".join(w[8:] + ["and"] + w[:8])), (3, " ".join(w[:6]) + " and no more"), (4, "nothing of it"), (5, None), (1, f"Before it. {ITEM.upper()}, after."), (None, ITEM)]
     bench = spark.createDataFrame([(9, ITEM, "x"), (10, ITEM, "x"), (11, "", "x"), (12, None, "x"), (13, "too short", "x"), (None, ITEM, "x")], "item_id long, text string, digest string")
