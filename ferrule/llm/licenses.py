@@ -4,8 +4,9 @@ Runs of lines that speak of licensing make blocks, and the words around each key
 notices, so that wrapping doesn't cut them. These words, in lower case, are cut into overlapping pieces of twice that length, so that their number
 doesn't matter. Templates of which a piece lacks more words than may differ are left out, which loses none. A
 piece is compressed alone and with each other template as a raw zstandard dictionary; the more a template shortens it, the likelier the piece
-holds its words. Templates are ranked by that and aligned with the piece word by word: the exact differences decide. No least reduction is asked for,
-as an exact short notice can save nothing (zstandard stores less than 64 bytes of literals raw, so what a match takes away can cost the rest its coding).
+holds its words. Templates are ranked by that and aligned with the piece word by word: of those whose exact differences confirm them, the first has the
+words. No least reduction is asked for, as an exact short notice can save nothing (zstandard stores less than 64 bytes of literals raw, so what a
+match takes away can cost the rest its coding). Only wordings are compared: a notice within a sentence that denies it counts.
 """
 
 from __future__ import annotations
@@ -28,14 +29,18 @@ TEMPLATES = (
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -140,8 +145,8 @@ class Scanner:
         self.reach = max(len(ws) + int(DIFFERENT * len(ws)) for _, ws, _, _ in self.templates)
 
     def scan(self, own: list[str]) -> list[tuple[str, float, list[tuple[str, str]], int, int]]:
-        """Confirmed licences of words: name, reduction of its piece, differences, first word, word after the last; nearest first. Stretches
-        of one licence that overlap count once, with the nearest wording."""
+        """Confirmed licences of words: name, reduction of its piece, differences, first word, word after the last. Templates are taken by what they
+        save of their piece; the first whose wording is confirmed has the words, and others that overlap it don't count."""
         low, found = [w.lower() for w in own], []
         for a, b in pieces(len(own), self.reach):
             raw, have = " ".join(low[a:b]).encode(), Counter(low[a:b])
@@ -151,11 +156,11 @@ class Scanner:
             for name, ws, _, z in able:
                 reduction = 1 - len(z.compress(raw)) / alone
                 found += [(name, reduction, diff, a + i, a + j) for i, j, diff in stretches(ws, own[a:b])]
-        out, taken = [], {name: set() for name, *_ in self.templates}
-        for x in sorted(found, key=lambda x: (len(x[2]), -x[1], x[0], x[3])):
+        out, taken = [], set()
+        for x in sorted(found, key=lambda x: (-x[1], len(x[2]), x[0], x[3])):
             here = range(x[3], x[4])
-            if taken[x[0]].isdisjoint(here):
-                taken[x[0]].update(here)
+            if taken.isdisjoint(here):
+                taken.update(here)
                 out.append(x)
         return out
 
@@ -190,7 +195,8 @@ def notices(scanner: Scanner, text: str) -> list[tuple[int, str, float, list[tup
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line, license, reduction, differences): a row for each confirmed licence of each block, line being the block's first with a key word (from 0),
     reduction the part of its piece's compressed size that the template saves (a short one may save none), and differences those of the nearest stretch.
-    Null and empty texts have none; repeated rows have repeated results; null ids stay null."""
+    Null and empty texts have none; repeated rows have repeated results; null ids stay null. Of templates that save as much the nearest, then the first
+    by name, comes first. A very long text is one row in one task, in pieces. Other columns don't matter, whatever their names; no rows give none."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike(CANDIDATE))
     scanner: list[Scanner] = []
 

@@ -302,7 +302,7 @@ domain."""
 
 @pytest.mark.parametrize("sign", ["", "# ", " * ", "// "])
 def test_wrapped_license_notices(spark, sign):
-    texts = {"MIT": MIT, "GPL-3.0-or-later": GPL, "BSD-3-Clause": BSD, "Unlicense": UNLICENSE}
+    texts = {"MIT": MIT, "GPL-3.0-or-later": GPL, "BSD": BSD, "Unlicense": UNLICENSE}
     rows = [(k, "\n".join(["a first line", *(sign + x for x in text.split("\n"))])) for k, text in enumerate(texts.values())]
     rows += [(10 + k, text.replace("\n", f"\n{sign}") + "\n\n\n" + "plain words\n" * 9 + text) for k, text in enumerate(texts.values())]
     got = sorted((r["doc_id"], r["line"], r["license"]) for r in licenses.scan(documents(spark, rows)).collect())
@@ -320,6 +320,45 @@ def test_license_scan_against_plain_search(spark):
     assert {(k, name) for k, (name, _) in enumerate(licenses.TEMPLATES)} <= got and not any(d >= 100 for d, _ in got)
 
 
+def test_whole_wordings_have_no_differences(spark):
+    got = licenses.scan(documents(spark, [(1, MIT), (2, BSD), (3, GPL)])).collect()
+    assert sorted((r["doc_id"], r["license"], len(r["differences"])) for r in got) == [(1, "MIT", 0), (2, "BSD", 0), (3, "GPL-3.0-or-later", 0)]
+    # wordings are compared, not what a sentence says of them
+    assert [r["license"] for r in licenses.scan(documents(spark, [(1, "Not released under the MIT License.")])).collect()] == ["MIT"]
+
+
+def brute_distance(template, block):
+    """The fewest word edits between the template and any stretch of the block."""
+    row = [0] * (len(block) + 1)
+    for i, t in enumerate(template, 1):
+        new = [i]
+        for j, b in enumerate(block, 1):
+            new.append(min(row[j - 1] + (t != b), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_licenses_against_all_windows(spark):
+    """Edited notices in prose: a licence is found where a template's distance from any window is small enough."""
+    r = random.Random(12)
+    prose = lambda n: [r.choice("stone river light under the of and by with copies software free".split()) for _ in range(n)]
+    rows, expected = [], set()
+    low = [(name, [w.lower() for w in licenses.words(text)]) for name, text in licenses.TEMPLATES]
+    for i in range(60):
+        name, text = licenses.TEMPLATES[i % len(licenses.TEMPLATES)]
+        own = licenses.words(text)
+        plain = [k for k, w in enumerate(own) if not licenses._telling(w)]
+        for k in r.sample(plain, min(len(plain), r.randrange(7))):
+            own[k] = "changed"
+        block = [*prose(r.randrange(90)), *own, *prose(r.randrange(90))]
+        rows.append((i, " ".join(block)))
+        near = {n: min(brute_distance(t, [w.lower() for w in licenses.words(rows[-1][1])]) - licenses.DIFFERENT * len(t) for m, t in low if m == n) for n in {name}}
+        if near[name] <= 0:
+            expected.add((i, name))
+    got = {(x["doc_id"], x["license"]) for x in licenses.scan(documents(spark, rows)).collect()}
+    assert {x for x in got if x[1] == licenses.TEMPLATES[x[0] % len(licenses.TEMPLATES)][0]} == expected and 10 < len(expected) < 50
+
+
 def toxic_corpus(n=900, seed=1):
     r = random.Random(seed)
     bad, parts = ["blargh", "snorfle", "grunkish"], "al be ga del ep ze the io ka lam mu nu xi om pi rho sig tau ver it see not".split()
