@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import cut, held, map_arrow, remove, scratch_dir, tokenizer_path
+from ferrule.llm.common import bounded, cut, held, map_arrow, remove, scratch_dir, tokenizer_path
 from ferrule.llm.pieces import LETTERS_FIRST, PartMemo, part_memo
 
 VOCABULARY = "byte_bpe_50k.json"
 MAGIC, END = b"FVB1", b"\nFVB.\n"
 #: Integers after which a block is closed, and blocks of a file. A document is never split.
 BLOCK_INTS, FILE_BLOCKS = 1 << 18, 64
+#: Files (20 bytes each) whose totals are broadcast; those of more meet their documents by a shuffle.
+BROADCAST_FILES = 1_000_000
 
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -247,7 +249,7 @@ def read(spark: SparkSession, out: str) -> DataFrame:
     from pyspark.sql import Window
 
     before = totals.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return docs.join(F.broadcast(before), ["part", "piece"]).select("doc_id", (F.col("within") + F.col("before")).alias("start"), "n_tokens", "ids")
+    return docs.join(bounded(before, BROADCAST_FILES), ["part", "piece"]).select("doc_id", (F.col("within") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
 def new_folder(spark: SparkSession) -> str:
