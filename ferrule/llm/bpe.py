@@ -297,7 +297,8 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
     """docs (without the text, if keep_text is false) with a column of token ids (array<int>) in place of a column of that name. Null and empty texts give no ids; other columns, null
     or not, and repeated rows stay as they are. If docs has a column whose name differs only in case, ids gets a name of its own
     by underscores in front (see common.free_name). If decoded is a name, that column has the text that the ids decode to, in the same
-    pass over the texts."""
+    pass over the texts. A very long text is one row in one task, whose machine forgets states beyond its bound; equal texts have equal ids; an empty
+    table gives no rows."""
     import public_tokenizers
 
     path, pattern = path or tokenizer_path(RANKS), pattern or public_tokenizers.PATTERN

@@ -163,7 +163,8 @@ def _sum_counts(df: DataFrame) -> DataFrame:
 
 def write(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 2) -> None:
     """Writes the files under out/blocks in ascending doc_id order (nulls first; ties by length, then ids; file names sort in that order)
-    and the rank table under out/ranks. Repeated rows stay. An empty input makes empty folders' worth of files.
+    and the rank table under out/ranks. Repeated rows stay. A very long text is a block of its own, never cut. Other columns don't matter, whatever their names. An empty input
+    makes empty folders' worth of files.
 
     The only rows that reach the driver are the vocabulary's."""
     spark = docs.sparkSession

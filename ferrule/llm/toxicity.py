@@ -473,7 +473,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """docs with the score, a double from 0 to 1. Null and empty texts get the score of a text without words; repeated rows and other columns stay;
-    if the name is taken it gets underscores in front."""
+    if the name is taken it gets underscores in front. Windows of very long texts run some at a time; of equal highest windows any gives the score; an
+    empty table gives no rows."""
     at, name = docs.columns.index(text), free_name(docs, name)
     sent, key = docs.sparkSession.sparkContext.broadcast(model.p), uuid.uuid4().hex
 

@@ -39,7 +39,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     rules has host, path and verdict; of rules with the same host and path one that blocks wins; rules with nulls are left out. A rule fits its
     host and all subdomains where the URL's path starts with its path; the longest wins (host and path together), then a blocking one, then
     the greatest text. Null, empty and malformed URLs have empty host and path. Repeated rows and all columns stay; new columns whose
-    names are taken get underscores in front. Without rules every URL gets the default."""
+    names are taken get underscores in front. Without rules every URL gets the default. A very long URL makes no more
+    expressions than the rules have shapes; an empty table gives no rows."""
     names = {}
     for want in ("host", "path", "rule", "verdict"):
         names[want] = free_name(pages, want)

@@ -95,7 +95,8 @@ def _counter(path: str, pattern: str) -> PartMemo:
 def token_counts(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """docs with n_words (matches of the pattern) and n_tokens (their pieces by greedy longest match over the rank file's tokens; each byte is a
     token, so every word is covered). Null and empty texts have 0 and 0; repeated rows and other columns stay; if a name is taken, the
-    new column gets underscores in front."""
+    new column gets underscores in front. Of pieces that begin at one place the longest counts, so there are no ties. A very long text is one row in
+    one task; an empty table gives no rows."""
     import public_tokenizers
 
     path, pattern = path or tokenizer_path(RANKS), pattern or public_tokenizers.PATTERN

@@ -140,11 +140,13 @@ def test_passages_that_many_share(spark, monkeypatch, partners, told):
     """The same components whatever counts as hot, and by shuffles as by broadcasts."""
     if not told:
         monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    rest, seen = ngram_join.Join.rest, []
+    monkeypatch.setattr(ngram_join.Join, "rest", lambda self, rows: seen.append(rest(self, rows)))
     rows = shared_passages(partners) + [(10_000 + i, t) for i, t in near_copies(7, 5, 6)]
     expected = brute_components(rows, 4, 85, 100)
     got = ngram_join.jaccard_components(documents(spark, rows), k=4, num=85, den=100, partners=partners, told=told).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == expected
-    assert len(set(expected.values())) < len(rows) - 20
+    assert len(set(expected.values())) < len(rows) - 20 and len(seen) == (not partners)
 
 
 def test_thresholds_too_low_are_refused(spark):
