@@ -210,7 +210,7 @@ sale = define_entity(
         "memo": f("s", "memo", type="string"),
         "ship_city": f("s", "city"),
         "deep": f("s", "deep", nest_path="x.y.z"),
-        "sourced": f("s", "src", source_path="m.*.k"),
+        "sourced": f("s", "src", source={"kind": "recordField", "path": "m.*.k"}),
         "zip": f("s", "zip", nest_path="address.zip", access="owned", access_id="addr"),
         "city": f("s", "town", nest_path="address.city", access="owned", access_id="addr", set_first=True),
         "item": f("s", "item", type="key", nest_path="lines.item", update={"kind": "lines", "access_id": "rows", "match_by": "lines.item"}),
@@ -271,6 +271,7 @@ def _plan_cases(spark: SparkSession, sf_dir: str):
         "cleared": lambda: (full().clear().pending(), full().clear().reloads),
         "details": lambda: full().plan().details,
         "notes": lambda: len(full().plan().notes),
+        "calls of each kind": lambda: [(p.calls, p.submits, p.loads, p.saves) for p in (c.plan() for c in (Changes(sale), Changes(sale).set("memo", "a"), full()))],
         "options": lambda: Changes(sale).id(1).dynamic().with_options(enable_sourcing=True).add_line("rows", {"qty": 1}).plan().operations[0]["dynamic"],
         "first set loses to a later one": lambda: [e.value for e in Changes(define_entity("p", T0, {"a": f("t", "x"), "b": f("t", "x", set_first=True)})).set("a", 1).set("b", 2).body.values()],
     }
@@ -287,6 +288,7 @@ _cases(
         "cleared": "(0, {})",
         "details": "Details(body_fields=1, owned_objects=1, lines_updated=2, lines_added=1, lines_removed=3)",
         "notes": "3",
+        "calls of each kind": "[(0, 0, 0, 0), (1, 1, 0, 0), (4, 0, 2, 2)]",
         "options": "True",
         "first set loses to a later one": "[1, 2]",
     },
@@ -392,6 +394,7 @@ def _config_cases(spark: SparkSession, sf_dir: str):
     return {
         "later sections win": lambda: [getattr(make_field(sections), k) for k in ("column", "alias", "type")],
         "plain": lambda: make_field({"table": "t", "column": "a"}).record_column,
+        "source": lambda: [getattr(make_field({"table": "t", "column": "a", "source": {"kind": "joinedRecordField", "path": "x.y", "record_type": "r", "table": "j", "field_id": "f", "description": "d"}}).source, k) for k in ("kind", "path", "record_type", "table", "field_id", "description")],
         "unknown property": lambda: make_field({"table": "t", "column": "a", "colour": 1}),
         "same output names": lambda: define_entity("e", T0, {"a": f("t", "a"), "A": f("t", "b")}),
         "unknown type": lambda: define_entity("e", T0, {"a": f("t", "a", type="colour")}),
@@ -404,7 +407,7 @@ def _config_cases(spark: SparkSession, sf_dir: str):
 _cases(
     "config_sections",
     _config_cases,
-    {"later sections win": "['a', 'y', 'integer']", "plain": "a", "unknown property": "Unknown field properties: colour.", "same output names": "Fields 'a' and 'A' of 'e' have the same output name.", "unknown type": "Field 'a' has the unknown type 'colour'.", "join without constraints": "Join to 'x' has no constraints.", "kept as given": "a", "config error": "True"},
+    {"later sections win": "['a', 'y', 'integer']", "plain": "a", "source": "['joinedRecordField', 'x.y', 'r', 'j', 'f', 'd']", "unknown property": "Unknown field properties: colour.", "same output names": "Fields 'a' and 'A' of 'e' have the same output name.", "unknown type": "Field 'a' has the unknown type 'colour'.", "join without constraints": "Join to 'x' has no constraints.", "kept as given": "a", "config error": "True"},
 )
 
 

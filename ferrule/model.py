@@ -57,6 +57,18 @@ class Join:
             raise ConfigError(f"Join to '{self.to.name}' has no constraints.")
 
 
+@dataclass(frozen=True)
+class Source:
+    """Where a field's values come from. Patches find the field by the path too; the rest is kept for those who read the configuration."""
+
+    kind: str | None = None
+    path: str | None = None
+    record_type: str | None = None
+    table: str | None = None
+    field_id: str | None = None
+    description: str | None = None
+
+
 @dataclass(frozen=True)
 class UpdateRule:
     """Where a field is written: body, owned (a sub-object), lines, related, or nowhere (readonly, derived, external)."""
@@ -90,10 +102,15 @@ class Field:
     set_first: bool = False
     needs_reload: bool = False
     clear_field: str | None = None
-    source_path: str | None = None
+    source: Source | None = None
     update: UpdateRule | None = None
     meta: Any = None
 
+    @property
+    def paths(self) -> list[str]:
+        """Where the field lies in nested objects."""
+        return [p for p in (self.nest_path, self.source and self.source.path) if p]
+
     @property
     def record_column(self) -> str:
         return self.record_field if self.record_field is not None else self.column
@@ -192,8 +209,9 @@ def make_field(config: Field | Mapping[str, Any]) -> Field:
     unknown = set(merged) - _NAMES
     if unknown:
         raise ConfigError(f"Unknown field properties: {', '.join(sorted(unknown))}.")
-    if isinstance(merged.get("update"), Mapping):
-        merged["update"] = UpdateRule(**merged["update"])
+    for name, kind in (("update", UpdateRule), ("source", Source)):
+        if isinstance(merged.get(name), Mapping):
+            merged[name] = kind(**merged[name])
     return Field(**merged)
 
 

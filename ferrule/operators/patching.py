@@ -81,11 +81,11 @@ class Patcher:
         self.names: dict[str, dict[str, str]] = {}  # of each list: what its fields are called, to their keys
         for key, f in entity.fields.items():
             lines = lines_of(f)
-            for path in (f.nest_path, f.source_path):
-                self._add(names_in(path or ""), key, f, lines)
+            for path in f.paths:
+                self._add(names_in(path), key, f, lines)
             if lines:
                 own = self.names.setdefault(lines, {})
-                paths = [names_in(p) for p in (f.nest_path, f.source_path) if p]
+                paths = [names_in(p) for p in f.paths]
                 called = [key, f.record_column, f.column, *[".".join(p[k:]) for p in paths for k in range(len(p))]]
                 if f.update is not None and f.update.kind == "lines" and f.update.field_id:
                     called.append(f.update.field_id)
