@@ -146,7 +146,7 @@ def test_passages_that_many_share(spark, monkeypatch, partners, told):
     expected = brute_components(rows, 4, 85, 100)
     got = ngram_join.jaccard_components(documents(spark, rows), k=4, num=85, den=100, partners=partners, told=told).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == expected
-    assert len(set(expected.values())) < len(rows) - 20 and len(seen) == (not partners)
+    assert len(set(expected.values())) < len(rows) - 20 and len(seen) == (partners < 2)
 
 
 def test_thresholds_too_low_are_refused(spark):
