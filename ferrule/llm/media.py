@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import _BYTE, cut, folders, map_arrow, remove
+from ferrule.llm.common import _BYTE, cut, folders, map_arrow, release_shuffles, remove
 
 #: Bytes of a chunk at least and at most, and zeros that a cut needs: a chunk has some 768 bytes on average.
 LEAST, GREATEST, MASK_BITS = 256, 8 << 10, 9
@@ -166,6 +166,7 @@ def store(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text")
     kept = raw.groupBy("digest").agg(F.first("data").alias("data"))
     kept.write.mode("overwrite").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{out}/kept")
     remove(spark, f"{out}/packs/common=1", *folders(heads))
+    release_shuffles(spark)  # before chunks are joined to their lists
 
 
 def read(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
