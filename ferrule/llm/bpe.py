@@ -125,7 +125,7 @@ class Transducer:
                         break
                 if not known:
                     break
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > 150_000:
                 self.pairs.clear()
             self.pairs[a << 32 | b] = known
         return known

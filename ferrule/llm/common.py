@@ -101,6 +101,12 @@ def forget() -> None:
         _TRIM(0)
 
 
+#: Rows of the batches that Spark hands to Python workers where the session doesn't set their number (10,000 are Spark's own): of long texts
+#: more would take some hundred MB in the executor beside its heap.
+BATCH_ROWS = "1000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | T.StructType, holds: bool = False) -> DataFrame:
     """mapInArrow with a function of one batch. Spark's batches (64 MB at most by default) are handed over in slices of at most SLICE rows and
     SLICE_BYTES, or of one row that is larger. Functions that use held() say so; the others' tasks begin by freeing what is held."""
@@ -116,6 +122,9 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
                 else:
                     yield from out
 
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
     return df.mapInArrow(run, schema)
 
 

@@ -34,9 +34,9 @@ SAMPLE = 3000
 #: Times that each text's highest window is chosen anew, and passes over them each time.
 TURNS, EPOCHS = 3, 4
 #: Words whose projections a worker remembers before it forgets all (144 bytes each, and those of one text more).
-SLOTS = 80_000
-#: Words whose n-grams are looked at at once while learning.
-STEP = 10_000
+SLOTS = 60_000
+#: New words whose n-grams are looked at at once.
+STEP = 5_000
 #: Windows that are run at once.
 ROWS = 1 << 12
 STRIP = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()) + "«»¿¡…“”"
@@ -350,7 +350,8 @@ class Scorer:
             slot.update((w, begin + k) for k, w in enumerate(fresh))
             while len(self.table) <= len(slot):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[begin : begin + len(fresh)] = self._project(self.m.vectors(fresh))
+            for k in range(0, len(fresh), STEP):
+                self.table[begin + k : begin + k + len(fresh[k : k + STEP])] = self._project(self.m.vectors(fresh[k : k + STEP]))
         return [np.fromiter(map(slot.__getitem__, words), np.int32, len(words)) for words in texts]
 
     def highest(self, vectors: np.ndarray, docs: list[np.ndarray]) -> list[int]:
@@ -372,7 +373,7 @@ class Scorer:
         for i, t in enumerate(texts):
             part.append(words_of(t))
             n += len(part[-1])
-            if n > SLOTS // 2 or i + 1 == len(texts):
+            if n > SLOTS // 4 or i + 1 == len(texts):
                 out += [x.max() for x in self._windows(self._slots(part))]
                 part, n = [], 0
                 if len(self.slot) > SLOTS:
