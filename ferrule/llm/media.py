@@ -86,7 +86,7 @@ def padded(text: str | None) -> tuple[bytes, int]:
 #: Digests that occur more than once, up to this many (8 bytes of each), are told to every task; with more, all chunks are deduplicated by a shuffle.
 TOLD_DIGESTS = 2_000_000
 CHUNK = "digest binary, data binary"
-PACK = "medium binary, whole boolean, chunks array<struct<digest: binary, data: binary>>, common int"
+PACK = "medium binary, list array<binary>, chunks array<binary>, common int"
 
 
 def pieces(text: str | None) -> tuple[int, list[bytes], list[bytes]]:
@@ -113,8 +113,8 @@ def _manifest(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _packs(docs: DataFrame, text: str, told: np.ndarray | None) -> DataFrame:
-    """(medium, whole, chunks, common): with common 0 for each text the chunks that no other has, in order (whole: it has no others); with common 1
-    those that may occur again, each once a batch."""
+    """(medium, list, chunks, common): with common 0 for each text the chunks that no other has, in order, and, if it has others too, the list of all its
+    digests; with common 1 the chunks that may occur again, each once a batch."""
     sent = docs.sparkSession.sparkContext.broadcast(told)
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -126,20 +126,24 @@ def _packs(docs: DataFrame, text: str, told: np.ndarray | None) -> DataFrame:
         else:
             heads = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
             again = known[np.minimum(np.searchsorted(known, heads), len(known) - 1)] == heads if len(known) else np.zeros(len(digests), bool)
-        flags, rows = iter(again.tolist()), []
+        flags, rows, copies = iter(again.tolist()), [], set()
         for chunks, own in got:
             have = []
             for c, d, common in zip(chunks, own, flags):
                 if common:
                     seen[d] = c
                 else:
-                    have.append({"digest": d, "data": c})
-            if have:
-                rows.append((medium_of(own), len(have) == len(own), have, 0))
+                    have.append(c)
+            medium = medium_of(own)
+            if len(have) == len(own):
+                rows.append((medium, None, have, 0))
+            elif have or medium not in copies:
+                copies.add(medium)
+                rows.append((medium, own, have, 0))
         if seen:
-            rows.append((None, None, [{"digest": d, "data": c} for d, c in seen.items()], 1))
-        kinds = (pa.binary(), pa.bool_(), pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())])), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([], [], [], []), kinds)], ["medium", "whole", "chunks", "common"])
+            rows.append((None, None, list(seen.values()), 1))
+        kinds = (pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([], [], [], []), kinds)], ["medium", "list", "chunks", "common"])
 
     return map_arrow(docs.select(F.col(text).alias("text")), fn, PACK)
 
@@ -149,8 +153,8 @@ def _heads(b: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def store(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Writes out/manifest (doc_id, n_bytes, medium, chunks: digests in order), out/packs (medium, whole, chunks: those that occur once, in order) and
-    out/kept (digest, data: each chunk that occurs again, once).
+    """Writes out/manifest (doc_id, n_bytes, medium, chunks: digests in order), out/packs (medium, chunks: those that occur once, in order; list: all
+    digests in order, if there are others) and out/kept (digest, data: each chunk that occurs again, once).
 
     Null and empty texts are a payload of 64 zero bytes. Repeated rows and null ids have rows of their own in the manifest, and share the
     medium. A very long text is one row, in one task. Other columns of docs don't matter, whatever their names; an empty table gives empty ones.
@@ -162,7 +166,7 @@ def store(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text")
     heads = cut(map_arrow(counts.filter("c > 1").select("digest"), _heads, "head long").distinct(), "again")
     told = np.sort(heads.toArrow().column(0).to_numpy()) if heads.count() <= TOLD_DIGESTS else None
     _packs(docs, text, told).write.mode("overwrite").partitionBy("common").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{out}/packs")
-    raw = spark.read.schema(PACK).parquet(f"{out}/packs").filter("common = 1").select(F.explode("chunks").alias("c")).select("c.digest", "c.data")
+    raw = spark.read.schema(PACK).parquet(f"{out}/packs").filter("common = 1").select(F.explode("chunks").alias("data")).select(F.unhex(F.sha2("data", 256)).alias("digest"), "data")
     kept = raw.groupBy("digest").agg(F.first("data").alias("data"))
     kept.write.mode("overwrite").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{out}/kept")
     remove(spark, f"{out}/packs/common=1", *folders(heads))
@@ -176,13 +180,13 @@ def read(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     manifest = spark.read.parquet(f"{out}/manifest")
     packs = spark.read.schema(PACK).parquet(f"{out}/packs").filter("common = 0")
     kept = spark.read.schema(CHUNK).parquet(f"{out}/kept")
-    alone = packs.filter("whole").select("medium", F.transform("chunks", lambda c: c["digest"]).alias("list"), "chunks")
-    lists = manifest.select("medium", "chunks").groupBy("medium").agg(F.first("chunks").alias("list"))
-    own = packs.filter("not whole").select("medium", F.explode("chunks").alias("c")).select("medium", "c.digest", "c.data")
-    shared = lists.select("medium", F.explode(F.array_distinct("list")).alias("digest")).join(kept, "digest").select("medium", "digest", "data")
-    gathered = own.unionAll(shared).groupBy("medium").agg(F.collect_list(F.struct("digest", "data")).alias("chunks"))
-    # a list of which nothing is there must fail, so those that no pack makes whole are all looked for
-    wanted = lists.join(alone.select("medium"), "medium", "left_anti").join(gathered, "medium", "left").select("medium", "list", "chunks")
+    alone = packs.filter("list is null").select("medium", "list", "chunks")
+    parted = packs.filter("list is not null")
+    lists = parted.groupBy("medium").agg(F.first("list").alias("list"))
+    own = parted.select("medium", F.explode("chunks").alias("data"))
+    shared = lists.select("medium", F.explode(F.array_distinct("list")).alias("digest")).join(kept, "digest").select("medium", "data")
+    gathered = own.unionAll(shared).groupBy("medium").agg(F.collect_list("data").alias("chunks"))
+    wanted = lists.join(gathered, "medium", "left").select("medium", "list", "chunks")
     return manifest.select("doc_id", "n_bytes", "medium"), _rebuild(alone.unionAll(wanted))
 
 
@@ -192,16 +196,17 @@ def _rebuild(parts: DataFrame) -> DataFrame:
     def fn(b: pa.RecordBatch):
         rows, held = [], 0
         for medium, order, chunks in zip(*[c.to_pylist() for c in b.columns]):
-            there = {c["digest"]: c["data"] for c in chunks or ()}
-            for d in order:
-                if d not in there:
-                    raise ValueError(f"chunk {d.hex()} is missing")
-            for d, data in there.items():
-                if hashlib.sha256(data).digest() != d:
-                    raise ValueError(f"chunk {d.hex()} is damaged")
+            there = [(hashlib.sha256(data).digest(), data) for data in chunks or ()]
+            if order is None:  # no chunk is shared, so they are stored in order
+                order = [d for d, _ in there]
+            by = dict(there)
+            lost = [d for d in order if d not in by]
+            if lost:
+                strange = by.keys() - set(order)
+                raise ValueError(f"chunk {lost[0].hex()} is {'damaged' if strange else 'missing'}")
             if medium_of(order) != medium:
-                raise ValueError(f"medium {medium.hex()} is not whole")
-            payload = from_wave(media := b"".join(there[d] for d in order))
+                raise ValueError(f"medium {medium.hex()} is not whole: a chunk is missing or damaged")
+            payload = from_wave(media := b"".join(by[d] for d in order))
             rows.append((medium, media, payload, features(payload)))
             held += len(media)
             if len(rows) >= 256 or held >= 1 << 20:
