@@ -28,7 +28,7 @@ from ferrule.llm.common import bounded, components, cut, folders, forget, map_ar
 
 BAND, SPARE = 1.6, 1.3
 #: Pairs for each document of a key up to which it is compared directly.
-PARTNERS = 16
+PARTNERS = 4
 #: Ids (16 bytes each) up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shared keys (8 bytes each) up to this many are told to every task; with more, all keys are joined by a shuffle.
