@@ -7,7 +7,8 @@ sketch, whose Hamming distance is also at most the symmetric difference, prunes
 (64 bits) decides.
 
 Groups aren't expanded into pairs. A key whose documents already belong to one component needs nothing. A key with at most PARTNERS pairs of
-different components for each of its documents is compared directly. Others (hot keys: groups of near copies, shared passages) are
+different components for each of its documents is compared directly. Each key carries its set's size and a folded sketch, so that most of what can't
+be linked never becomes a pair. Others (hot keys: groups of near copies, shared passages) are
 compared with one document in turn and linked ones merged. A key that stays hot may be left out for a set which has more than d non-empty
 cells that aren't hot, as one of those is shared with each partner. Only sets without that are dealt again, with each shingle as a cell of
 its own; and those of which at most d shingles aren't hot once more, by their hot shingles alone, with as many cells as their
@@ -107,6 +108,27 @@ def _may_link(num: int, den: int) -> str:
     return f"{den} * least(na, nb) >= {num} * greatest(na, nb) AND {den + num} * {far} <= {den - num} * (na + nb)"
 
 
+#: Of a set what its keys carry: its size, and its sketch folded to 128 bits.
+BRIEF = "brief struct<n: long, f0: long, f1: long>"
+
+
+def _brief(n: str, sk: str) -> str:
+    """SQL: the brief of a set of size n with the sketch sk."""
+    fold = lambda k: f"aggregate(filter({sk}, (x, i) -> i % 2 = {k}), 0L, (x, y) -> x ^ y)"
+    return f"named_struct('n', {n}, 'f0', {fold(0)}, 'f1', {fold(1)}) AS brief"
+
+
+def _briefs(sets: list[np.ndarray]) -> pa.Array:
+    folds = [np.bitwise_xor.reduce(sketch(x).reshape(-1, 2), axis=0) for x in sets]
+    flat = np.concatenate([np.zeros((0, 2), np.int64), *[f[None] for f in folds]])
+    return pa.StructArray.from_arrays([pa.array([len(x) for x in sets], pa.int64()), pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["n", "f0", "f1"])
+
+
+def _briefly(num: int, den: int) -> str:
+    """SQL: briefs (ba, bb) allow a link. A folded sketch's distance is at most the sketch's."""
+    return f"{den} * least(ba.n, bb.n) >= {num} * greatest(ba.n, bb.n) AND {den + num} * (bit_count(ba.f0 ^ bb.f0) + bit_count(ba.f1 ^ bb.f1)) <= {den - num} * (ba.n + bb.n)"
+
+
 def _side(sigs: DataFrame, x: str) -> DataFrame:
     return sigs.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sk").alias(f"s{x}"))
 
@@ -174,16 +196,16 @@ class Join:
     # keys that at least two rows have
 
     def shared(self, units: DataFrame, about: int | None = None) -> DataFrame:
-        """(key, doc_id, unit, spare) of keys that more than one of the units (doc_id, unit, spare, keys) has; about: how many keys there are."""
+        """(key, doc_id, brief, unit, spare) of keys that more than one of the units (doc_id, brief, unit, spare, keys) has; about: how many keys there are."""
         about = units.select(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0] if about is None else about
         met = self.keep(self._met(units.select("keys"), about), "met")
         n = met.count()
         if n > self.told:
-            rows = units.select(F.explode("keys").alias("key"), "doc_id", "unit", "spare").join(met, "key")
+            rows = units.select(F.explode("keys").alias("key"), "doc_id", "brief", "unit", "spare").join(met, "key")
         else:
             known = np.sort(met.toArrow().column(0).to_numpy())
             sent = self.spark.sparkContext.broadcast(known)
-            rows = map_arrow(units.select("keys", "doc_id", "unit", "spare"), lambda b: _only(b, sent.value), "key long, doc_id long, unit long, spare int")
+            rows = map_arrow(units.select("keys", "doc_id", "brief", "unit", "spare"), lambda b: _only(b, sent.value), f"key long, doc_id long, {BRIEF}, unit long, spare int")
         return self.keep(rows, "shared")
 
     def _met(self, keys: DataFrame, about: int) -> DataFrame:
@@ -267,24 +289,26 @@ class Join:
         return rows.join(roots, "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
 
     def settle(self, rows: DataFrame, rounds: tuple[int, ...], first_rank=None) -> DataFrame:
-        """Links the documents that share a key of rows (key, doc_id, unit, spare); gives the rows of keys that stay hot. rounds: of each, how many pairs
-        for a document a key may have to be compared directly; the others are compared with one of their documents."""
+        """Links the documents that share a key of rows (key, doc_id, brief, unit, spare); gives the rows of keys that stay hot. rounds: of each, how many pairs
+        for a document a key may have to be compared directly; the others are compared with one of their documents. Only sets whose briefs allow a
+        link become a pair."""
+        may = _briefly(self.num, self.den)
         for turn, partners in enumerate(rounds):
             rows = self.named(rows)
-            part = lambda seed: F.sum(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 28))).alias(f"h{seed}")
+            part = lambda seed: F.sum(F.pmod(F.xxhash64("doc_id", "brief", F.lit(seed)), F.lit(1 << 28))).alias(f"h{seed}")
             groups = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"), F.min("doc_id").alias("lo"), part(1), part(2))
             keys = groups.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("s"), F.min("lo").alias("lo"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")).filter("comps > 1")
             keys = self.keep(keys.withColumn("hot", F.expr(f"g * g - s > {2 * partners} * g")), "keys")
-            # keys with the same documents would give the same pairs
+            # keys with the same sets would give the same pairs
             cool = keys.filter("not hot").groupBy("g", "lo", "h1", "h2").agg(F.min("key").alias("key")).select("key")
-            few = rows.join(cool, "key").select("key", "doc_id", "comp")
-            x, y = few.toDF("key", "a", "ca"), few.toDF("key", "b", "cb")
-            pairs = x.join(y, "key").filter("a < b AND ca <> cb").select("a", "b")
+            few = rows.join(cool, "key").select("key", "doc_id", "comp", "brief")
+            x, y = few.toDF("key", "a", "ca", "ba"), few.toDF("key", "b", "cb", "bb")
+            pairs = x.join(y, "key").filter(f"a < b AND ca <> cb AND {may}").select("a", "b")
             hot = keys.filter("hot").select("key")
             hot_rows = rows.join(bounded(hot, BROADCAST_IDS), "key", "left_semi")
             rank = first_rank if first_rank is not None and not turn else F.xxhash64("comp", F.lit(turn)) if turn else F.lit(0).cast("long")
-            centre = hot_rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "doc_id", "comp")).alias("c")).select("key", F.col("c.doc_id").alias("c"), F.col("c.comp").alias("cc"))
-            stars = hot_rows.join(centre, "key").filter("comp <> cc").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
+            centre = hot_rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "doc_id", "comp", "brief")).alias("c")).select("key", F.col("c.doc_id").alias("c"), F.col("c.comp").alias("cc"), F.col("c.brief").alias("bb"))
+            stars = hot_rows.withColumnRenamed("brief", "ba").join(centre, "key").filter(f"comp <> cc AND {may}").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
             self.compare(pairs.unionAll(stars).distinct())
             rows = self.keep(hot_rows.drop("comp"), "hot")
             if rows.isEmpty():
@@ -317,7 +341,7 @@ class Join:
         return by_hot.unionAll(units.filter("spare <= 0").select("doc_id", "unit")).distinct()
 
     def every(self, unsure: DataFrame) -> DataFrame:
-        """The units' second deal (doc_id, unit, spare, keys)."""
+        """The units' second deal (doc_id, brief, unit, spare, keys)."""
         k, bands = self.k, self.bands
         per = unsure.groupBy("doc_id").agg(F.collect_set("unit").alias("units"))
         rows = self.docs.join(bounded(per, BROADCAST_IDS), "doc_id").select("doc_id", "text", "units")
@@ -328,20 +352,20 @@ class Join:
             for i, units in enumerate(b.column(2).to_pylist()):
                 x = h[at[i] : at[i + 1]]
                 digest = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
-                out += [(i, u, len(x) - bands.d[u & 255], _every(x, u & 255)) for u in sorted(units) if _unit(digest, u & 255) == u]
-            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in out], pa.int64())), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32()), _longs(np.concatenate([np.zeros(0, np.uint64), *[r[3] for r in out]]), np.array([len(r[3]) for r in out], np.int64))], ["doc_id", "unit", "spare", "keys"])
+                out += [(i, u, len(x) - bands.d[u & 255], _every(x, u & 255), x) for u in sorted(units) if _unit(digest, u & 255) == u]
+            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in out], pa.int64())), _briefs([r[4] for r in out]), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32()), _longs(np.concatenate([np.zeros(0, np.uint64), *[r[3] for r in out]]), np.array([len(r[3]) for r in out], np.int64))], ["doc_id", "brief", "unit", "spare", "keys"])
 
-        return self.keep(map_arrow(rows, fn, "doc_id long, unit long, spare int, keys array<long>").dropDuplicates(["doc_id", "unit"]), "every")
+        return self.keep(map_arrow(rows, fn, f"doc_id long, {BRIEF}, unit long, spare int, keys array<long>").dropDuplicates(["doc_id", "unit"]), "every")
 
     def by_hot(self, hot: DataFrame) -> DataFrame:
-        """The third deal (doc_id, unit, spare, keys) of units of which at most d shingles aren't hot; spare says how many less than d."""
+        """The third deal (doc_id, brief, unit, spare, keys) of units of which at most d shingles aren't hot; spare says how many less than d."""
         bands = self.bands
-        units = hot.groupBy("doc_id", "unit").agg(F.collect_set("key").alias("hot"), F.min("spare").alias("least")).filter("size(hot) >= least")
-        units = units.select("doc_id", "unit", (F.size("hot") - F.col("least")).alias("room"), "hot")
+        units = hot.groupBy("doc_id", "unit").agg(F.collect_set("key").alias("hot"), F.min("spare").alias("least"), F.min("brief").alias("brief")).filter("size(hot) >= least")
+        units = units.select("doc_id", "brief", "unit", (F.size("hot") - F.col("least")).alias("room"), "hot")
 
         def fn(b: pa.RecordBatch) -> pa.RecordBatch:
             keys = []
-            for unit, room, hot in zip(*[b.column(c).to_pylist() for c in (1, 2, 3)]):
+            for unit, room, hot in zip(*[b.column(c).to_pylist() for c in (2, 3, 4)]):
                 band, q = unit & 255, np.array(hot, np.int64).view(np.uint64)
                 own = []
                 # partners meet at the level of that with less room
@@ -355,9 +379,9 @@ class Join:
                     if may >= room:
                         break
                 keys.append(np.concatenate(own))
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2).cast(pa.int32()), _longs(np.concatenate([np.zeros(0, np.uint64), *keys]), np.array([len(x) for x in keys], np.int64))], ["doc_id", "unit", "spare", "keys"])
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3).cast(pa.int32()), _longs(np.concatenate([np.zeros(0, np.uint64), *keys]), np.array([len(x) for x in keys], np.int64))], ["doc_id", "brief", "unit", "spare", "keys"])
 
-        return self.keep(map_arrow(units, fn, "doc_id long, unit long, spare int, keys array<long>"), "by-hot")
+        return self.keep(map_arrow(units, fn, f"doc_id long, {BRIEF}, unit long, spare int, keys array<long>"), "by-hot")
 
     def rest(self, rows: DataFrame) -> None:
         """Compares all that share a key inside the join. The shingles that aren't hot are no one else's, so those of both count as differences."""
@@ -377,7 +401,7 @@ def _only(b: pa.RecordBatch, known: np.ndarray) -> pa.RecordBatch:
     at = np.searchsorted(known, flat)
     hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == flat) if len(known) else np.zeros(0, np.int64)
     of = pa.array(np.repeat(np.arange(b.num_rows), counts)[hit])
-    return pa.RecordBatch.from_arrays([pa.array(flat[hit]), *[b.column(i).take(of) for i in (1, 2, 3)]], ["key", "doc_id", "unit", "spare"])
+    return pa.RecordBatch.from_arrays([pa.array(flat[hit]), *[c.take(of) for c in b.columns[1:]]], ["key", *b.schema.names[1:]])
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5, partners: int = PARTNERS, told: int = TOLD_KEYS) -> DataFrame:
@@ -399,7 +423,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     run.link(same.select("a", "b"))
     # of an id with several texts only those that are copies are left out
     copies = bounded(same.select(F.col("b").alias("doc_id"), "digest"), BROADCAST_IDS)
-    units = whole.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", F.explode("units").alias("u")).select("doc_id", "u.*")
+    units = whole.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", F.expr(_brief("n", "sk")), F.explode("units").alias("u")).select("doc_id", "brief", "u.*")
     shared = run.shared(units, whole.select(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     release_shuffles(run.spark)
     # at first one document of each group takes most of it together

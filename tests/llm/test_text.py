@@ -149,6 +149,18 @@ def test_passages_that_many_share(spark, monkeypatch, partners, told):
     assert len(set(expected.values())) < len(rows) - 20 and len(seen) == (partners < 2)
 
 
+def test_texts_that_share_a_passage_do_not_become_pairs(spark, monkeypatch):
+    """What a passage in common brings together, but sizes or folded sketches part, is never joined with its texts; near copies are."""
+    verify, seen = ngram_join.Join.verify, []
+    monkeypatch.setattr(ngram_join.Join, "verify", lambda self, pairs: (seen.append(pairs.count()), verify(self, pairs))[1])
+    passage = [f"p{i}" for i in range(80)]
+    rows = [(i, " ".join(passage + [f"o{i}x{j}" for j in range(30 + 10 * (i % 3))])) for i in range(90)]
+    rows += [(100, rows[0][1] + " more")]
+    got = ngram_join.jaccard_components(documents(spark, rows), k=4, num=85, den=100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i % 100 for i, _ in rows}
+    assert 0 < sum(seen) < len(rows)
+
+
 def test_thresholds_too_low_are_refused(spark):
     with pytest.raises(ValueError, match="0.7"):
         ngram_join.jaccard_components(documents(spark), num=1, den=2)
