@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.llm import bpe, decontaminate, ngram_join, toxicity
-from ferrule.llm.common import bounded, cut, free_name, read_table, spread
+from ferrule.llm.common import bounded, cut, free_name, read_table, spread, trim_executors
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,6 +39,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids, their number, and whether decoding gives the text back."""
+    trim_executors(spark)
     back = bpe.encode(docs.select("doc_id", "text"), decoded="decoded")
     whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))

@@ -61,6 +61,13 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim_executors(spark: SparkSession) -> None:
+    """Lets each executor collect its garbage, by a job of two tasks for each core, so that heap that earlier steps have grown goes back to the system
+    before a step whose Python workers need the room."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).filter("done is not null").write.format("noop").mode("overwrite").save()
+
+
 #: Rows that a function of map_arrow sees at once.
 SLICE, SLICE_BYTES = 1024, 1 << 20
 

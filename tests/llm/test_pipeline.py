@@ -48,3 +48,12 @@ def test_run(spark, folder):
     path, docs, rows = folder
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, path).collect()}
     assert 2000 not in got and {3, 5, 7} <= got and got <= {i for i, _ in rows}
+
+
+def test_executors_collect_garbage_before_token_ids(spark):
+    """Workers of the last stage need the room that the heap of earlier ones has taken."""
+    counts = lambda: sum(x.getCollectionCount() for x in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in x.getName())
+    before = counts()
+    got = corpus_pipeline.token_ids(spark, spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string"), "")
+    assert counts() > before
+    assert sorted((r["doc_id"], r["n_tokens"] > 0, r["round_trip"]) for r in got.collect()) == [(1, True, True), (2, False, True)]
