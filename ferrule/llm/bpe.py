@@ -54,26 +54,25 @@ class Transducer:
                 node = nxt
             self.token_at[node] = rank
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        self.spines: dict[int, list[tuple[bytes, float]]] = {}
         self.pairs: dict[int, bool] = {}
         # tokens that merges never make can only be whole pre-tokens
         self.token_at = [t if t < 0 or len(self.bytes_of[t]) == 1 or self._split(t) else -1 for t in self.token_at]
         self.reset()
 
     def reset(self) -> None:
-        # a state is a flat tuple: for each configuration the number of its waiting tokens, these, its last token and its trie node
-        self.states: dict[tuple[int, ...], int] = {}
-        self.configs: list[tuple[int, ...]] = []
-        self.moves: dict[int, int] = {}
-        self.puts: dict[int, list[int]] = {}
-        self.start = self._state((0, -1, 0))
-
-    def _state(self, flat: tuple[int, ...]) -> int:
-        s = self.states.get(flat)
-        if s is None:
-            s = self.states[flat] = len(self.configs)
-            self.configs.append(flat)
-        return s
+        # a configuration set is a flat tuple: for each configuration its waiting tokens, its last token and its trie node. A state is a
+        # dict: its configurations at -1, and by byte the state that it goes to, with the tokens that go out on the way in front, if any do
+        for state in getattr(self, "configs", {}).values():
+            state.clear()  # states lead to each other in circles
+        self.configs: dict[tuple, dict] = {}
+        self.start = self._state(((), -1, 0))
+
+    def _state(self, flat: tuple) -> dict:
+        state = self.configs.get(flat)
+        if state is None:
+            state = self.configs[flat] = {-1: flat}
+        return state
 
     # which tokens may stand beside each other
 
@@ -96,13 +95,13 @@ class Transducer:
             self.halves[token] = half if parts == [token] else None
         return self.halves[token]
 
-    def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
-        """The tokens that stand at one edge of the token while it is built, each with the rank of the merge that ends it."""
-        key = (token, side)
+    def _spine(self, token: int, side: int) -> list[tuple[bytes, float]]:
+        """The bytes of the tokens that stand at one edge of the token while it is built, each with the rank of the merge that ends it."""
+        key = token << 1 | side
         if key not in self.spines:
             out, end = [], float("inf")
             while True:
-                out.append((token, end))
+                out.append((self.bytes_of[token], end))
                 half = self._split(token)
                 if half is None:
                     break
@@ -114,12 +113,11 @@ class Transducer:
         """If a then b is the encoding of their joined bytes: no merge across the border comes before those on either side."""
         known = self.pairs.get(a << 32 | b)
         if known is None:
-            get, of = self.ranks.get, self.bytes_of
-            known = True
-            for x, x_end in self._spine(a, 1):
-                left = of[x]
-                for y, y_end in self._spine(b, 0):
-                    r = get(left + of[y])
+            get = self.ranks.get
+            known, right = True, self._spine(b, 0)
+            for left, x_end in self._spine(a, 1):
+                for y, y_end in right:
+                    r = get(left + y)
                     if r is not None and r < x_end and r <= y_end:
                         known = False
                         break
@@ -132,47 +130,33 @@ class Transducer:
 
     # the determinised machine
 
-    def _move(self, key: int) -> int:
-        """The state that a state goes to on a byte; tokens that go out on the way are in puts."""
-        live, child, token_at, pairs, ended = [], self.child, self.token_at, self.pairs, False
-        state, byte = self.configs[key >> 8], key & 255
-        i, n = 0, len(state)
-        while i < n:
-            k = i + 1 + state[i]
-            last, node = state[k], state[k + 1]
-            nxt = child.get(node << 8 | byte)
+    def _move(self, state: dict, byte: int) -> dict | tuple[tuple[int, ...], dict]:
+        """The state that a state goes to on a byte, after the tokens that go out on the way, if any do."""
+        child, token_at, pairs, ended = self.child.get, self.token_at, self.pairs.get, False
+        flat, each = [], iter(state[-1])
+        for out, last, node in zip(each, each, each):
+            nxt = child(node << 8 | byte)
             if nxt is not None:
-                out = state[i + 1 : k]
-                live.append((out, last, nxt))
+                flat += (out, last, nxt)
                 if not ended:  # what has been read has one encoding, so one configuration at most ends a token here
                     token = token_at[nxt]
                     if token >= 0:
-                        known = True if last < 0 else pairs.get(last << 32 | token)
+                        known = True if last < 0 else pairs(last << 32 | token)
                         if known or known is None and self.fits(last, token):
-                            live.append((out + (token,), token, 0))
+                            flat += ((*out, token), token, 0)
                             ended = True
-            i = k + 2
-        k, first = 0, live[0][0]
-        while all(len(c[0]) > k and c[0][k] == first[k] for c in live) if k < len(first) else False:
-            k += 1
-        flat: list[int] = []
-        for out, last, node in live:
-            flat.append(len(out) - k)
-            flat += out[k:]
-            flat.append(last)
-            flat.append(node)
-        if k:
-            self.puts[key] = list(first[:k])
-        to = self.moves[key] = self._state(tuple(flat))
+        first = flat[0]
+        if first:  # else one configuration waits for nothing, so none can go out
+            outs, k = flat[3::3], 0
+            while k < len(first) and all([len(x) > k and x[k] == first[k] for x in outs]):
+                k += 1
+            if k:
+                flat[::3] = [x[k:] for x in flat[::3]]
+                to = state[byte] = (first[:k], self._state(tuple(flat)))
+                return to
+        to = state[byte] = self._state(tuple(flat))
         return to
 
-    def _end(self, state: int) -> tuple[int, ...]:
-        """The waiting tokens of the configuration that has just ended a token."""
-        flat, i = self.configs[state], 0
-        while flat[i + 2 + flat[i]]:
-            i += 3 + flat[i]
-        return flat[i + 1 : i + 1 + flat[i]]
-
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
@@ -181,20 +165,27 @@ class Transducer:
             return []
         if len(self.configs) > self.max_states:
             self.reset()
-        moves, puts, state, out = self.moves.get, self.puts.get, self.start, []
+        state, out = self.start, []
         for b in piece:
-            key = state << 8 | b
-            state = moves(key)
-            if state is None:
-                state = self._move(key)
-            put = puts(key)
-            if put:
+            try:
+                to = state[b]
+            except KeyError:
+                if len(self.configs) > self.max_states:  # within a long piece all are forgotten but the one it is in
+                    flat = state[-1]
+                    self.reset()
+                    state = self._state(flat)
+                to = self._move(state, b)
+            if to.__class__ is tuple:
+                put, state = to
                 out += put
-            if len(self.configs) > self.max_states:  # within a long piece all are forgotten but the one it is in
-                flat = self.configs[state]
-                self.reset()
-                moves, puts, state = self.moves.get, self.puts.get, self._state(flat)
-        out += self._end(state)
+            else:
+                state = to
+        # the waiting tokens of the configuration that has just ended a token
+        each = iter(state[-1])
+        for waiting, _, node in zip(each, each, each):
+            if not node:
+                out += waiting
+                break
         return out
 
 
@@ -287,7 +278,7 @@ class Decoder:
 
 
 def text_encoder(ranks: dict[bytes, int], pattern: str) -> PartMemo:
-    """It gives ids as native 32-bit integers. The garbage collector rests while it is held: its tables hold no cycles, and walking them is costly."""
+    """It gives ids as native 32-bit integers. The garbage collector rests while it is held: its tables are freed without it, and walking them is costly."""
     gc.disable()
     machine = Transducer(ranks)
     return part_memo(pattern, lambda piece: array("i", machine.encode(piece.encode())).tobytes(), 150_000)

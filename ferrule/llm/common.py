@@ -101,6 +101,7 @@ def forget() -> None:
     """Frees what is held, and gives the system back what earlier tasks of this worker have freed."""
     if _HELD:
         _HELD.clear()
+        gc.unfreeze()
         gc.enable()
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -128,6 +129,8 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
                     yield out
                 else:
                     yield from out
+        if holds:
+            gc.freeze()  # Spark's workers collect garbage after each task, and would walk all that is held
 
     spark = df.sparkSession
     if spark.conf.get(_BATCH) == "10000":

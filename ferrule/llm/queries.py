@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.llm import bpe, decontaminate, licenses, media, ngram_join, token_files, toxicity, url_filter, warc, wordpiece
-from ferrule.llm.common import read_table, scratch_dir, spread
+from ferrule.llm.common import read_table, scratch_dir, spread, trim_executors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,6 +26,7 @@ def _query(fn):
 @_query
 def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
+    trim_executors(spark)
     back = bpe.encode(docs, keep_text=False, decoded="decoded")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

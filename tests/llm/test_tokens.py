@@ -1,8 +1,11 @@
+import gc
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import regex
@@ -11,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from ferrule.llm import bpe, token_files, wordpiece
+from ferrule.llm import bpe, common, token_files, wordpiece
 from ferrule.llm.pieces import LETTERS_FIRST, Memo
 
 from .common import TEXTS, documents, texts_by_row
@@ -50,6 +53,26 @@ def test_states_are_bounded_within_a_piece():
     assert small.encode(piece) == LIBRARY._encode_single_piece(piece) and len(small.configs) <= 52
 
 
+def test_forgotten_states_need_no_garbage_collector():
+    machine = bpe.Transducer(RANKS)
+    machine.encode(b" abcabcxyzzyabc")
+    gc.collect()
+    assert len(machine.configs) > 10
+    machine.reset()
+    assert gc.collect() == 0
+
+
+def test_what_is_held_is_not_walked_after_each_task():
+    frame = SimpleNamespace(sparkSession=SimpleNamespace(conf=SimpleNamespace(get=lambda key: "1")), mapInArrow=lambda run, schema: run)
+    run = common.map_arrow(frame, lambda b: b, "", holds=True)
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["x"])
+    try:
+        gc.unfreeze()
+        assert [b.num_rows for b in run([rows])] == [2] and gc.get_freeze_count() > 0
+    finally:
+        gc.unfreeze()
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.binary(max_size=40), st.integers(1, 5))
 def test_utf8_machine(data, step):
