@@ -86,6 +86,8 @@ def padded(text: str | None) -> tuple[bytes, int]:
 #: Digests that occur more than once, up to this many (8 bytes of each), are told to every task; with more, all chunks are deduplicated by a shuffle.
 TOLD_DIGESTS = 2_000_000
 CHUNK = "digest binary, data binary"
+#: Chunks are written once and take most of the disk, so they are compressed harder than at zstandard's usual level 3.
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.enable.dictionary": "false"}
 PACK = "medium binary, list array<binary>, chunks array<binary>, common int"
 
 
@@ -113,8 +115,8 @@ def _manifest(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _packs(docs: DataFrame, text: str, told: np.ndarray | None) -> DataFrame:
-    """(medium, list, chunks, common): with common 0 for each text the chunks that no other has, in order, and, if it has others too, the list of all its
-    digests; with common 1 the chunks that may occur again, each once a batch."""
+    """(medium, list, chunks, common): with common 0 for each text the chunks that no other has, in order, and, if it has others too, the list of these
+    ones' digests, with a null in place of each of its own; with common 1 the chunks that may occur again, each once a batch."""
     sent = docs.sparkSession.sparkContext.broadcast(told)
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -128,8 +130,9 @@ def _packs(docs: DataFrame, text: str, told: np.ndarray | None) -> DataFrame:
             again = known[np.minimum(np.searchsorted(known, heads), len(known) - 1)] == heads if len(known) else np.zeros(len(digests), bool)
         flags, rows, copies = iter(again.tolist()), [], set()
         for chunks, own in got:
-            have = []
+            have, order = [], []
             for c, d, common in zip(chunks, own, flags):
+                order.append(d if common else None)
                 if common:
                     seen[d] = c
                 else:
@@ -139,7 +142,7 @@ def _packs(docs: DataFrame, text: str, told: np.ndarray | None) -> DataFrame:
                 rows.append((medium, None, have, 0))
             elif have or medium not in copies:
                 copies.add(medium)
-                rows.append((medium, own, have, 0))
+                rows.append((medium, order, have, 0))
         if seen:
             rows.append((None, None, list(seen.values()), 1))
         kinds = (pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int32())
@@ -153,8 +156,8 @@ def _heads(b: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def store(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Writes out/manifest (doc_id, n_bytes, medium, chunks: digests in order), out/packs (medium, chunks: those that occur once, in order; list: all
-    digests in order, if there are others) and out/kept (digest, data: each chunk that occurs again, once).
+    """Writes out/manifest (doc_id, n_bytes, medium, chunks: digests in order), out/packs (medium, chunks: those that occur once, in order; list: the
+    digests of the others in order, if there are any, with nulls between for those) and out/kept (digest, data: each chunk that occurs again, once).
 
     Null and empty texts are a payload of 64 zero bytes. Repeated rows and null ids have rows of their own in the manifest, and share the
     medium. A very long text is one row, in one task. Other columns of docs don't matter, whatever their names; an empty table gives empty ones.
@@ -165,10 +168,10 @@ def store(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text")
     counts = spark.read.parquet(f"{out}/manifest").select(F.explode("chunks").alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("c"))
     heads = cut(map_arrow(counts.filter("c > 1").select("digest"), _heads, "head long").distinct(), "again")
     told = np.sort(heads.toArrow().column(0).to_numpy()) if heads.count() <= TOLD_DIGESTS else None
-    _packs(docs, text, told).write.mode("overwrite").partitionBy("common").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{out}/packs")
+    _packs(docs, text, told).write.mode("overwrite").partitionBy("common").options(**STORED).parquet(f"{out}/packs")
     raw = spark.read.schema(PACK).parquet(f"{out}/packs").filter("common = 1").select(F.explode("chunks").alias("data")).select(F.unhex(F.sha2("data", 256)).alias("digest"), "data")
     kept = raw.groupBy("digest").agg(F.first("data").alias("data"))
-    kept.write.mode("overwrite").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{out}/kept")
+    kept.write.mode("overwrite").options(**STORED).parquet(f"{out}/kept")
     remove(spark, f"{out}/packs/common=1", *folders(heads))
     release_shuffles(spark)  # before chunks are joined to their lists
 
@@ -182,12 +185,15 @@ def read(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     kept = spark.read.schema(CHUNK).parquet(f"{out}/kept")
     alone = packs.filter("list is null").select("medium", "list", "chunks")
     parted = packs.filter("list is not null")
-    lists = parted.groupBy("medium").agg(F.first("list").alias("list"))
-    own = parted.select("medium", F.explode("chunks").alias("data"))
-    shared = lists.select("medium", F.explode(F.array_distinct("list")).alias("digest")).join(kept, "digest").select("medium", "data")
-    gathered = own.unionAll(shared).groupBy("medium").agg(F.collect_list("data").alias("chunks"))
-    wanted = lists.join(gathered, "medium", "left").select("medium", "list", "chunks")
-    return manifest.select("doc_id", "n_bytes", "medium"), _rebuild(alone.unionAll(wanted))
+    # a medium with a chunk of its own has one row
+    single = parted.filter("size(chunks) > 0").select("medium", "list", "chunks")
+    copied = parted.filter("size(chunks) = 0").groupBy("medium").agg(F.first("list").alias("list"))
+    lists = single.select("medium", "list").unionAll(copied)
+    shared = lists.select("medium", F.explode(F.array_distinct(F.filter("list", lambda d: d.isNotNull()))).alias("digest")).join(kept, "digest").select("medium", "data")
+    gathered = shared.groupBy("medium").agg(F.collect_list("data").alias("shared"))
+    none = F.array().cast("array<binary>")
+    wanted = single.unionAll(copied.withColumn("chunks", none)).join(gathered, "medium", "left")
+    return manifest.select("doc_id", "n_bytes", "medium"), _rebuild(alone.withColumn("shared", none).unionAll(wanted))
 
 
 def _rebuild(parts: DataFrame) -> DataFrame:
@@ -195,15 +201,20 @@ def _rebuild(parts: DataFrame) -> DataFrame:
 
     def fn(b: pa.RecordBatch):
         rows, held = [], 0
-        for medium, order, chunks in zip(*[c.to_pylist() for c in b.columns]):
-            there = [(hashlib.sha256(data).digest(), data) for data in chunks or ()]
-            if order is None:  # no chunk is shared, so they are stored in order
-                order = [d for d, _ in there]
-            by = dict(there)
-            lost = [d for d in order if d not in by]
+        for medium, order, chunks, shared in zip(*[c.to_pylist() for c in b.columns]):
+            by, own = {hashlib.sha256(data).digest(): data for data in shared or ()}, [(hashlib.sha256(data).digest(), data) for data in chunks]
+            lost = [d for d in order or () if d is not None and d not in by]
             if lost:
                 strange = by.keys() - set(order)
                 raise ValueError(f"chunk {lost[0].hex()} is {'damaged' if strange else 'missing'}")
+            by |= dict(own)
+            if order is None:  # no chunk is shared, so they are stored in order
+                order = [d for d, _ in own]
+            elif order.count(None) != len(own):
+                raise ValueError(f"medium {medium.hex()} is not whole: a chunk is missing or damaged")
+            else:
+                each = iter(own)
+                order = [next(each)[0] if d is None else d for d in order]
             if medium_of(order) != medium:
                 raise ValueError(f"medium {medium.hex()} is not whole: a chunk is missing or damaged")
             payload = from_wave(media := b"".join(by[d] for d in order))

@@ -173,6 +173,16 @@ def test_near_copies_share_chunks(spark, tmp_path):
     assert long and all(len({*map(bytes, manifest[i])} & {*map(bytes, manifest[i + k])}) >= 0.6 * len(manifest[i]) for i in long for k in (1, 2))
 
 
+def test_lists_hold_the_digests_of_shared_chunks_only(spark, tmp_path):
+    """The others' can be had from the chunks beside the list."""
+    rows, out = edited(5, 10), f"file://{tmp_path}/m"
+    media.store(documents(spark, rows), out)
+    packs = [r for r in spark.read.schema(media.PACK).parquet(f"{out}/packs").collect() if r["list"] is not None]
+    kept = {bytes(r["digest"]) for r in spark.read.parquet(f"{out}/kept").collect()}
+    assert any(r["chunks"] for r in packs) and all(r["list"].count(None) == len(r["chunks"]) and {bytes(d) for d in r["list"] if d is not None} <= kept for r in packs)
+    assert sorted(bytes(r["payload"]) for r in media.read(spark, out)[1].collect()) == sorted({media.padded(t)[0] for _, t in rows})
+
+
 def test_media_without_rows(spark, tmp_path):
     media.store(documents(spark).limit(0), f"file://{tmp_path}/none")
     assert [x.count() for x in media.read(spark, f"file://{tmp_path}/none")] == [0, 0]
