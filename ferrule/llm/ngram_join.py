@@ -12,7 +12,8 @@ be linked never becomes a pair. Others (hot keys: groups of near copies, shared
 compared with one document in turn and linked ones merged. A key that stays hot may be left out for a set which has more than d non-empty
 cells that aren't hot, as one of those is shared with each partner. Only sets without that are dealt again, with each shingle as a cell of
 its own; and those of which at most d shingles aren't hot once more, by their hot shingles alone, with as many cells as their
-other shingles leave to differ. There the last groups are compared inside a join whose condition has sizes, rests and sketches.
+other shingles leave to differ. There the last groups are compared inside a join whose condition has sizes, rests and sketches. Each key carries
+the least keys of its set, and two sets become a pair only at keys below which those show no common one: nearly always at one key of all they share.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BROADCAST_IDS = 1_000_000
 TOLD_KEYS = 4_000_000
 #: Keys that one step of looking for shared ones holds, about.
 BUCKET_KEYS = 1 << 19
+#: Of a set's keys in the third deal the least so many tell where it has met another before.
+LEAST = 16
 EVERY, HOT = 1 << 16, 1 << 17  # the seeds of the second and third deal
 
 
@@ -205,7 +208,7 @@ class Join:
         else:
             known = np.sort(met.toArrow().column(0).to_numpy())
             sent = self.spark.sparkContext.broadcast(known)
-            rows = map_arrow(units.select("keys", "doc_id", "brief", "unit", "spare"), lambda b: _only(b, sent.value), f"key long, doc_id long, {BRIEF}, unit long, spare int")
+            rows = map_arrow(units.select("keys", "doc_id", "brief", "unit", "spare"), lambda b: _only(b, sent.value), f"key long, doc_id long, brief {units.schema['brief'].dataType.simpleString()}, unit long, spare int")
         return self.keep(rows, "shared")
 
     def _met(self, keys: DataFrame, about: int) -> DataFrame:
@@ -358,7 +361,8 @@ class Join:
         return self.keep(map_arrow(rows, fn, f"doc_id long, {BRIEF}, unit long, spare int, keys array<long>").dropDuplicates(["doc_id", "unit"]), "every")
 
     def by_hot(self, hot: DataFrame) -> DataFrame:
-        """The third deal (doc_id, brief, unit, spare, keys) of units of which at most d shingles aren't hot; spare says how many less than d."""
+        """The third deal (doc_id, brief, unit, spare, keys) of units of which at most d shingles aren't hot; spare says how many less than d. Briefs
+        also have the least of the unit's keys."""
         bands = self.bands
         units = hot.groupBy("doc_id", "unit").agg(F.collect_set("key").alias("hot"), F.min("spare").alias("least"), F.min("brief").alias("brief")).filter("size(hot) >= least")
         units = units.select("doc_id", "brief", "unit", (F.size("hot") - F.col("least")).alias("room"), "hot")
@@ -379,18 +383,26 @@ class Join:
                     if may >= room:
                         break
                 keys.append(np.concatenate(own))
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3).cast(pa.int32()), _longs(np.concatenate([np.zeros(0, np.uint64), *keys]), np.array([len(x) for x in keys], np.int64))], ["doc_id", "brief", "unit", "spare", "keys"])
+            least = [np.unique(x.view(np.int64))[:LEAST] for x in keys]
+            brief = pa.StructArray.from_arrays([*b.column(1).flatten(), _longs(np.concatenate([np.zeros(0, np.int64), *least]), np.array([len(x) for x in least], np.int64))], ["n", "f0", "f1", "least"])
+            return pa.RecordBatch.from_arrays([b.column(0), brief, b.column(2), b.column(3).cast(pa.int32()), _longs(np.concatenate([np.zeros(0, np.uint64), *keys]), np.array([len(x) for x in keys], np.int64))], ["doc_id", "brief", "unit", "spare", "keys"])
 
-        return self.keep(map_arrow(units, fn, f"doc_id long, {BRIEF}, unit long, spare int, keys array<long>"), "by-hot")
+        return self.keep(map_arrow(units, fn, f"doc_id long, {BRIEF[:-1]}, least: array<long>>, unit long, spare int, keys array<long>"), "by-hot")
 
-    def rest(self, rows: DataFrame) -> None:
-        """Compares all that share a key inside the join. The shingles that aren't hot are no one else's, so those of both count as differences."""
+    def meeting(self, rows: DataFrame) -> DataFrame:
+        """Pairs (a, b) of sets that share a key of rows and may link. The shingles that aren't hot are no one else's, so those of both count as
+        differences. Of all keys that two sets share the least always makes them a pair (a cool one has done so before), and a greater one only where
+        the least keys that they carry show none in common below it."""
         d = F.element_at(F.array(*[F.lit(x) for x in self.bands.d]), (F.col("unit").bitwiseAND(255) + 1).cast("int"))
         sigs = self.sigs.filter("n > 0 and doc_id is not null").select("doc_id", "n", "sk").distinct()
         full = self.named(rows).withColumn("d", d).join(sigs, "doc_id")
-        x, y = (full.select("key", F.col("doc_id").alias(s), F.col("comp").alias(f"c{s}"), F.col("spare").alias(f"r{s}"), F.col("d").alias(f"d{s}"), F.col("n").alias(f"n{s}"), F.col("sk").alias(f"s{s}")) for s in "ab")
-        pairs = x.join(y, "key").filter(f"a < b AND ca <> cb AND ra + rb >= da AND {_may_link(self.num, self.den)}").select("a", "b").distinct()
-        self.compare(pairs)
+        x, y = (full.select("key", F.col("doc_id").alias(s), F.col("comp").alias(f"c{s}"), F.col("spare").alias(f"r{s}"), F.col("d").alias(f"d{s}"), F.col("n").alias(f"n{s}"), F.col("sk").alias(f"s{s}"), F.col("brief.least").alias(f"l{s}")) for s in "ab")
+        first = "coalesce(array_min(array_intersect(la, lb)), key) >= key"
+        return x.join(y, "key").filter(f"a < b AND ca <> cb AND ra + rb >= da AND {_may_link(self.num, self.den)} AND {first}").select("a", "b")
+
+    def rest(self, rows: DataFrame) -> None:
+        """Compares all that share a key inside the join."""
+        self.compare(self.meeting(rows).distinct())
 
 
 def _only(b: pa.RecordBatch, known: np.ndarray) -> pa.RecordBatch:

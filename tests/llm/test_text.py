@@ -161,6 +161,20 @@ def test_texts_that_share_a_passage_do_not_become_pairs(spark, monkeypatch):
     assert 0 < sum(seen) < len(rows)
 
 
+def test_sets_that_share_many_hot_keys_become_one_pair(spark):
+    """In the last join two sets meet at one key, or few, of the many that they share."""
+    base = [f"w{i}" for i in range(160)]
+    rows = [(i, " ".join([*base[: 19 * i + 5], f"own{i}", *base[19 * i + 6 :]])) for i in range(8)]
+    run = ngram_join.Join(documents(spark, rows).select("doc_id", "text"), 4, 85, 100, 0, 10**6)
+    run.roots = spark.createDataFrame([], "node long, root long")
+    hot = run.shared(run.every(run.sigs.selectExpr("doc_id", "explode(units.unit) AS unit")))
+    dealt = run.shared(run.by_hot(hot))
+    made = [(r["a"], r["b"]) for r in run.meeting(dealt).collect()]
+    assert set(made) == {(a, b) for a in range(8) for b in range(a + 1, 8)} and len(made) <= 2 * 28
+    at_each_key = dealt.groupBy("key").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]
+    assert at_each_key > 5 * len(made)
+
+
 def test_thresholds_too_low_are_refused(spark):
     with pytest.raises(ValueError, match="0.7"):
         ngram_join.jaccard_components(documents(spark), num=1, den=2)
