@@ -15,6 +15,12 @@ MEMO_LIMIT = 100_000
 LETTERS_FIRST = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: ASCII signs that go on a pre-token of signs but begin no contraction.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: White space in ASCII but blank and line feed.
+_OTHER_SPACE = "\t\r\v\f\x1c\x1d\x1e\x1f"
+
+
 class Memo(dict):
     """A bounded dict that computes missing values. Of two generations the older is dropped when the younger is full, so what is used often
     stays."""
@@ -42,27 +48,38 @@ class PartMemo:
     remembered. A text with other runs of white space next to blanks is one part.
 
     `letters`, if given, makes the value (bytes) of one pre-token; a part of letters only is one, and so are the letters before a
-    comma or full stop, and these; such parts need no pattern.
+    run of signs, and this; a single line feed between other characters is one, too, and what follows it begins anew. Such parts need no pattern.
     """
 
     def __init__(self, make: Callable[[str], object], limit: int = 2 * MEMO_LIMIT, letters: Callable[[str], bytes] | None = None):
         self.make, self.letters = make, letters
         self.other_space = re.compile(r"[^\S \n]").search
-        self.first = Memo(make, limit // 8)
+        self.first = Memo(self._bare if letters else make, limit // 8)
         self.rest = Memo(self._letters if letters else lambda part: make(" " + part), limit)
-        self.mark = Memo(letters, 16)
+        self.mark = Memo(letters, 1000)
+
+    def _bare(self, part: str) -> bytes:
+        return self.letters(part) if part.isalpha() else self.make(part)
 
     def _letters(self, part: str) -> bytes:
         if part.isalpha():
             return self.letters(" " + part)
-        if part[-1] in ",." and part[:-1].isalpha():
-            return self.rest[part[:-1]] + self.mark[part[-1]]
+        stem = part.rstrip(SIGNS)
+        if stem.isalpha():
+            return self.rest[stem] + self.mark[part[len(stem) :]]
+        if "\n" in part:
+            line, _, more = part.partition("\n")
+            if line and more and more[0] != "\n":
+                return self.rest[line] + self.mark["\n"] + self.first[more]
         return self.make(" " + part)
 
+    def _has_other_space(self, text: str) -> bool:
+        return any(x in text for x in _OTHER_SPACE) if text.isascii() else self.other_space(text) is not None
+
     def values(self, text: str) -> list:
         if not text:
             return []
-        if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " " or self.other_space(text):
+        if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " " or self._has_other_space(text):
             return [self.make(text)]
         head, *tail = text.split(" ")
         return [self.first[head], *map(self.rest.__getitem__, tail)]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.llm.common import bounded, cut, held, map_arrow, remove, scratch_dir, tokenizer_path
-from ferrule.llm.pieces import LETTERS_FIRST, PartMemo, part_memo
+from ferrule.llm.pieces import LETTERS_FIRST, Memo, PartMemo, part_memo
 
 VOCABULARY = "byte_bpe_50k.json"
 MAGIC, END = b"FVB1", b"\nFVB.\n"
@@ -36,13 +36,16 @@ _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of non-negative integers below 2^32."""
     n = len(ranks)
-    x = np.zeros((n + 3) // 4 * 4, np.uint32)
+    width = 2 if ranks.max(initial=0) <= 0xFFFF else 4
+    x = np.zeros((n + 3) // 4 * 4, f"<u{width}")
     x[:n] = ranks
-    code = (x > 0xFF).astype(np.uint8) + (x > 0xFFFF) + (x > 0xFFFFFF)
+    code = (x > 0xFF).astype(np.uint8)
+    if width == 4:
+        code += (x > 0xFFFF).astype(np.uint8) + (x > 0xFFFFFF)
     quads = code.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    each = x[:n].astype("<u4").view(np.uint8).reshape(-1, 4)
-    keep = np.arange(4) <= code[:n, None]
+    each = x[:n].view(np.uint8).reshape(-1, width)
+    keep = np.arange(width) <= code[:n, None]
     return control.astype(np.uint8).tobytes(), each[keep].tobytes()
 
 
@@ -106,11 +109,11 @@ def _tokenizer(path: str) -> PartMemo:
     t = Tokenizer.from_file(path)
     kind, letters, model = "H" if t.get_vocab_size() <= 1 << 16 else "I", _byte_letters(), t.model
 
-    blank = letters[ord(" ")]
+    blank, char = letters[ord(" ")], Memo(lambda c: c.encode().decode("latin-1").translate(letters), 10_000)
 
     def piece(p: str) -> bytes:
         # printable ASCII stands for itself, but for the blank
-        own = p.replace(" ", blank) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters)
+        own = p.replace(" ", blank) if p.isascii() and p.isprintable() else "".join([char[c] for c in p])
         return array(kind, [x.id for x in model.tokenize(own)]).tobytes()
 
     memo = part_memo(LETTERS_FIRST, piece, 350_000)
@@ -178,21 +181,20 @@ def write(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text",
     rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
 
     def run(batches):
-        ids, counts, ranks, held = [], [], [], 0
+        ids, counts, raws, held, width = [], [], [], 0, int(kind[-1])
 
         def block():
-            return pa.RecordBatch.from_arrays([pa.array([block_bytes(ids, np.array(counts), np.concatenate(ranks))], pa.binary())], ["block"])
+            return pa.RecordBatch.from_arrays([pa.array([block_bytes(ids, np.array(counts), rank_of[np.frombuffer(b"".join(raws), kind)])], pa.binary())], ["block"])
 
         for b in batches:
             for doc, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                x = rank_of[np.frombuffer(raw, kind)]
                 ids.append(doc)
-                counts.append(len(x))
-                ranks.append(x)
-                held += len(x)
+                counts.append(len(raw) // width)
+                raws.append(raw)
+                held += counts[-1]
                 if held >= BLOCK_INTS:
                     yield block()
-                    ids, counts, ranks, held = [], [], [], 0
+                    ids, counts, raws, held = [], [], [], 0
         if ids:
             yield block()
 

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from ferrule.llm import bpe, common, token_files, wordpiece
-from ferrule.llm.pieces import LETTERS_FIRST, Memo
+from ferrule.llm.pieces import LETTERS_FIRST, Memo, part_memo
 
 from .common import TEXTS, documents, texts_by_row
 
@@ -86,6 +86,26 @@ def test_memo_is_bounded():
     assert [m[k] for k in range(100)] == list(range(1, 101)) and len(m) + len(m.old) <= 20
 
 
+def test_usual_parts_need_no_pattern(monkeypatch):
+    text = "Aa the$$$ x.\nAnd on,*** (b).\nÉa è:\nso end"
+    want = ENCODER.values(text)
+    memo = part_memo(LETTERS_FIRST, ENCODER.letters, 1000)
+    seen = []
+    monkeypatch.setattr(memo.make, "find", lambda part: (seen.append(part), regex.findall(LETTERS_FIRST, part))[1])
+    assert b"".join(memo.values(text)) == b"".join(want) and np.frombuffer(b"".join(want), "<i4").tolist() == LIBRARY.encode_ordinary(text)
+    assert seen == [" (b)."]
+
+
+MEMO = token_files._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abehst  ..,'$*_-\n\n\t1é世😀\u00a0\x1c\u0345²", max_size=60))
+def test_file_ids_are_the_librarys(text):
+    assert np.frombuffer(token_files.text_ids(MEMO, text), MEMO.kind).tolist() == MEMO.keep.encode(text, add_special_tokens=False).ids
+    assert ids_of(text) == LIBRARY.encode_ordinary(text)
+
+
 def test_encode_decode(spark):
     docs = documents(spark)
     got = bpe.encode(docs.drop("ids")).collect()
