@@ -5,10 +5,8 @@ from __future__ import annotations
 import copy
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ferrule.functions.display import DisplayJoins
@@ -20,42 +18,77 @@ from ferrule.sources.catalog import Catalog
 from ferrule.sources.scratch import shared_folder
 
 PLACE = "_place"
+#: Rows that a walk over all pages fetches at once, a page at least.
+WALK_ROWS = 100_000
 
 
-class Pages:
+class Placed:
+    """A DataFrame's rows in its order, written once to the shared folder with their places. close() removes the folder."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark = df.sparkSession
+        self.folder = shared_folder(self.spark, name)
+        df.withColumn(PLACE, F.monotonically_increasing_id()).write.parquet(self.folder)
+        self.placed = self.spark.read.parquet(self.folder)
+        # places grow with the order; each partition's count on from its number times 2^33
+        counts = self.placed.groupBy(F.shiftright(PLACE, 33).alias("p")).count().orderBy("p").collect()
+        self.parts = [(r["p"], r["count"]) for r in counts]
+        self.total = sum(n for _, n in self.parts)
+
+    def _place(self, k: int) -> int:
+        for p, n in self.parts:
+            if k < n:
+                return (p << 33) + k
+            k -= n
+        raise IndexError(k)
+
+    def between(self, low: int, high: int) -> DataFrame:
+        """Rows low, low + 1, ..., high - 1 with their places, in no order of their own."""
+        high = min(high, self.total)
+        return self.placed.filter(F.col(PLACE).between(self._place(low), self._place(high - 1)) if low < high else F.lit(False))
+
+    def number(self) -> Column:
+        """A row's number from its place."""
+        before, seen = [0] * (self.parts[-1][0] + 1 if self.parts else 1), 0
+        for p, n in self.parts:
+            before[p] = seen
+            seen += n
+        at = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), F.shiftright(PLACE, 33).cast("int") + 1)
+        return at + F.col(PLACE).bitwiseAND(F.lit((1 << 33) - 1))
+
+    def close(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Pages(Placed):
     """Flat rows by the page, in the order of the query's sorts, or else of all columns, so that pages don't overlap.
 
     The rows are sorted once and written with their places to the shared folder; a page reads the places that it has, so late pages cost no more than
-    early ones. close() removes the folder."""
+    early ones. A walk over all pages fetches many at once; to_df() gives all rows with their pages' numbers without the driver."""
 
     def __init__(self, df: DataFrame, size: int):
-        self.size, self.spark = size, df.sparkSession
-        self.folder = shared_folder(self.spark, "pages")
-        df.withColumn(PLACE, F.monotonically_increasing_id()).write.parquet(self.folder)
-        self.rows = self.spark.read.parquet(self.folder)
-        # places grow with the order; each partition's count on from its number times 2^33
-        counts = self.rows.groupBy(F.shiftright(PLACE, 33).alias("p")).count().orderBy("p").collect()
-        self.parts = [(r["p"] << 33, r["count"]) for r in counts]
-        self.total = sum(n for _, n in self.parts)
+        super().__init__(df, "pages")
+        self.size = size
         self.page_count = math.ceil(self.total / size)
 
+    def _pages(self, k: int, n: int) -> Iterator[list[Row]]:
+        rows = self.between(k * self.size, (k + n) * self.size).orderBy(PLACE).drop(PLACE).collect()
+        return (rows[i : i + self.size] for i in range(0, len(rows), self.size))
+
     def page(self, k: int) -> list[Row]:
-        low, high, before, ranges = k * self.size, (k + 1) * self.size, 0, []
-        for start, n in self.parts:
-            first, last = max(low - before, 0), min(high - before, n)
-            if first < last:
-                ranges.append(F.col(PLACE).between(start + first, start + last - 1))
-            before += n
-        if not ranges:
-            return []
-        return self.rows.filter(reduce(or_, ranges)).orderBy(PLACE).drop(PLACE).collect()
+        return next(self._pages(k, 1), []) if 0 <= k < self.page_count else []
 
     def __iter__(self) -> Iterator[list[Row]]:
-        return (self.page(k) for k in range(self.page_count))
-
-    def close(self) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        n = max(1, WALK_ROWS // self.size)
+        for k in range(0, self.page_count, n):
+            yield from self._pages(k, n)
+
+    def to_df(self, page: str = "page", row: str = "row") -> DataFrame:
+        """All rows, behind their page's number and their own, both from 0. It reads the folder, so close() comes after it has run."""
+        columns = [F.col(f"`{c}`") for c in self.placed.columns if c != PLACE]
+        numbered = self.placed.withColumn(PLACE, self.number())
+        return numbered.select(F.expr(f"{PLACE} div {self.size}").alias(page), F.col(PLACE).alias(row), *columns)
 
 
 class Query:

@@ -1,3 +1,6 @@
+import os
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +105,46 @@ def test_pages_count_exists(catalog):
     assert q.count() == 5 and q.exists() and not Query(entity(ORDER), catalog).where("id", "=", -1).exists()
 
 
+def jobs_of(spark, run):
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        got = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_walk_over_all_pages_fetches_many_at_once(spark, monkeypatch):
+    c = Catalog(spark).add("many", spark.range(1000, numPartitions=7).select("id", (F.col("id") % 10).alias("v")))
+    e = define_entity("many", ("many", "t"), {"id": f("id", primary=True), "v": f("v")})
+    pages = Query(e, c).order_by_desc("v").order_by("id").pages(3)
+    rows = [tuple(r) for r in sorted(((i, i % 10) for i in range(1000)), key=lambda r: (-r[1], r[0]))]
+    expected = [rows[i : i + 3] for i in range(0, 1000, 3)]
+    got, jobs = jobs_of(spark, lambda: [[tuple(r) for r in p] for p in pages])
+    assert got == expected and jobs < 10
+    monkeypatch.setattr("ferrule.operators.builder.WALK_ROWS", 100)
+    assert [[tuple(r) for r in p] for p in pages] == expected
+    assert [tuple(r) for r in pages.page(333)] == expected[333] and pages.page(334) == pages.page(-1) == []
+    numbered, jobs = jobs_of(spark, lambda: [tuple(r) for r in pages.to_df().orderBy("row").collect()])
+    assert numbered == [(k // 3, k, *r) for k, r in enumerate(rows)] and jobs < 10
+    pages.close()
+
+
+def test_pages_of_nothing(catalog):
+    pages = Query(entity(ORDER), catalog).where("id", "=", -1).pages(2)
+    assert list(pages) == [] and pages.page(0) == [] and pages.page_count == 0 and pages.to_df().collect() == []
+
+
+def test_paged_rows_needs_few_jobs(spark):
+    from ferrule.queries import QUERIES
+
+    if os.path.isdir("/root/testdata/sf0.001"):
+        got, jobs = jobs_of(spark, lambda: QUERIES["paged_rows"](spark, "/root/testdata/sf0.001"))
+        plan = got._jdf.queryExecution().analyzed().toString()
+        assert jobs < 10 and "LogicalRDD" not in plan and "LocalRelation" not in plan  # its rows don't pass the driver
+
+
 def test_context(catalog):
     e = entity(ORDER)
     db = create_context(catalog, {"orders": e})
