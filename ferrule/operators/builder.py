@@ -8,24 +8,34 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrule.functions.display import DisplayJoins
 from ferrule.model import UNSET, Entity
 from ferrule.operators.nesting import nest, to_objects
-from ferrule.plans.compiler import Compiled, Compiler, Output, State, inlined, name_of
+from ferrule.plans.compiler import Compiled, Compiler, Output, State, inlined, name_of, quote
 from ferrule.plans.predicates import Where
 from ferrule.sources.catalog import Catalog
-from ferrule.sources.scratch import shared_folder
+from ferrule.sources.scratch import can_write, shared_folder
 
 PLACE = "_place"
 #: Rows that a walk over all pages fetches at once, a page at least.
 WALK_ROWS = 100_000
+#: Sorted rows up to offset + limit that one task may hold; for more, or an offset without a limit, the rows are written with their places.
+ONE_TASK_ROWS = 100_000
+
+
+def _orderable(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return all(_orderable(x.dataType) for x in t.fields)
+    return _orderable(t.elementType) if isinstance(t, T.ArrayType) else not isinstance(t, (T.MapType, T.VariantType))
 
 
 class Placed:
     """A DataFrame's rows in its order, written once to the shared folder with their places. close() removes the folder."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, most: int | None = None):
+        """most: the number of rows that count."""
         self.spark = df.sparkSession
         self.folder = shared_folder(self.spark, name)
         df.withColumn(PLACE, F.monotonically_increasing_id()).write.parquet(self.folder)
@@ -33,7 +43,7 @@ class Placed:
         # places grow with the order; each partition's count on from its number times 2^33
         counts = self.placed.groupBy(F.shiftright(PLACE, 33).alias("p")).count().orderBy("p").collect()
         self.parts = [(r["p"], r["count"]) for r in counts]
-        self.total = sum(n for _, n in self.parts)
+        self.total = min([sum(n for _, n in self.parts), *([] if most is None else [most])])
 
     def _place(self, k: int) -> int:
         for p, n in self.parts:
@@ -67,8 +77,8 @@ class Pages(Placed):
     The rows are sorted once and written with their places to the shared folder; a page reads the places that it has, so late pages cost no more than
     early ones. A walk over all pages fetches many at once; to_df() gives all rows with their pages' numbers without the driver."""
 
-    def __init__(self, df: DataFrame, size: int):
-        super().__init__(df, "pages")
+    def __init__(self, df: DataFrame, size: int, most: int | None = None):
+        super().__init__(df, "pages", most)
         self.size = size
         self.page_count = math.ceil(self.total / size)
 
@@ -87,7 +97,7 @@ class Pages(Placed):
     def to_df(self, page: str = "page", row: str = "row") -> DataFrame:
         """All rows, behind their page's number and their own, both from 0. It reads the folder, so close() comes after it has run."""
         columns = [F.col(f"`{c}`") for c in self.placed.columns if c != PLACE]
-        numbered = self.placed.withColumn(PLACE, self.number())
+        numbered = self.between(0, self.total).withColumn(PLACE, self.number())
         return numbered.select(F.expr(f"{PLACE} div {self.size}").alias(page), F.col(PLACE).alias(row), *columns)
 
 
@@ -198,19 +208,50 @@ class Query:
         c = self.compile()
         return inlined(c.sql, c.args)
 
+    def _with_sorts(self, state: State) -> DataFrame:
+        """The flat rows with sort keys as columns _sort0, _sort1, ..."""
+        c = self.compiler.compile(state, hidden_sorts=True)
+        flat = self.catalog.sql(c.sql, c.args)
+        if state.distinct:
+            flat = flat.withColumns({f"_sort{i}": flat[name_of(k, self.entity.field(k))] for i, (k, _) in enumerate(state.sorts)})
+        return flat
+
+    def _in_order(self, state: State, hidden_sorts: bool = False) -> DataFrame:
+        """The flat rows in the order of the sorts and then of all columns, so that rows with equal sort keys needn't be one task's."""
+        flat, hidden = self._with_sorts(state), [f"_sort{i}" for i in range(len(state.sorts))]
+        sorts = [F.col(k).desc_nulls_last() if w == "DESC" else F.col(k).asc_nulls_last() for k, (_, w) in zip(hidden, state.sorts)]
+        ties = [F.col(quote(x.name)).asc_nulls_last() for x in flat.schema if x.name not in hidden and _orderable(x.dataType)]
+        return flat.orderBy(*sorts, *ties).drop(*([] if hidden_sorts else hidden))
+
+    def _far(self) -> bool:
+        """Whether one task would get too many rows by the limit and offset."""
+        s = self.state
+        far = s.offset > 0 if s.limit is None else bool(s.sorts) and s.limit > 0 and s.offset + s.limit > ONE_TASK_ROWS
+        return far and can_write(self.catalog.spark)
+
+    def _flat(self, hidden_sorts: bool = False) -> tuple[DataFrame, Placed | None]:
+        """The flat rows, and what they read if they had to be written with their places."""
+        if not self._far():
+            c = self.compile()
+            return self._with_sorts(self.state) if hidden_sorts else self.catalog.sql(c.sql, c.args), None
+        s = copy.copy(self.state)
+        s.limit, s.offset = None, 0
+        rows = Placed(self._in_order(s, hidden_sorts) if s.sorts else self._with_sorts(s), "offset")
+        df = rows.between(self.state.offset, rows.total if self.state.limit is None else self.state.offset + self.state.limit)
+        return (df.orderBy(PLACE) if s.sorts else df).drop(PLACE), rows
+
+    def _nested(self) -> tuple[DataFrame, Placed | None]:
+        flat, written = self._flat(hidden_sorts=True)
+        return nest(flat, self.entity, self.compiler.compile(self.state, hidden_sorts=True), [w for _, w in self.state.sorts]), written
+
     def to_df(self) -> DataFrame:
-        """The flat rows. A limit counts joined rows, not entities."""
-        c = self.compile()
-        return self.catalog.sql(c.sql, c.args)
+        """The flat rows. A limit counts joined rows, not entities. With an offset but no limit, or many rows up to a limit's end, the rows are sorted and
+        written at once, and the result reads what was written."""
+        return self._flat()[0]
 
     def nested(self) -> DataFrame:
         """Nested entities as structs and arrays."""
-        ways = [w for _, w in self.state.sorts]
-        c = self.compiler.compile(self.state, hidden_sorts=True)
-        flat = self.catalog.sql(c.sql, c.args)
-        if self.state.distinct:
-            flat = flat.withColumns({f"_sort{i}": flat[name_of(k, self.entity.field(k))] for i, (k, _) in enumerate(self.state.sorts)})
-        return nest(flat, self.entity, c, ways)
+        return self._nested()[0]
 
     def map_rows(self, flat: DataFrame) -> DataFrame:
         """Rows of the caller's own as nested entities. Their columns are named as this entity's outputs (aliases or keys, in any case); fields without a
@@ -220,13 +261,23 @@ class Query:
         return nest(flat, self.entity, Compiled("", [], outputs), [])
 
     def execute(self) -> tuple[list[Row], Compiled]:
-        return self.to_df().collect(), self.compile()
+        return self.rows(), self.compile()
 
     def rows(self) -> list[Row]:
-        return self.to_df().collect()
+        df, written = self._flat()
+        try:
+            return df.collect()
+        finally:
+            if written:
+                written.close()
 
     def objects(self) -> list[dict]:
-        return to_objects(self.nested(), self.entity)
+        df, written = self._nested()
+        try:
+            return to_objects(df, self.entity)
+        finally:
+            if written:
+                written.close()
 
     def _one(self) -> Query:
         q = copy.copy(self)
@@ -264,9 +315,10 @@ class Query:
         whole.state = copy.copy(self.state)
         if self.state.limit is not None:
             whole.state.limit += self.state.offset
-        whole.state.offset = 0
-        df = whole.to_df()
-        return Pages(df if self.state.sorts else df.orderBy(*df.columns), size)
+        whole.state.offset, most = 0, whole.state.limit
+        if whole._far():  # all rows are written then, and as many paged
+            whole.state.limit = None
+        return Pages(self._in_order(whole.state), size, most)
 
 
 def query(entity: Entity, catalog: Catalog) -> Query:

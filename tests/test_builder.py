@@ -145,6 +145,44 @@ def test_paged_rows_needs_few_jobs(spark):
         assert jobs < 10 and "LogicalRDD" not in plan and "LocalRelation" not in plan  # its rows don't pass the driver
 
 
+def test_an_offset_is_not_one_tasks(spark, monkeypatch):
+    rows = [(i, i % 3) for i in range(500)]
+    c = Catalog(spark).add("off", spark.range(500, numPartitions=7).select("id", (F.col("id") % 3).cast("int").alias("v")))
+    e = define_entity("off", ("off", "t"), {"id": f("id", primary=True), "v": f("v"), "w": f("v", nest_path="ws.w", many=True)})
+    q = lambda *keys: Query(e, c).select("v", *keys)
+    expected = sorted(rows, key=lambda r: (-r[1], r[0]))
+
+    def whole_in_one_task(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return "SinglePartition" in plan or "CollectLimit" in plan or "TakeOrdered" in plan
+
+    df = q().order_by_desc("v").order_by("id").offset(100).to_df()
+    assert [tuple(r) for r in df.collect()] == expected[100:] and not whole_in_one_task(df) and df.columns == ["id", "v"]
+    df = q().order_by_desc("v").offset(100).to_df()  # ties are broken by all columns, so that they have several tasks
+    assert [tuple(r) for r in df.collect()] == expected[100:]
+    df = q().offset(100).to_df()
+    got = [tuple(r) for r in df.collect()]
+    assert len(set(got)) == len(got) == 400 and set(got) <= set(rows) and not whole_in_one_task(df)
+    assert q().order_by("id").offset(500).rows() == q().offset(10**12).rows() == []
+    assert [o["id"] for o in q("w").order_by_desc("id").offset(490).objects()] == list(range(9, -1, -1))
+    assert [tuple(r) for r in q().select().distinct().order_by_desc("id").offset(497).rows()] == [(2, 2), (1, 1), (0, 0)]
+
+    monkeypatch.setattr("ferrule.operators.builder.ONE_TASK_ROWS", 50)
+    df = q().order_by_desc("v").order_by("id").limit(20).offset(100).to_df()
+    assert [tuple(r) for r in df.collect()] == expected[100:120] and not whole_in_one_task(df)
+    assert [tuple(r) for r in q().order_by_desc("v").order_by("id").limit(60).rows()] == expected[:60]
+    pages = q().order_by_desc("v").order_by("id").limit(60).offset(1).pages(25)
+    assert [len(p) for p in pages] == [25, 25, 11] and [tuple(r) for r in pages.page(2)] == expected[50:61] and pages.to_df().count() == 61
+    pages.close()
+
+
+def test_rows_of_an_offset_leave_no_files(spark, catalog, tmp_path, monkeypatch):
+    monkeypatch.setattr("ferrule.operators.builder.shared_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    assert len(Query(entity(ORDER), catalog).order_by("id").offset(1).rows()) == 4
+    assert len(Query(entity(ORDER), catalog).order_by("id").offset(1).objects()) == 2
+    assert os.listdir(tmp_path) == []
+
+
 def test_context(catalog):
     e = entity(ORDER)
     db = create_context(catalog, {"orders": e})
