@@ -6,6 +6,8 @@ first; each array path gathers an item from every row, drops items whose values
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from ferrule.model import Entity
 from ferrule.plans.compiler import Compiled, name_of
 
 Tree = dict
+#: Bytes of read tables for each task that nests rows, and the most tasks by that.
+TASK_BYTES, TASKS = 8 << 20, 2000
 
 
 def put(tree: Tree, path: str, value: Column) -> None:
@@ -52,6 +56,15 @@ def _empty(c: Column) -> Column:
     return c.isNull() | F.coalesce(c.cast("string") == "", F.lit(False))
 
 
+def _tasks(flat: DataFrame) -> int:
+    """How many tasks nest flat's rows, by the size of what they are read from. 0 leaves that to Spark: for small or unknown sizes it joins parts of the
+    shuffle into as many as run at once; it would do so up to 64 MB of packed rows each, some 0.9 GB once unpacked, sorted and gathered."""
+    leaves = flat._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    n = min(math.ceil(size / TASK_BYTES), TASKS) if size < 1 << 60 else 0
+    return n if n > flat.sparkSession.sparkContext.defaultParallelism else 0
+
+
 def nest(flat: DataFrame, entity: Entity, compiled: Compiled, ways: list[str]) -> DataFrame:
     """flat has the compiled outputs and, for each of ways (ASC or DESC), a sort key column _sort0, _sort1, ..."""
     arrays, primary = array_paths(entity), entity.primary()
@@ -66,7 +79,9 @@ def nest(flat: DataFrame, entity: Entity, compiled: Compiled, ways: list[str]) -
 
     pk = F.col(f"`{name_of(*primary)}`")
     ties = [F.col(f"`{name_of(o.key, o.field)}`").asc_nulls_last() for o in compiled.outputs.values()]
-    rows = flat.filter(pk.isNotNull()).withColumn("_pos", F.row_number().over(Window.partitionBy(pk).orderBy(*sorts, *ties)))
+    tasks = _tasks(flat)
+    kept = flat.filter(pk.isNotNull())
+    rows = (kept.repartition(tasks, pk) if tasks else kept).withColumn("_pos", F.row_number().over(Window.partitionBy(pk).orderBy(*sorts, *ties)))
     first = struct_of({"doc": tree or {"_none": F.lit(None)}} | {f"_sort{i}": F.col(f"_sort{i}") for i in range(len(ways))})
     gathered = {}
     for a in arrays:

@@ -39,6 +39,23 @@ def test_nesting_groups_dedupes_and_drops(catalog):
     assert got[11]["lines"] == []
 
 
+def test_nesting_of_much_has_more_tasks_than_run_at_once(spark, tmp_path, monkeypatch):
+    spark.range(3000).select((F.col("id") % 700).alias("id"), (F.col("id") % 13).alias("v")).unionByName(spark.sql("SELECT null AS id, 1L AS v")).write.parquet(str(tmp_path / "big.parquet"))
+    c = Catalog(spark).add_parquet(str(tmp_path), "big")
+    e = define_entity("big", ("big", "t"), {"id": f("id", primary=True), "v": f("v", nest_path="vs.v", many=True)})
+    shuffled = lambda df: "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+    small = Query(e, c).order_by_desc("id").nested()
+    assert not shuffled(small)
+    size = sum(x.stat().st_size for x in (tmp_path / "big.parquet").glob("*.parquet"))
+    monkeypatch.setattr("ferrule.operators.nesting.TASK_BYTES", size // 20)
+    big = Query(e, c).order_by_desc("id").nested()
+    assert shuffled(big) and len(big.collect()) == 700 and big.collect() == small.collect()
+    n = Query(e, c).nested().select("id", F.spark_partition_id().alias("p")).agg(F.count_distinct("p")).first()[0]
+    assert n >= 20
+    monkeypatch.setattr("ferrule.operators.nesting.TASKS", 6)
+    assert Query(e, c).nested().select(F.spark_partition_id().alias("p")).agg(F.count_distinct("p")).first()[0] == 6
+
+
 def test_empty_text_is_an_empty_value(catalog):
     e = entity({"id": f("id", primary=True), "a": f("a", nest_path="x.a", many=True), "b": f("b", nest_path="x.b", many=True)}, "empty_text")
     assert {o["id"]: o["x"] for o in run_query(e, catalog)} == {1: [{"a": "a", "b": "x"}], 2: []}
